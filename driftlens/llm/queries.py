@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import mixing, quality, simhash, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
     "op3_simhash": simhash.op3_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
