@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, warc
+from . import chat, mixing, quality, simhash, tokens, warc
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
+    "op10_token_counts": tokens.op10_token_counts,
     "op6_warc": warc.op6_warc,
     "op3_simhash": simhash.op3_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.OP2_SQL,
+}
