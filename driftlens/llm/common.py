@@ -15,7 +15,14 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Bounds what a Python worker and the JVM beside it hold of long texts at once. A setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -110,6 +117,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             found = lower.unionByName(found)
         # a root hangs below nothing; it is its own component
         found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    found, _ = materialise(found, "components")
+    found, _ = materialise(found.distinct(), "components")  # a node may have hooked in two rounds, to one root
     delete(spark, *drop)
     return found

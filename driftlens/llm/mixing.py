@@ -12,7 +12,7 @@ from .common import GAP, materialise, n_words, table
 CYCLE = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows that one range of the random order holds on average; ranges grow in number with the input.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, seed:
     return kept.mapInArrow(run, schema)
 
 
-def _pieces(off: np.ndarray, size: int = 2 << 20):
+def _pieces(off: np.ndarray, size: int = 256 << 10):
     """Runs of texts of about ``size`` bytes, so that arrays over a batch's bytes stay small; a longer text is alone."""
     lo = 0
     while lo < len(off) - 1:
