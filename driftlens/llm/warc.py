@@ -246,6 +246,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_warc(spark, path, payload=False).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "bytes", "digest")
     read, _ = materialise(read, "pages")
     delete(spark, path)
-    full = read.filter("type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("bytes").alias("_bytes"), F.max("digest").alias("_digest"))
-    out = read.join(full, "refers_to", "left")
-    return out.select("page_id", F.coalesce("_bytes", "bytes").alias("payload_bytes"), F.coalesce("_digest", "digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    response = read.filter("type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    full = response.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    revisit = read.filter("type = 'revisit'").withColumnRenamed("type", "record_type").join(full, "refers_to", "left")
+    return response.select(*out).unionByName(revisit.select(*out))
