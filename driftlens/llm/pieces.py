@@ -119,7 +119,7 @@ class Pieces:
     def filtered(self, buf: np.ndarray, first: np.ndarray, alpha: float):
         """Forward filtering of the runs that begin at ``first``, each followed by _STOP.
 
-        Gives the edges by end, the edges' range per end, and the running share of each edge among those of its end.
+        Gives the edges' starts, ends and pieces, where the edges of each end begin, and each edge's running share there.
         """
         begin = np.flatnonzero(((buf & 0xC0) != 0x80) & (buf != _STOP))
         start, end, piece = self.lattice(buf, begin)
@@ -127,66 +127,71 @@ class Pieces:
         run = np.zeros(len(buf) + 1, np.int64)
         run[first] = 1
         origin = first[np.cumsum(run)[start] - 1]
-        order = np.lexsort((end, end - origin))  # all ends at a distance from their runs' starts, then the next
-        start, end, piece, weight, far = start[order], end[order], piece[order], weight[order], (end - origin)[order]
+        far = end - origin
+        # all ends at one distance from their runs' starts, then the next; of one end the longest piece, likely the best, first
+        order = np.argsort((far << 36) | (end << 8) | (255 - np.minimum(end - start, 255)))
+        start, end, piece, weight, far = start[order], end[order], piece[order], weight[order], far[order]
         total = np.zeros(len(buf) + 1)
         share = np.empty(len(start))
         group = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
         steps = np.flatnonzero(np.r_[True, far[1:] != far[:-1], True])
-        bounds = np.searchsorted(group, steps)
+        bounds = np.searchsorted(group, steps).tolist()
         group = np.r_[group, len(end)]
-        for a, b, g, h in zip(steps[:-1], steps[1:], bounds[:-1], bounds[1:], strict=True):
+        sizes = np.diff(group)
+        for a, b, g, h in zip(steps[:-1].tolist(), steps[1:].tolist(), bounds[:-1], bounds[1:], strict=True):
             x = total[start[a:b]] + weight[a:b]
-            cut, n = group[g:h] - a, np.diff(group[g : h + 1])
+            cut, n = group[g:h] - a, sizes[g:h]
             top = np.maximum.reduceat(x, cut)
             e = np.exp(x - np.repeat(top, n))
             s = np.add.reduceat(e, cut)
             total[end[a + cut]] = top + np.log(s)
             share[a:b] = e / np.repeat(s, n)
-        order = np.argsort(end, kind="stable")
-        return start[order], end[order], piece[order], share[order]
+        upto = np.cumsum(share)
+        return start, end, piece, group, upto - np.repeat(np.r_[0.0, upto][group[:-1]], sizes)
 
     def sample(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, place: np.ndarray, alpha: float):
         """Ids of all runs buf[first:last] in order, and how many each has. key: 64 bits of the run's row; place: its end there."""
-        h = xxh64(buf, first, last - first, 0) if len(first) else np.zeros(0, np.uint64)
+        h = xxh64(buf, first, last - first, 0)
         _, one, kind = np.unique(h, return_index=True, return_inverse=True)
         n = (last - first)[one]
         at = np.r_[0, np.cumsum(n + 1)]
         words = np.full(at[-1], _STOP, np.uint8)
-        words[np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)] = buf[np.arange(n.sum()) + np.repeat(first[one] - np.r_[0, np.cumsum(n)[:-1]], n)]
-        start, end, piece, share = self.filtered(words, at[:-1], alpha)
-        group = np.r_[True, end[1:] != end[:-1]]
-        index = np.cumsum(group) - 1
-        upto = np.cumsum(share)
-        base = np.r_[0.0, upto][np.flatnonzero(group)]
-        ladder = index + np.minimum(upto - base[index], 1.0)
-        number = np.zeros(len(words) + 1, np.int64)
-        number[end[group]] = np.arange(int(group.sum()))
-        until = np.r_[np.flatnonzero(group)[1:], len(end)] - 1
-        now, live, taken, steps = at[kind] + n[kind], np.arange(len(kind)), np.zeros(len(kind), np.int64), []
-        origin = at[kind]
+        each = np.arange(n.sum())
+        words[each + np.repeat(np.arange(len(n)), n)] = buf[each + np.repeat(first[one] - np.r_[0, np.cumsum(n)[:-1]], n)]
+        start, end, piece, group, upto = self.filtered(words, at[:-1], alpha)
+        lowest, highest = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
+        lowest[end[group[:-1]]], highest[end[group[:-1]]] = group[:-1], group[1:] - 1
+        many = np.where(piece >= 0, 1, end - start)
+        back = end - start
+        live, now, left, steps = np.arange(len(kind)), at[kind] + n[kind], n[kind], []
+        salt, count = key + place.astype(np.uint64) * U(0x9E3779B97F4A7C15), np.zeros(len(kind), np.int64)
         while len(live):
             with np.errstate(over="ignore"):
-                u = uniform(key[live] + (place[live] - taken[live]).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            node = number[now[live]]
-            edge = np.minimum(np.searchsorted(ladder, node + u, side="right"), until[node])
+                u = uniform(salt + left.astype(np.uint64) * U(0xD1B54A32D192ED03))
+            edge, most = lowest[now], highest[now]
+            on = np.flatnonzero((upto[edge] <= u) & (edge < most))
+            while len(on):
+                edge[on] += 1
+                on = on[(upto[edge[on]] <= u[on]) & (edge[on] < most[on])]
             steps.append((live, edge))
-            taken[live] += end[edge] - start[edge]
-            now[live] = start[edge]
-            live = live[start[edge] != origin[live]]
-        many = np.where(piece >= 0, 1, end - start)
-        count = np.zeros(len(kind), np.int64)
-        for live, edge in steps:
             count[live] += many[edge]
+            left = left - back[edge]
+            on = left > 0
+            live, now, left, salt = live[on], start[edge[on]], left[on], salt[on]
         free = np.cumsum(count)  # each run fills from its end
         out = np.empty(free[-1] if len(free) else 0, np.int32)
         for live, edge in steps:
-            whole = piece[edge] >= 0
-            out[free[live[whole]] - 1] = piece[edge[whole]]
+            spot, m, ids = free[live], many[edge], piece[edge]
+            free[live] = spot - m
+            whole = ids >= 0
+            if whole.all():
+                out[spot - 1] = ids
+                continue
+            out[spot[whole] - 1] = ids[whole]
+            spot, m, edge = (x[~whole] for x in (spot, m, edge))
             for i in range(4):
-                more = ~whole & (many[edge] > i)
-                out[free[live[more]] - many[edge[more]] + i] = self.byte_id[words[start[edge[more]] + i]]
-            free[live] -= many[edge]
+                more = m > i
+                out[spot[more] - m[more] + i] = self.byte_id[words[start[edge[more]] + i]]
         return out, count
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, simhash, tokens, warc
+from . import chat, mixing, pieces, quality, simhash, tokens, warc
 
 QUERIES = {
+    "op8_pieces": pieces.op8_pieces,
     "op2_chat": chat.op2_chat,
     "op10_token_counts": tokens.op10_token_counts,
     "op6_warc": warc.op6_warc,
