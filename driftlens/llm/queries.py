@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pieces, quality, simhash, tokens, warc
+from . import chat, lattice, mixing, pieces, quality, simhash, tokens, warc
 
 QUERIES = {
+    "op1_lattice": lattice.op1_lattice,
     "op8_pieces": pieces.op8_pieces,
     "op2_chat": chat.op2_chat,
     "op10_token_counts": tokens.op10_token_counts,
@@ -14,5 +15,6 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_lattice": lattice.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
 }
