@@ -66,11 +66,11 @@ def delete(spark: SparkSession, *paths: str) -> None:
         fs.delete(where, True)
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write to the shared folder and read back: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

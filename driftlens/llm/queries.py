@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, lattice, mixing, pieces, quality, simhash, tokens, warc
+from . import chat, lattice, mixing, pieces, quality, simhash, suffixes, tokens, warc
 
 QUERIES = {
+    "op7_suffixes": suffixes.op7_suffixes,
     "op1_lattice": lattice.op1_lattice,
     "op8_pieces": pieces.op8_pieces,
     "op2_chat": chat.op2_chat,
