@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, lattice, mixing, pieces, quality, simhash, suffixes, tokens, warc
+from . import chat, lattice, mixing, pieces, quality, shards, simhash, suffixes, tokens, warc
 
 QUERIES = {
+    "op4_shards": shards.op4_shards,
     "op7_suffixes": suffixes.op7_suffixes,
     "op1_lattice": lattice.op1_lattice,
     "op8_pieces": pieces.op8_pieces,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_shards": shards.OP4_SQL,
     "op1_lattice": lattice.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
 }
