@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +13,8 @@ CYCLE = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows that one range of the random order holds on average; ranges grow in number with the input.
 RANGE_ROWS = 2_000
+#: Rows of small tables, ranges or documents on a cut, up to which they are broadcast (about 60 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -39,6 +41,34 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS)
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _bits(sized: DataFrame) -> int:
+    return max(0, min(28, (sized.count() // RANGE_ROWS).bit_length()))
+
+
+def _placed(rows: DataFrame, bits: int, seed: str) -> DataFrame:
+    """Adds _key, a row's place in the random order, and _range, its leading bits."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return rows.withColumn("_key", key).withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 7), 16, 10).cast("long"), 28 - bits))
+
+
+def _ranges(keyed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(_s, _r, _sum, source_size, target, _epochs, _left): whole epochs, and the words left for the last when range _r begins."""
+    sums = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    upto = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
+    out = sums.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source"))
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
+    out = out.withColumn("_epochs", epochs).withColumn("_left", F.expr("cast(floor(target) as bigint) - _epochs * source_size - _base"))
+    return out.select(F.col("r.source").alias("_s"), F.col("_range").alias("_r"), "_sum", "source_size", "target", "_epochs", "_left")
+
+
+def _part() -> Column:
+    """Words of each row in the begun epoch: what is left for its range, less the rows before it, up to its size."""
+    within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    left = F.col("_left") - (F.sum("size").over(within) - F.col("size"))
+    return F.greatest(F.lit(0), F.least(F.col("size"), left))
+
+
 def plan_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
     """Adds source_size, target and taken to ``sized`` (doc_id, source, size, any more): words the mix takes of each row.
 
@@ -47,23 +77,10 @@ def plan_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFra
     row, so no source gathers in one task. Whole epochs first, then the rest up to the exact budget, floor(target);
     the document at the cut gives its first words only. Equal keys go by doc_id, and rows that repeat by copy number.
     """
-    n = sized.count()
-    bits = max(0, min(28, (n // RANGE_ROWS).bit_length()))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    bucket = F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - bits)
-    keyed = sized.withColumn("_key", key).withColumn("_range", bucket)
-    ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    upto = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_base", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).drop("_sum")
-    ranges = ranges.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select(F.col("r.source").alias("_s"), F.col("_range").alias("_r"), "_base", "source_size", "target")
-    rows = keyed.join(ranges, F.expr("source <=> _s and _range = _r")).drop("_s", "_r")
-    within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    start = F.col("_base") + F.sum("size").over(within) - F.col("size")
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
-    rows = rows.withColumn("_epochs", epochs).withColumn("_left", budget - F.col("_epochs") * F.col("source_size") - start)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))
-    return rows.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("long")).drop("_key", "_range", "_base", "_epochs", "_left")
+    keyed = _placed(sized, _bits(sized), seed)
+    rows = keyed.join(_ranges(keyed, targets), F.expr("source <=> _s and _range = _r"))
+    taken = (F.col("_epochs") * F.col("size") + _part()).cast("long")
+    return rows.withColumn("taken", taken).drop("_key", "_range", "_s", "_r", "_sum", "_epochs", "_left")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -71,25 +88,36 @@ def measure(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")[0]
 
 
-def mix(docs: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is taken.
 
     The document at a source's cut keeps the words up to the budget, and the white space between them. A null text,
     or one without words, counts for nothing and is left out. Rows with equal doc_id, source and size share their
     words, as one of them can't be told from the other. An empty table gives no rows.
+
+    Texts don't shuffle: a range lies before its source's cut, beyond it, or on it, which a table of ranges tells, and only
+    the documents of the one range on the cut are named. Both are broadcast up to BROADCAST_ROWS rows.
     """
     sizes = measure(docs)
-    plan = plan_mix(sizes, source_targets(sizes, cycle, max_epochs)).filter("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_all"), F.count("*").alias("_rows"))
-    plan, _ = materialise(plan, "mix")
-    rows = docs.withColumn("_n", n_words(F.col("text")))
-    rows = rows.join(plan, F.expr("doc_id <=> _id and source <=> _source and _n = _size"))
+    bits = _bits(sizes)
+    keyed = _placed(sizes, bits, seed)
+    ranges, _ = materialise(_ranges(keyed, source_targets(sizes, cycle, max_epochs)), "ranges")
+    on_cut = keyed.join(ranges.filter("_left > 0 and _left < _sum"), F.expr("source <=> _s and _range = _r")).withColumn("_part", _part())
+    on_cut = on_cut.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
+    on_cut, _ = materialise(on_cut.agg(F.sum("_part").alias("_part"), F.count("*").alias("_rows")), "cut")
+    fit = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    plain = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", "source", "text")  # so no column clashes
+    rows = _placed(plain.withColumn("_n", n_words(F.col("text"))).filter("_n > 0"), bits, seed)
+    rows = rows.join(fit(ranges), F.expr("source <=> _s and _range = _r"))
+    rows = rows.join(fit(on_cut), F.expr("doc_id <=> _id and source <=> _source and _n = _size"), "left")
+    part = F.when(F.col("_left") <= 0, F.lit(0)).when(F.col("_left") >= F.col("_sum"), F.col("_n")).otherwise(F.expr("_part div _rows"))
     # a copy of the row for each epoch begun; the last may be cut
-    words = F.expr("_all div _rows")
-    rows = rows.withColumn("_taken", words).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_n")).cast("int"))))
+    rows = rows.withColumn("_taken", F.col("_epochs") * F.col("_n") + part).filter("_taken > 0")
+    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_n")).cast("int"))))
     cut = F.least(F.col("_n"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_n"))
-    head = F.array_join(F.slice(F.split("text", f"(?<=[^\\x20\\x09-\\x0D])(?={GAP})"), 1, cut.cast("int")), "")
-    return rows.withColumn("text", F.when(cut < F.col("_n"), head).otherwise(F.col("text"))).select(*docs.columns)
+    head = F.array_join(F.slice(F.split("text", rf"(?<=[^\x20\x09-\x0D])(?={GAP})"), 1, cut.cast("int")), "")
+    text = F.when(cut < F.col("_n"), head).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ RULES = {
 #: Documents a group needs before its own sketch sets its thresholds.
 MIN_GROUP = 200
 MIN_WORDS = 50
+#: Groups of (lang, source) whose thresholds are broadcast: about 100 bytes each.
+GROUPS = 100_000
 
 
 def repeated_words(words: Column) -> Column:
@@ -118,6 +120,17 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return out.select("g.lang", "g.source", *[choose(f"{c}_{m}").alias(f"{c}_{m}") for m in RULES for c in ("low", "high")])
 
 
+def _verdict(stats: DataFrame, limits: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``stats`` and kept, by the limits of each row's (lang, source)."""
+    inside = F.lit(True)
+    for m in RULES:
+        x = _thousandths(*METRICS[m])
+        inside &= (x >= F.col(f"t.low_{m}")) & (x <= F.col(f"t.high_{m}"))
+    joined = stats.alias("s").join(limits.alias("t"), F.expr("s.lang <=> t.lang and s.source <=> t.source"), "left")
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    return joined.select(*[f"s.`{c}`" for c in keep], kept.alias("kept"))
+
+
 def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per input row: its key columns, statistics, base_failed and kept.
 
@@ -125,27 +138,21 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     or empty text has no words and fails the base; null languages and sources are groups of their own; an empty table
     gives no rows. The statistics are written once to the shared folder (small: no texts), so texts are read once.
     """
-    stats = text_stats(docs.select("doc_id", "text", "lang", "source")).withColumn("text_key", F.xxhash64("text")).drop("text")
-    stats, _ = materialise(stats, "quality")
-    limits = thresholds(sketches(stats), min_group).alias("t")
-    inside = F.lit(True)
-    for m in RULES:
-        x = _thousandths(*METRICS[m])
-        inside &= (x >= F.col(f"t.low_{m}")) & (x <= F.col(f"t.high_{m}"))
-    joined = stats.alias("s").join(limits, F.expr("s.lang <=> t.lang and s.source <=> t.source"), "left")
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.select("s.*", kept.alias("kept"))
+    stats, _ = materialise(text_stats(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
+    return _verdict(stats, thresholds(sketches(stats), min_group), stats.columns)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they were; rows that repeat fare alike.
+def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they were; each row is judged on its own text.
 
-    Rejected rows are named by doc_id, language, source and a 64-bit hash of the text, so texts don't shuffle while
-    the rejects are few enough for Spark's own limit on broadcasts; beyond it the anti-join sorts and merges.
+    Texts are read twice, for the sketches and for the verdict, and never shuffled: limits are few, and where the groups
+    of (lang, source) pass GROUPS the join is left to Spark.
     """
-    bad = judge(docs).filter("not kept").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_key", "lang", "source")]).distinct()
-    same = F.expr("doc_id <=> _doc_id and lang <=> _lang and source <=> _source") & (F.xxhash64("text") == F.col("_text_key"))
-    return docs.join(bad, same, "left_anti")
+    sketch, _ = materialise(sketches(text_stats(docs.select("lang", "source", "text"))), "sketches")
+    limits, _ = materialise(thresholds(sketch, min_group), "thresholds")
+    limits = F.broadcast(limits) if limits.count() <= GROUPS else limits
+    plain = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text", "lang", "source")  # so no column clashes
+    return _verdict(text_stats(plain), limits, ["row"]).filter("kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

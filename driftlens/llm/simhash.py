@@ -16,6 +16,8 @@ BITS = 64
 ROOT_ROWS = 50_000
 #: Depth by which a full root is split: node pairs within the budget stay few (1 + 8 + 28 per node).
 SPLIT_BITS = 8
+#: Copies up to which their ids (8 bytes each) are broadcast to the documents; beyond, the anti-join sorts and merges.
+BROADCAST_ROWS = 2_000_000
 
 
 def majority(hashes: np.ndarray, step: int = 1 << 15) -> int:
@@ -205,14 +207,15 @@ def cluster(prints: DataFrame, budget: int = 2) -> DataFrame:
 def drop_near_copies(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
     """One document of each component stays: that with the smallest doc_id, all its columns as they were.
 
-    Rows that agree in doc_id and text stay once. A document without a doc_id stays if its component has none with one.
-    Documents without words carry fingerprint 0 and so count as copies of each other.
+    Rows that agree in doc_id and text stay once. Rows without a doc_id can't be told apart: all stay, unless one of them
+    is a near-copy of a document that has one. Documents without words carry fingerprint 0 and so are copies of each other.
     """
     found = cluster(with_fingerprint(docs, width=width), budget)
-    stay = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__stay_id")).agg(F.count("*").alias("__n"))
-    stay, _ = materialise(stay, "stay")
-    out = docs.join(stay.select("__stay_id"), F.expr("doc_id <=> __stay_id"), "left_semi")
-    return out if stay.filter("__n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    gone, _ = materialise(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = docs.join(gone, F.expr("doc_id <=> __gone_id"), "left_anti")
+    twice = found.filter("doc_id <=> component_id").groupBy("doc_id").count().filter("count > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ cover algorithm sorts them: names for the triples at two positions of three, rec
 positions by their first symbol and the rank after it, a merge, and a comparison of neighbours' first WIDTH bytes.
 Symbols of the recursion cover 3, 9, 27, 81 bytes, so it ends once names tell WIDTH bytes apart.
 
-Two rounds of pre-aggregation keep the exchange small. First only 64-bit minimizers travel, a chunk's distinct ones
-once each, to find those that at least two documents hold; then the strings around those, again once a chunk, with
-the smallest and largest doc_id they occur in. So a passage that any share of documents holds sends a row a
-chunk, not a row a document; who holds what is settled by a sort-merge join on the string's key, which AQE can split.
+Two rounds of pre-aggregation keep the exchange small. A string of WIDTH bytes holds its minimizer's SEED bytes and
+either the LEFT bytes before or the RIGHT bytes after, so first only 64-bit hashes of those contexts travel, a
+chunk's distinct ones once each, to find those that at least two documents hold. Then the strings around these go,
+again once a chunk, with the smallest and largest doc_id they occur in. So a passage that any share of documents holds
+sends a row a chunk, not a row a document; who holds what is settled by a sort-merge join on the string's key,
+which AQE can split.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ from .common import delete, materialise, reclaim, table
 
 WIDTH = 50
 SEED = 16
-#: Strings of one run; longer runs, as of periodic text, are cut.
-RUN = 192
+LEFT = (WIDTH - SEED) // 2
+RIGHT = WIDTH - SEED - LEFT + 1
 #: Text that one map task aggregates before it sends, and that is hashed at once; text sorted at once.
 CHUNK, PIECE, SORTED = 48 << 20, 256 << 10, 1 << 20
 #: Size up to which a table is broadcast to texts, in bytes as packed; beyond, texts are shuffled to it.
-BROADCAST = 24 << 20
+BROADCAST = 48 << 20
+#: A position in a piece, in the low bits of a minimizer's hash; texts longer than LONG are cut into overlapping parts.
+_BITS = 24
+_PLACE, LONG = (1 << _BITS) - 1, 8 << 20
 _A, _B, _C = (U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -116,59 +121,104 @@ def equal_windows(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> tup
 # --- runs of strings by minimizer -----------------------------------------------------------------------------------
 
 
-def runs(buf: np.ndarray, off: np.ndarray):
-    """(first, count, minimizer, text) of the runs of WIDTH-byte strings with one minimizer; none crosses texts."""
-    n = len(buf) - WIDTH + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    buf = np.ascontiguousarray(buf)
-    words = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,)).copy()
-    with np.errstate(over="ignore"):
-        h = words * _A
-        h ^= h >> U(32)
-        low = h[:-8] * _B
-        low += h[8:]
-        low ^= low >> U(29)
-        low *= _C
-        low ^= low >> U(32)
-    reach = WIDTH - SEED + 1
-    m, k = low, 1
-    while 2 * k <= reach:
-        m = np.minimum(m[:-k], m[k:])
-        k *= 2
-    m = np.minimum(m[:n], m[reach - k : reach - k + n]) if reach > k else m[:n]
-    first = np.zeros(n, bool)
-    first[0] = True
-    np.not_equal(m[1:], m[:-1], out=first[1:])
-    inside = off[(off > 0) & (off < n)]
-    first[inside] = True
-    dead = np.maximum(off[1:] - WIDTH + 1, off[:-1])
-    first[dead[(dead < n) & (dead >= 0)]] = True
-    start = np.flatnonzero(first)
-    count = np.diff(np.r_[start, n])
-    doc = np.searchsorted(off, start, side="right") - 1
-    live = start + WIDTH <= off[doc + 1]
-    start, count, doc = start[live], count[live], doc[live]
-    if (count > RUN).any():
-        parts = -(-count // RUN)
-        k = np.arange(parts.sum()) - np.repeat(np.r_[0, np.cumsum(parts)[:-1]], parts)
-        start, end, doc = np.repeat(start, parts) + k * RUN, np.repeat(start + count, parts), np.repeat(doc, parts)
-        count = np.minimum(RUN, end - start)
+class Runs:
+    """The runs of WIDTH-byte strings that share one minimizer, the leftmost of equal ones; none crosses texts.
+
+    first, count: its strings; at: where the minimizer stands; m: the minimizer's hash, mixed; doc: the text.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.size = len(buf)
+        n = len(buf) - WIDTH + 1
+        if n <= 0:
+            self.first = self.count = self.at = self.doc = np.zeros(0, np.int64)
+            self.m = np.zeros(0, np.uint64)
+            return
+        if len(buf) > _PLACE:
+            raise ValueError("pieces must be shorter")
+        buf = np.ascontiguousarray(buf)
+        words = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,)).copy()
+        with np.errstate(over="ignore"):
+            h = words * _A
+            h ^= h >> U(32)
+            low = h[:-8] * _B
+            low += h[8:]
+            low ^= low >> U(29)
+            low *= _C
+            low ^= low >> U(32)
+        placed = (low & ~U(_PLACE)) | np.arange(len(low), dtype=np.uint64)
+        reach = WIDTH - SEED + 1
+        m, k = placed, 1
+        while 2 * k <= reach:
+            m = np.minimum(m[:-k], m[k:])
+            k *= 2
+        m = np.minimum(m[:n], m[reach - k : reach - k + n]) if reach > k else m[:n]
+        begins = np.zeros(n, bool)
+        begins[0] = True
+        np.not_equal(m[1:], m[:-1], out=begins[1:])
+        begins[off[(off > 0) & (off < n)]] = True
+        dead = np.maximum(off[1:] - WIDTH + 1, off[:-1])
+        begins[dead[(dead < n) & (dead >= 0)]] = True
+        first = np.flatnonzero(begins)
+        count = np.diff(np.r_[first, n])
+        doc = np.searchsorted(off, first, side="right") - 1
+        live = first + WIDTH <= off[doc + 1]
+        first, count, doc = first[live], count[live], doc[live]
+        self.first, self.count, self.doc, self.words = first, count, doc, words
+        self.at = (m[first] & U(_PLACE)).astype(np.int64)
+        self.m = _mixed(low[self.at])
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the bytes to the left of and to the right of each minimizer, it included, and which runs have strings that hold them."""
+        q, last = self.at, self.first + self.count - 1
+        has_left = self.first <= q - LEFT
+        has_right = last > q - LEFT
+        left, right = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64)
+        for out, on, begin, size, salt in ((left, has_left, q - LEFT, LEFT + SEED, U(1)), (right, has_right, q, SEED + RIGHT - 1, U(2))):
+            at, h = begin[on], np.full(int(on.sum()), salt, np.uint64)
+            for k in [*range(0, size - 8, 8), size - 8]:
+                h = _mixed(h ^ self.words[at + k])
+            out[on] = h
+        return left, right, has_left, has_right
+
+    def cut(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Keeps the strings on the sides that are wanted; which runs are left."""
+        edge = self.at - LEFT + 1  # strings from here on hold the right context, those before the left
+        end = self.first + self.count
+        begin = np.where(left, self.first, np.maximum(self.first, edge))
+        end = np.where(right, end, np.minimum(end, edge))
+        self.first, self.count = begin, end - begin
+        return (self.count > 0) & (left | right)
+
+
+def _mixed(v: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        v = m[start] * _B
+        v = v * _B
         v ^= v >> U(31)
         v *= _A
-    return start, count, v ^ (v >> U(28)), doc
+    return v ^ (v >> U(28))
 
 
 def _pieces(off: np.ndarray):
+    """(first text, last text, first byte, end byte): about PIECE bytes; a text longer than LONG comes in parts that overlap by a string less a byte."""
     lo = 0
     while lo < len(off) - 1:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + PIECE, side="right")) - 1)
-        yield lo, hi
+        a, b = int(off[lo]), int(off[hi])
+        while b - a > LONG:
+            yield lo, hi, a, a + LONG
+            a += LONG - WIDTH + 1
+        yield lo, hi, a, b
         lo = hi
 
 
+def _runs_of(buf: np.ndarray, off: np.ndarray):
+    """(first text, first byte, bytes, Runs) of each piece."""
+    for lo, hi, a, b in _pieces(off):
+        bounds = np.clip(off[lo : hi + 1], a, b) - a
+        yield lo, a, buf[a:b], Runs(buf[a:b], bounds)
+
+
 def _by_bucket(m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     bucket = (m & U(0xFFFF)).astype(np.int64) * n >> 16
     order = np.argsort(bucket, kind="stable")
@@ -179,53 +229,53 @@ _SEND = "bucket int, rid long, data binary, rids binary"
 _LIST = "rid long, data binary"
 
 
-def _send_minimizers(buckets: int):
-    """A chunk's distinct minimizers, an entry each: 48 bits and the document that has it, or that several have."""
+def _send_contexts(buckets: int):
+    """A chunk's distinct contexts, an entry each: 48 bits and the document that has it, or that several have."""
     names = ["bucket", "rid", "data", "rids"]
 
-    def flush(ms, docs, rids):
+    def flush(entries, rids):
         rid = np.concatenate(rids)
-        m, doc = np.concatenate(ms), np.concatenate(docs)
-        order = np.lexsort((doc, m))
-        m, doc = m[order], doc[order]
-        keep = np.r_[True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]
-        m, doc = m[keep], doc[keep]
-        new = np.r_[True, m[1:] != m[:-1]]
-        many = np.diff(np.r_[np.flatnonzero(new), len(m)])
+        e = np.sort(np.concatenate(entries))
+        e = e[np.r_[True, e[1:] != e[:-1]]] if len(e) else e
+        h, doc = e & ~U(0xFFFF), (e & U(0xFFFF)).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        many = np.diff(np.r_[new, len(h)])
         several = np.repeat(many, many) > 1
         # documents that share within the chunk know it at once
-        yield from _lists(rid[doc[several]], m[several], names)
-        entry = (m[new] & ~U(0xFFFF)) | np.where(many > 1, 0xFFFF, doc[new]).astype(np.uint64)
-        order, cut = _by_bucket(m[new], buckets)
-        rows = []
+        yield from _lists(rid[doc[several]], h[several], names)
+        entry = h[new] | np.where(many > 1, 0xFFFF, doc[new]).astype(np.uint64)
+        cut = np.searchsorted(entry, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets).clip(0, (1 << 64) - 1).astype(np.uint64))
+        cut[-1] = len(entry)
+        rows, size = [], 0
         for b in range(buckets):
-            e = entry[order[cut[b] : cut[b + 1]]]
-            if len(e):
-                d = (e & U(0xFFFF)).astype(np.int64)
-                used, at = np.unique(d[d != 0xFFFF], return_inverse=True)
-                d[d != 0xFFFF] = at
-                rows.append((b, None, ((e & ~U(0xFFFF)) | d.astype(np.uint64)).tobytes(), rid[used].tobytes()))
-            if rows and (b == buckets - 1 or sum(len(r[2]) for r in rows[-64:]) > 4 << 20):
+            part = entry[cut[b] : cut[b + 1]]
+            if len(part):
+                d = (part & U(0xFFFF)).astype(np.int64)
+                one = d != 0xFFFF
+                used, d[one] = np.unique(d[one], return_inverse=True)
+                rows.append((b, None, ((part & ~U(0xFFFF)) | d.astype(np.uint64)).tobytes(), rid[used].tobytes()))
+                size += part.nbytes
+            if rows and (b == buckets - 1 or size > 4 << 20):
                 yield _batch(rows, names)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield _batch(rows, names)
 
     def run(batches):
-        ms, docs, rids, size, n = [], [], [], 0, 0
+        entries, rids, size, n = [], [], 0, 0
         for batch in batches:
             buf, off = buffer(batch.column(1))
             rids.append(batch.column(0).to_numpy())
-            for lo, hi in _pieces(off):
-                _, _, m, doc = runs(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                ms.append(m)
-                docs.append(doc + lo + n)
+            for lo, _, _, r in _runs_of(buf, off):
+                left, right, has_left, has_right = r.contexts()
+                doc = (r.doc + lo + n).astype(np.uint64)
+                entries += [(left[has_left] & ~U(0xFFFF)) | doc[has_left], (right[has_right] & ~U(0xFFFF)) | doc[has_right]]
             n, size = n + batch.num_rows, size + len(buf)
             if size > CHUNK or n > 60_000:
-                yield from flush(ms, docs, rids)
-                ms, docs, rids, size, n = [], [], [], 0, 0
+                yield from flush(entries, rids)
+                entries, rids, size, n = [], [], 0, 0
         if n:
-            yield from flush(ms, docs, rids)
+            yield from flush(entries, rids)
 
     return run
 
@@ -236,17 +286,17 @@ def _batch(rows, names):
 
 
 def _short(m: np.ndarray) -> np.ndarray:
-    return ((m >> U(16)) & U(0xFFFFFFFF)).astype(np.uint32)
+    return ((m >> U(16)) & U(0xFFFF)).astype(np.uint16)
 
 
 def _lists(rid: np.ndarray, m: np.ndarray, names: list[str]):
-    """A row per document with the short forms of its shared minimizers."""
+    """A row per document with the short forms of its shared contexts; a chance match only costs work."""
     if not len(rid):
         return
     order = np.argsort(rid, kind="stable")
     rid, short = rid[order], _short(m[order])
     cut = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
-    off = np.r_[cut, len(rid)] * 4
+    off = np.r_[cut, len(rid)] * 2
     data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
     cols = {"rid": pa.array(rid[cut]), "data": data, "bucket": pa.array(rid[cut] % 1024 + (1 << 20), pa.int32()), "rids": pa.nulls(len(cut), pa.binary())}
     yield pa.RecordBatch.from_arrays([cols[k] for k in names], names)
@@ -284,6 +334,16 @@ def _find_shared(batches):
         yield from done()
 
 
+def _joined_lists(batches):
+    for batch in batches:
+        parts = batch.column(1)
+        inner = parts.flatten()
+        raw, off = buffer(inner)
+        off = off[parts.offsets.to_numpy() - parts.offsets[0].as_py()].astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(raw.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), data], ["rid", "data"])
+
+
 def _fit(df: DataFrame, packed: str) -> DataFrame:
     """``df`` marked for broadcast if the column ``packed`` and 16 bytes a row are within BROADCAST."""
     size = df.agg(F.sum(F.octet_length(packed) + 16)).first()[0] or 0
@@ -322,25 +382,22 @@ def _send_strings(buckets: int):
             rid, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
             listed, cuts = buffer(lists)
-            have = (np.repeat(np.arange(len(rid)), np.diff(cuts) // 4).astype(np.uint64) << U(32)) | np.frombuffer(listed.tobytes(), np.uint32).astype(np.uint64)
-            have.sort()
-            for lo, hi in _pieces(off):
-                part = buf[off[lo] : off[hi]]
-                start, count, m, doc = runs(part, off[lo : hi + 1] - off[lo])
-                want = ((doc + lo).astype(np.uint64) << U(32)) | _short(m).astype(np.uint64)
-                at = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
-                on = have[at] == want if len(have) else np.zeros(len(want), bool)
-                start, count, m, doc = start[on], count[on], m[on], doc[on]
-                if not len(start):
+            have = (np.repeat(np.arange(len(rid)), np.diff(cuts) // 2).astype(np.uint64) << U(16)) | np.frombuffer(listed.tobytes(), np.uint16).astype(np.uint64)
+            have = np.r_[np.sort(have), ~U(0)]
+            for lo, a, part, r in _runs_of(buf, off):
+                left, right, has_left, has_right = r.contexts()
+                row = (r.doc + lo).astype(np.uint64) << U(16)
+                listed_at = lambda h, row=row: have[np.searchsorted(have, row | _short(h))] == (row | _short(h))
+                on = r.cut(has_left & listed_at(left), has_right & listed_at(right))
+                first, count, m, row = r.first[on], r.count[on], r.m[on], r.doc[on] + lo
+                if not len(first):
                     continue
-                key = xxh64(part, start, count + WIDTH - 1, 7)
-                row = doc + lo
-                n = len(start)
-                where = start - (off[row] - off[lo])
-                cols = [m.view(np.int64), key.view(np.int64), rid[row], order[row], where]
+                key = xxh64(part, first, count + WIDTH - 1, 7)
+                n = len(first)
+                cols = [m.view(np.int64), key.view(np.int64), rid[row], order[row], first + a - off[row]]
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *map(pa.array, cols), *[pa.nulls(n, pa.binary())] * 6], names)
                 size = count + WIDTH - 1
-                take = np.arange(size.sum()) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
+                take = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
                 held.append((m, key, order[row], count, part[take]))
                 total += int(size.sum())
             if total > CHUNK // 2:
@@ -441,7 +498,7 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rid", "spans"])
 
 
-def _identified(docs: DataFrame, *more) -> DataFrame:
+def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.withColumns({"__rid": F.xxhash64("doc_id", text), "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__text": F.encode(text, "UTF-8")})
 
@@ -454,10 +511,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _identified(docs.select("doc_id", "text")).select(F.col("__rid").alias("rid"), F.col("__doc").alias("doc"), F.col("__text").alias("b"))
-    sent = rows.select("rid", "b").mapInArrow(_send_minimizers(n), _SEND)
+    sent = rows.select("rid", "b").mapInArrow(_send_contexts(n), _SEND)
     lists = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_shared, _LIST)
-    lists = lists.groupBy("rid").agg(F.array_join(F.transform(F.collect_list("data"), lambda x: F.hex(x)), "").alias("data")).select("rid", F.unhex("data").alias("data"))
+    lists = lists.groupBy("rid").agg(F.collect_list("data").alias("data")).mapInArrow(_joined_lists, _LIST)
     lists, p1 = materialise(lists, "shared")
+    del sent
     reclaim(spark)
     with_lists = rows.join(_fit(lists, "data"), "rid").select("rid", "doc", "b", "data")
     strings, p2 = materialise(with_lists.mapInArrow(_send_strings(n), _STRINGS), "strings", "zstd")
@@ -524,13 +582,15 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeats cut from ``text``, whole characters at a time; null texts stay null, other columns as they are."""
-    spans = repeated_spans(docs).withColumnRenamed("rid", "__r")
-    names = docs.columns
-    rows = docs.withColumn("__rid", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(_fit(spans, "spans"), F.expr("__rid = __r"), "left")
-    rows = rows.select(*[f"`{c}`" for c in names], F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("__text"), "spans")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __kept string"
-    done = rows.mapInArrow(_apply(len(names), True), schema)
-    return done.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("__kept"))).select(*[f"`{c}`" for c in names])
+    from pyspark.sql import types as T
+
+    spans = repeated_spans(docs).select(F.col("rid").alias("_r"), "spans")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text).alias("_rid"), F.encode(text, "UTF-8").alias("_text"))  # so no column clashes
+    rows = rows.join(_fit(spans, "spans"), F.expr("_rid = _r"), "left").select("row", "_text", "spans")
+    done = rows.mapInArrow(_apply(1, True), T.StructType([rows.schema["row"], T.StructField("__kept", T.StringType())]))
+    left = F.when(F.col("row.text").isNull(), F.col("row.text")).otherwise(F.col("__kept"))
+    return done.select(*[left.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
