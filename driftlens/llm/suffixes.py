@@ -9,9 +9,9 @@ Symbols of the recursion cover 3, 9, 27, 81 bytes, so it ends once names tell WI
 Two rounds of pre-aggregation keep the exchange small. A string of WIDTH bytes holds its minimizer's SEED bytes and
 either the LEFT bytes before or the RIGHT bytes after, so first only 64-bit hashes of those contexts travel, a
 chunk's distinct ones once each, to find those that at least two documents hold. Then the strings around these go,
-again once a chunk, with the smallest and largest doc_id they occur in. So a passage that any share of documents holds
-sends a row a chunk, not a row a document; who holds what is settled by a sort-merge join on the string's key,
-which AQE can split.
+again once a chunk, with the smallest and largest doc_id they occur in, and answers come back to the chunk. So a passage
+that any share of documents holds sends an entry a chunk, not an entry a document, and what a task holds at once is
+a chunk, or a bucket of what all chunks send.
 """
 
 from __future__ import annotations
@@ -222,44 +222,77 @@ def _runs_of(buf: np.ndarray, off: np.ndarray):
 def _by_bucket(m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     bucket = (m & U(0xFFFF)).astype(np.int64) * n >> 16
     order = np.argsort(bucket, kind="stable")
-    return order, np.r_[np.searchsorted(bucket[order], np.arange(n)), len(m)]
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-_SEND = "bucket int, rid long, data binary, rids binary"
+def _grouped(batches, keys: int):
+    """(key, rows) of sorted rows, over batches; a row is the columns after the first ``keys``."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield at, rows
+
+
+def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+# --- first round: contexts that several documents share -------------------------------------------------------------
+
+#: Entries for a bucket (kind 0), or answers for a group of documents (kind 1).
+_SEND = "kind int, place int, data binary, rids binary"
 _LIST = "rid long, data binary"
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """A context's short form; a chance match of two only costs work."""
+    return ((h >> U(16)) & U(0xFFFF)).astype(np.uint16)
+
+
+def _answers(rid: np.ndarray, h: np.ndarray, groups: int):
+    """Packed by group of documents: the documents, and the short forms of contexts that they share with others."""
+    if len(rid):
+        order, cut = _by_bucket(_mixed(rid.view(np.uint64)), groups)
+        short = _short(h)
+        parts = [(g, order[cut[g] : cut[g + 1]]) for g in range(groups) if cut[g + 1] > cut[g]]
+        yield _record(_SEND, [(1, g, short[i].tobytes(), rid[i].tobytes()) for g, i in parts])
+
+
 def _send_contexts(buckets: int):
     """A chunk's distinct contexts, an entry each: 48 bits and the document that has it, or that several have."""
-    names = ["bucket", "rid", "data", "rids"]
 
     def flush(entries, rids):
-        rid = np.concatenate(rids)
-        e = np.sort(np.concatenate(entries))
-        e = e[np.r_[True, e[1:] != e[:-1]]] if len(e) else e
+        rid, e = np.concatenate(rids), np.sort(np.concatenate(entries))
+        if not len(e):
+            return
+        e = e[np.r_[True, e[1:] != e[:-1]]]
         h, doc = e & ~U(0xFFFF), (e & U(0xFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         many = np.diff(np.r_[new, len(h)])
         several = np.repeat(many, many) > 1
         # documents that share within the chunk know it at once
-        yield from _lists(rid[doc[several]], h[several], names)
+        yield from _answers(rid[doc[several]], h[several], buckets)
         entry = h[new] | np.where(many > 1, 0xFFFF, doc[new]).astype(np.uint64)
-        cut = np.searchsorted(entry, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets).clip(0, (1 << 64) - 1).astype(np.uint64))
-        cut[-1] = len(entry)
+        cut = np.searchsorted(entry, np.array([b * (1 << 64) // buckets for b in range(buckets)], np.uint64))
         rows, size = [], 0
-        for b in range(buckets):
-            part = entry[cut[b] : cut[b + 1]]
+        for b, part in enumerate(np.split(entry, cut[1:])):
             if len(part):
                 d = (part & U(0xFFFF)).astype(np.int64)
                 one = d != 0xFFFF
                 used, d[one] = np.unique(d[one], return_inverse=True)
-                rows.append((b, None, ((part & ~U(0xFFFF)) | d.astype(np.uint64)).tobytes(), rid[used].tobytes()))
+                rows.append((0, b, ((part & ~U(0xFFFF)) | d.astype(np.uint64)).tobytes(), rid[used].tobytes()))
                 size += part.nbytes
             if rows and (b == buckets - 1 or size > 4 << 20):
-                yield _batch(rows, names)
+                yield _record(_SEND, rows)
                 rows, size = [], 0
-        if rows:
-            yield _batch(rows, names)
 
     def run(batches):
         entries, rids, size, n = [], [], 0, 0
@@ -274,228 +307,252 @@ def _send_contexts(buckets: int):
             if size > CHUNK or n > 60_000:
                 yield from flush(entries, rids)
                 entries, rids, size, n = [], [], 0, 0
-        if n:
+        if entries:
             yield from flush(entries, rids)
 
     return run
 
 
-def _batch(rows, names):
-    kinds = {"bucket": pa.int32(), "rid": pa.int64(), "data": pa.binary(), "rids": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, k in zip(zip(*rows, strict=True), names, strict=True)], names)
+def _find_shared(groups: int):
+    """Answers from entries: contexts with more than one entry in a bucket are shared by documents of several chunks."""
 
+    def run(batches):
+        for (kind, place), rows in _grouped(batches, 2):
+            if kind:
+                yield _record(_SEND, [(kind, place, *row) for row in rows])
+                continue
+            entry = [np.frombuffer(d, np.uint64) for d, _ in rows]
+            e, ids = np.concatenate(entry), np.concatenate([np.frombuffer(r, np.int64) for _, r in rows])
+            base = np.repeat(np.r_[0, np.cumsum([len(r) // 8 for _, r in rows])[:-1]], [*map(len, entry)])
+            order = np.argsort(e & ~U(0xFFFF), kind="stable")
+            e, base = e[order], base[order]
+            h, d = e & ~U(0xFFFF), (e & U(0xFFFF)).astype(np.int64)
+            many = np.diff(np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]))
+            tell = (np.repeat(many, many) > 1) & (d != 0xFFFF)
+            yield from _answers(ids[base[tell] + d[tell]], h[tell], groups)
 
-def _short(m: np.ndarray) -> np.ndarray:
-    return ((m >> U(16)) & U(0xFFFF)).astype(np.uint16)
+    return run
 
 
-def _lists(rid: np.ndarray, m: np.ndarray, names: list[str]):
-    """A row per document with the short forms of its shared contexts; a chance match only costs work."""
-    if not len(rid):
-        return
-    order = np.argsort(rid, kind="stable")
-    rid, short = rid[order], _short(m[order])
-    cut = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
-    off = np.r_[cut, len(rid)] * 2
-    data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
-    cols = {"rid": pa.array(rid[cut]), "data": data, "bucket": pa.array(rid[cut] % 1024 + (1 << 20), pa.int32()), "rids": pa.nulls(len(cut), pa.binary())}
-    yield pa.RecordBatch.from_arrays([cols[k] for k in names], names)
+def _lists(batches):
+    """A row per document with the short forms of the contexts it shares, each once."""
+    for _, rows in _grouped(batches, 1):
+        rid = np.concatenate([np.frombuffer(r, np.int64) for _, r in rows])
+        short = np.concatenate([np.frombuffer(d, np.uint16) for d, _ in rows])
+        order = np.lexsort((short, rid))
+        rid, short = rid[order], short[order]
+        one = np.r_[True, (rid[1:] != rid[:-1]) | (short[1:] != short[:-1])]
+        rid, short = rid[one], short[one]
+        cut = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+        off = (np.r_[cut, len(rid)] * 2).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(short.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[cut]), data], ["rid", "data"])
 
 
-def _find_shared(batches):
-    at, rows = None, []
+def _fit(df: DataFrame, packed: str) -> DataFrame:
+    """``df`` marked for broadcast if the column ``packed`` and 16 bytes a row are within BROADCAST."""
+    size = df.agg(F.sum(F.octet_length(packed) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST else df
 
-    def done():
-        entry = [np.frombuffer(d, np.uint64) for d, _ in rows]
-        e, ids = np.concatenate(entry), np.concatenate([np.frombuffer(r, np.int64) for _, r in rows])
-        base = np.repeat(np.r_[0, np.cumsum([len(r) // 8 for _, r in rows])[:-1]], [*map(len, entry)])
-        m, d = e & ~U(0xFFFF), (e & U(0xFFFF)).astype(np.int64)
-        order = np.argsort(m, kind="stable")
-        m, d, base = m[order], d[order], base[order]
-        new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        many = np.diff(np.r_[new, len(m)])
-        tell = (np.repeat(many, many) > 1) & (d != 0xFFFF)
-        yield from _lists(ids[base[tell] + d[tell]], m[tell], ["rid", "data"])
 
-    for batch in batches:
-        for bucket, rid, data, rids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if rid is not None:
-                if rows:
-                    yield from done()
-                    at, rows = None, []
-                yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([data])], ["rid", "data"])
-                continue
-            if bucket != at:
-                if rows:
-                    yield from done()
-                at, rows = bucket, []
-            rows.append((data, rids))
-    if rows:
-        yield from done()
+# --- second round: the runs around shared contexts ------------------------------------------------------------------
 
+#: Of a chunk and bucket (kind 0): its distinct runs, each with smallest and largest doc_id, and who has them where.
+#: Of a chunk (kind 1): its documents, as rid and doc_id. To a chunk and bucket (kind 2): what goes, by run.
+_ROWS = "chunk long, bucket int, kind int, runs binary, text binary, who binary"
 
-def _joined_lists(batches):
-    for batch in batches:
-        parts = batch.column(1)
-        inner = parts.flatten()
-        raw, off = buffer(inner)
-        off = off[parts.offsets.to_numpy() - parts.offsets[0].as_py()].astype(np.int32)
-        data = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(raw.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column(0), data], ["rid", "data"])
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, behind that length."""
+    return b"".join([len(arrays[0]).to_bytes(8, "little"), *(x.tobytes() for x in arrays)])
 
-def _fit(df: DataFrame, packed: str) -> DataFrame:
-    """``df`` marked for broadcast if the column ``packed`` and 16 bytes a row are within BROADCAST."""
-    size = df.agg(F.sum(F.octet_length(packed) + 16)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST else df
+
+def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
 
 
-_STRINGS = "bucket int, m long, key long, rid long, doc long, at long, ms binary, ks binary, lows binary, highs binary, counts binary, bytes binary"
+_RUN = (np.uint64, np.uint64, np.int64, np.int64, np.uint8)  # minimizer, hash of the bytes, smallest and largest doc_id, strings
+_WHO = (np.uint32, np.uint32, np.uint32)  # run, document, offset
+_GO = (np.uint32, np.uint8, np.uint8, np.int64)  # run, first and last-exclusive string, smallest doc_id that has them
 
 
 def _send_strings(buckets: int):
-    """Occurrences (m, key, rid, doc, at) of candidate runs, and a chunk's distinct runs packed by bucket."""
-    names = [x.split()[0] for x in _STRINGS.split(", ")]
+    def flush(chunk, held, rids, docs):
+        import zstandard
 
-    def flush(held):
-        m, key, doc, count = (np.concatenate([h[i] for h in held]) for i in range(4))
+        m, key, doc, at, count = (np.concatenate([h[i] for h in held]) for i in range(5))
         size = count + WIDTH - 1
-        text, base = np.concatenate([h[4] for h in held]), np.r_[0, np.cumsum(size)]
+        text, base = np.concatenate([h[5] for h in held]), np.r_[0, np.cumsum(size)]
+        ids = np.concatenate(docs)
         order = np.lexsort((key, m))
-        new = np.flatnonzero(np.r_[True, (m[order][1:] != m[order][:-1]) | (key[order][1:] != key[order][:-1])])
-        low, high = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
-        one = order[new]
-        order, cut = _by_bucket(m[one], buckets)
+        first = np.r_[True, (m[order][1:] != m[order][:-1]) | (key[order][1:] != key[order][:-1])]
+        new, run = np.flatnonzero(first), np.cumsum(first) - 1
+        low, high = np.minimum.reduceat(ids[doc[order]], new), np.maximum.reduceat(ids[doc[order]], new)
+        one, ends = order[new], np.r_[new, len(order)]
+        squeeze = zstandard.ZstdCompressor(level=1)
+        yield _record(_ROWS, [(chunk, -1, 1, None, None, _pack(np.concatenate(rids), ids))])
+        del run
+        into, cut = _by_bucket(m[one], buckets)
         for b in range(buckets):
-            i = order[cut[b] : cut[b + 1]]
+            i = np.sort(into[cut[b] : cut[b + 1]])
             if len(i):
-                k = one[i]
-                n = size[k]
+                k, n = one[i], size[one[i]]
                 take = np.arange(n.sum()) + np.repeat(base[k] - np.r_[0, np.cumsum(n)[:-1]], n)
-                cols = [m[k], key[k], low[i], high[i], count[k].astype(np.int32), text[take]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.nulls(1, pa.int64())] * 5, *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names)
+                many = ends[i + 1] - ends[i]
+                who = order[np.arange(many.sum()) + np.repeat(ends[i] - np.r_[0, np.cumsum(many)[:-1]], many)]
+                runs = _pack(m[k], key[k], low[i], high[i], count[k].astype(np.uint8))
+                owners = _pack(np.repeat(np.arange(len(i)), many).astype(np.uint32), doc[who].astype(np.uint32), at[who].astype(np.uint32))
+                yield _record(_ROWS, [(chunk, b, 0, runs, squeeze.compress(text[take].tobytes()), owners)])
 
     def run(batches):
-        held, total = [], 0
+        from pyspark import TaskContext
+
+        chunk, held, rids, docs, total, n = TaskContext.get().partitionId() << 32, [], [], [], 0, 0
         for batch in batches:
             buf, off = buffer(batch.column(2))
-            rid, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(3)
-            listed, cuts = buffer(lists)
-            have = (np.repeat(np.arange(len(rid)), np.diff(cuts) // 2).astype(np.uint64) << U(16)) | np.frombuffer(listed.tobytes(), np.uint16).astype(np.uint64)
+            listed, cuts = buffer(batch.column(3))
+            have = (np.repeat(np.arange(batch.num_rows), np.diff(cuts) // 2).astype(np.uint64) << U(16)) | np.frombuffer(listed.tobytes(), np.uint16).astype(np.uint64)
             have = np.r_[np.sort(have), ~U(0)]
             for lo, a, part, r in _runs_of(buf, off):
                 left, right, has_left, has_right = r.contexts()
                 row = (r.doc + lo).astype(np.uint64) << U(16)
                 listed_at = lambda h, row=row: have[np.searchsorted(have, row | _short(h))] == (row | _short(h))
                 on = r.cut(has_left & listed_at(left), has_right & listed_at(right))
-                first, count, m, row = r.first[on], r.count[on], r.m[on], r.doc[on] + lo
-                if not len(first):
-                    continue
-                key = xxh64(part, first, count + WIDTH - 1, 7)
-                n = len(first)
-                cols = [m.view(np.int64), key.view(np.int64), rid[row], order[row], first + a - off[row]]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *map(pa.array, cols), *[pa.nulls(n, pa.binary())] * 6], names)
-                size = count + WIDTH - 1
-                take = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
-                held.append((m, key, order[row], count, part[take]))
-                total += int(size.sum())
+                first, count, row = r.first[on], r.count[on], r.doc[on] + lo
+                if len(first):
+                    size = count + WIDTH - 1
+                    take = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
+                    held.append((r.m[on], xxh64(part, first, size, 7), row + n, first + a - off[row], count, part[take]))
+                    total += int(size.sum())
+            rids.append(batch.column(0).to_numpy())
+            docs.append(batch.column(1).to_numpy())
+            n += batch.num_rows
             if total > CHUNK // 2:
-                yield from flush(held)
-                held, total = [], 0
+                yield from flush(chunk, held, rids, docs)
+                chunk, held, rids, docs, total, n = chunk + 1, [], [], [], 0, 0
         if held:
-            yield from flush(held)
+            yield from flush(chunk, held, rids, docs)
 
     return run
 
 
-_FOUND = "m long, key long, n int, least array<long>"
-
-
 def _sort_strings(batches):
-    """For every distinct run: at which of its strings another smallest doc_id begins, as (string, doc_id) in turn."""
-    at, rows = None, []
+    """Answers to each chunk: which strings of its runs also begin in a smaller doc_id than its largest that has them."""
+    import zstandard
 
-    def done():
-        m, key, low, high, count, text = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)))
+    for (bucket,), rows in _grouped(batches, 1):
+        parts = [_unpack(r, *_RUN) for _, r, _ in rows]
+        m, key, low, high, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        text = np.frombuffer(b"".join([zstandard.ZstdDecompressor().decompress(t) for _, _, t in rows]), np.uint8)
         count = count.astype(np.int64)
         base = np.r_[0, np.cumsum(count + WIDTH - 1)]
         order = np.lexsort((key, m))
-        new = np.flatnonzero(np.r_[True, (m[order][1:] != m[order][:-1]) | (key[order][1:] != key[order][:-1])])
-        low, high, one = np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new), order[new]
-        m, key, count, base = m[one], key[one], count[one], base[one]
-        size = count + WIDTH - 1
-        group = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        ends = np.cumsum(size)
-        lo = 0
-        while lo < len(m):  # whole minimizers, about SORTED bytes of them
-            limit = (ends[lo - 1] if lo else 0) + SORTED
-            hi = int(np.searchsorted(group, max(lo + 1, np.searchsorted(ends, limit)), side="left"))
-            hi = int(group[hi]) if hi < len(group) else len(m)
-            yield from sort(m[lo:hi], key[lo:hi], low[lo:hi], high[lo:hi], count[lo:hi], text, base[lo:hi])
-            lo = hi
-
-    def sort(m, key, low, high, count, text, base):
-        size = count + WIDTH - 1
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        part = text[np.arange(size.sum()) + np.repeat(base - start, size)]
-        where, group = equal_windows(part, start, count)
-        owner = np.searchsorted(start, where, side="right") - 1
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        least = np.empty(len(part), np.int64)
-        least[where] = np.minimum.reduceat(low[owner], first)[group]
-        index = np.arange(count.sum()) + np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count)  # all strings, run by run
-        run, value = np.repeat(np.arange(len(m)), count), least[index]
-        keep = np.zeros(len(m), bool)
-        np.logical_or.at(keep, run, value < high[run])
-        begins = keep[run] & np.r_[True, (run[1:] != run[:-1]) | (value[1:] != value[:-1])]
-        who = run[begins]
-        flat = np.stack([index[begins] - start[who], value[begins]], axis=1).ravel()
-        kept = np.flatnonzero(keep)
-        off = np.r_[np.searchsorted(who, kept), len(who)] * 2
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(m[kept].view(np.int64)), pa.array(key[kept].view(np.int64)), pa.array(count[kept].astype(np.int32)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))], ["m", "key", "n", "least"])
+        first = np.r_[True, (m[order][1:] != m[order][:-1]) | (key[order][1:] != key[order][:-1])]
+        new = np.flatnonzero(first)
+        kind = np.empty(len(m), np.int64)
+        kind[order] = np.cumsum(first) - 1
+        one = order[new]
+        least = _least(m[one], np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new), count[one], base[one], text)
+        owner, begin, end, doc = least
+        cut = np.searchsorted(owner, np.arange(len(one) + 1))
+        at = 0
+        for (chunk, _, _), p in zip(rows, parts, strict=True):
+            k = kind[at : at + len(p[0])]
+            at += len(k)
+            many = cut[k + 1] - cut[k]
+            i = np.arange(many.sum()) + np.repeat(cut[k] - np.r_[0, np.cumsum(many)[:-1]], many)
+            mine = np.repeat(np.arange(len(k)), many)
+            on = doc[i] < p[3][mine]
+            i, mine = i[on], mine[on]
+            if len(i):
+                go = _pack(mine.astype(np.uint32), begin[i].astype(np.uint8), end[i].astype(np.uint8), doc[i])
+                yield _record(_ROWS, [(chunk, bucket, 2, None, None, go)])
 
-    for batch in batches:
-        for bucket, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if bucket != at:
-                if rows:
-                    yield from done()
-                at, rows = bucket, []
-            rows.append(row)
-    if rows:
-        yield from done()
 
+def _least(m, low, high, count, base, text):
+    """(run, first string, last-exclusive string, smallest doc_id) of stretches that some larger doc_id has too; runs sorted by m.
 
-def _removed(batches):
-    """(rid, first, last) of the strings that go, from occurrences and what their runs found."""
-    for batch in batches:
-        rid, doc, at, n, least = batch.columns
-        rid, doc, at, n = (x.to_numpy() for x in (rid, doc, at, n))
-        off = least.offsets.to_numpy() // 2
-        flat = least.values.to_numpy()[2 * off[0] : 2 * off[-1]].reshape(-1, 2) if len(least) else np.zeros((0, 2), np.int64)
-        row = np.repeat(np.arange(len(rid)), np.diff(off))
-        begin = flat[:, 0]
-        end = np.r_[begin[1:], 0]
-        end[np.r_[row[1:] != row[:-1], True]] = n[row[np.r_[row[1:] != row[:-1], True]]] if len(row) else 0
-        go = flat[:, 1] < doc[row]
-        if go.any():
-            row, begin, end = row[go], begin[go], end[go]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(at[row] + begin), pa.array(at[row] + end - 1 + WIDTH)], ["rid", "lo", "hi"])
-
-
-def _merged(batches):
-    """A document's removed byte runs, sorted and joined where they touch or overlap."""
+    Runs of one minimizer are sorted together, about SORTED bytes at a time; a run that is alone with its minimizer has
+    no other to share a string with.
+    """
+    group = np.r_[np.flatnonzero(np.r_[True, m[1:] != m[:-1]]), len(m)]
+    alone = np.repeat(np.diff(group) == 1, np.diff(group))
+    lone = np.flatnonzero(alone & (low < high))
+    out = [np.stack([lone, np.zeros(len(lone), np.int64), count[lone], low[lone]])]
+    left = np.flatnonzero(~alone)
+    size = count[left] + WIDTH - 1
+    ends = np.cumsum(size)
+    starts = np.flatnonzero(np.r_[True, m[left][1:] != m[left][:-1]]) if len(left) else left
+    lo = 0
+    while lo < len(left):
+        reach = np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SORTED)
+        hi = int(np.searchsorted(starts, max(lo + 1, reach)))
+        hi = int(starts[hi]) if hi < len(starts) else len(left)
+        i, n = left[lo:hi], size[lo:hi]
+        start = np.r_[0, np.cumsum(n)[:-1]]
+        part = text[np.arange(n.sum()) + np.repeat(base[i] - start, n)]
+        where, equal = equal_windows(part, start, count[i])
+        run = np.searchsorted(start, where, side="right") - 1
+        first = np.flatnonzero(np.r_[True, equal[1:] != equal[:-1]])
+        least = np.empty(len(part), np.int64)
+        least[where] = np.minimum.reduceat(low[i][run], first)[equal]
+        run = np.repeat(np.arange(len(i)), count[i])
+        index = np.arange(len(run)) - np.repeat(np.r_[0, np.cumsum(count[i])[:-1]], count[i])  # string of its run
+        value = least[start[run] + index]
+        new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (value[1:] != value[:-1])])
+        last = np.r_[new[1:], len(run)] - 1
+        new, last = (x[value[new] < high[i][run[new]]] for x in (new, last))
+        out.append(np.stack([i[run[new]], index[new], index[last] + 1, value[new]]))
+        lo = hi
+    run, begin, end, doc = np.concatenate(out, axis=1)
+    order = np.lexsort((begin, run))
+    return run[order], begin[order], end[order], doc[order]
+
+
+def _spans(batches):
+    """A row per document of a chunk that loses bytes: its runs of bytes that go, sorted and joined where they touch."""
+    for _, rows in _grouped(batches, 1):
+        who, go = {}, {}
+        for bucket, kind, data in rows:
+            if kind == 1:
+                rid, ids = _unpack(data, np.int64, np.int64)
+            else:
+                (go if kind else who)[bucket] = data
+        doc, lo, hi = [], [], []
+        for bucket, data in go.items():
+            run, begin, end, least = _unpack(data, *_GO)
+            owner, d, at = _unpack(who[bucket], *_WHO)
+            a, b = np.searchsorted(owner, run), np.searchsorted(owner, run, side="right")
+            i = np.arange((b - a).sum()) + np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a)
+            j = np.repeat(np.arange(len(run)), b - a)
+            on = least[j] < ids[d[i]]
+            i, j = i[on], j[on]
+            doc.append(d[i].astype(np.int64))
+            lo.append(at[i].astype(np.int64) + begin[j])
+            hi.append(at[i].astype(np.int64) + end[j] - 1 + WIDTH)
+        if not doc:
+            continue
+        doc, lo, hi = map(np.concatenate, (doc, lo, hi))
+        order = np.lexsort((lo, doc))
+        doc, lo, hi = doc[order], lo[order], hi[order]
+        far = doc << 40  # offsets of different documents can't touch
+        top = np.maximum.accumulate(far + hi)
+        new = np.flatnonzero(np.r_[True, (far + lo)[1:] > top[:-1]])
+        span = np.stack([lo[new], top[np.r_[new[1:], len(lo)] - 1] - far[new]], axis=1)
+        cut = np.flatnonzero(np.r_[True, doc[new][1:] != doc[new][:-1]])
+        off = (np.r_[cut, len(new)] * 16).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(span.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[doc[new][cut]]), data], ["rid", "spans"])
+
+
+def _whole(batches):
     for batch in batches:
-        out = []
-        for x in batch.column(1):
-            lo, hi = (x.values.field(i).to_numpy() for i in (0, 1))
-            order = np.argsort(lo, kind="stable")
-            lo, top = lo[order], np.maximum.accumulate(hi[order])
-            new = np.r_[True, lo[1:] > top[:-1]]
-            last = np.r_[np.flatnonzero(new)[1:] - 1, len(lo) - 1]
-            out.append(np.stack([lo[new], top[last]], axis=1).astype(np.int64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rid", "spans"])
+        n = batch.column(1).to_numpy().astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array([0, x]).tobytes() for x in n], pa.binary())], ["rid", "spans"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -503,30 +560,41 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__rid": F.xxhash64("doc_id", text), "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__text": F.encode(text, "UTF-8")})
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(rid, n_bytes) of documents whose whole text a smaller doc_id has: 128 bits of hash and the length tell."""
+    keys = _identified(docs.select("doc_id", "text")).select(F.col("__rid").alias("rid"), F.col("__doc").alias("doc"), F.xxhash64("__text").alias("h"), F.xxhash64(F.lit(1), "__text").alias("g"), F.octet_length("__text").alias("n_bytes"))
+    keys, path = materialise(keys, "keys")
+    least = keys.groupBy("h", "g", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    out, _ = materialise(keys.join(least, ["h", "g", "n_bytes"]).filter("doc > least").select("rid", "n_bytes").distinct(), "copies")
+    delete(docs.sparkSession, path)
+    return out
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, spans): per document that has any, its byte runs that strings of WIDTH bytes cover which also start in a smaller doc_id.
 
-    spans is packed: pairs of 64-bit first and last-exclusive offsets, sorted and disjoint. rid is a hash of doc_id and text.
+    spans is packed: pairs of 64-bit first and last-exclusive offsets, sorted and disjoint. rid is a hash of doc_id and
+    text. A text that a smaller doc_id has as a whole goes as a whole, and takes no part in the search.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copied = copies(docs)
     rows = _identified(docs.select("doc_id", "text")).select(F.col("__rid").alias("rid"), F.col("__doc").alias("doc"), F.col("__text").alias("b"))
-    sent = rows.select("rid", "b").mapInArrow(_send_contexts(n), _SEND)
-    lists = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_shared, _LIST)
-    lists = lists.groupBy("rid").agg(F.collect_list("data").alias("data")).mapInArrow(_joined_lists, _LIST)
+    known = copied.select("rid")
+    fresh = rows.select("rid", "b").join(F.broadcast(known) if known.count() * 16 <= BROADCAST else known, "rid", "left_anti")
+    told = fresh.mapInArrow(_send_contexts(n), _SEND).repartition(n, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(_find_shared(n), _SEND)
+    lists = told.select("place", "data", "rids").repartition(n, "place").sortWithinPartitions("place").mapInArrow(_lists, _LIST)
     lists, p1 = materialise(lists, "shared")
-    del sent
     reclaim(spark)
-    with_lists = rows.join(_fit(lists, "data"), "rid").select("rid", "doc", "b", "data")
-    strings, p2 = materialise(with_lists.mapInArrow(_send_strings(n), _STRINGS), "strings", "zstd")
-    packed = strings.filter("bucket is not null").select("bucket", "ms", "ks", "lows", "highs", "counts", "bytes")
-    found = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_strings, _FOUND)
-    found, p3 = materialise(found, "found")
+    strings, p2 = materialise(rows.join(_fit(lists, "data"), "rid").select("rid", "doc", "b", "data").mapInArrow(_send_strings(n), _ROWS), "strings")
     reclaim(spark)
-    held = strings.filter("bucket is null").select("m", "key", "rid", "doc", "at").join(found, ["m", "key"]).select("rid", "doc", "at", "n", "least")
-    spans = held.mapInArrow(_removed, "rid long, lo long, hi long").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
-    spans, _ = materialise(spans.mapInArrow(_merged, "rid long, spans binary"), "spans")
-    delete(spark, p1, p2, p3)
+    sent = strings.filter("kind = 0").select("bucket", "chunk", "runs", "text").repartition(n, "bucket").sortWithinPartitions("bucket")
+    answers = sent.mapInArrow(_sort_strings, _ROWS)
+    back = strings.unionByName(answers).select("chunk", "bucket", "kind", "who").repartition(n, "chunk").sortWithinPartitions("chunk")
+    spans = back.mapInArrow(_spans, "rid long, spans binary")
+    whole = copied.filter(F.col("n_bytes") >= WIDTH).mapInArrow(_whole, "rid long, spans binary")
+    spans, _ = materialise(spans.unionByName(whole).groupBy("rid").agg(F.first("spans").alias("spans")), "spans")  # rows that repeat agree
+    delete(spark, p1, p2)
     reclaim(spark)
     return spans
 
