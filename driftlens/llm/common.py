@@ -85,38 +85,36 @@ def reclaim(spark: SparkSession) -> None:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges`` between longs: rows (node, component), component the smallest node.
 
-    Each round hooks every node to its smallest neighbour if that is smaller, jumps one pointer further, and
-    contracts the edges along it; local minima survive, so the edges melt away in about log(n) rounds. Only
-    groupings that combine on the map side and sort-merge joins touch the edges, so hubs don't gather in one task.
-    Null ends and loops are ignored; no edges give no rows.
+    Each round hooks every node to its smallest neighbour if that is smaller, follows the hooks to their ends by
+    pointer jumping, and contracts the edges; the ends are local minima, at most half of the nodes that have edges left,
+    so rounds and jumps are logarithmic even on long chains. Only groupings that combine on the map side and sort-merge
+    joins touch the edges, so hubs don't gather in one task, and every step is written to the shared folder, so plans stay
+    short. Null ends and loops are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
+    old: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = materialise(df, name)
+        old.append(path)
+        return df
+
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    edges, path = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    levels, drop = [], [path]
+    edges = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    found = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
-        hook = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        jump = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hook = hook.join(jump, "up", "left").select("node", F.coalesce("up2", "up").alias("up"))
-        hook, path = materialise(hook, "hook")
-        levels.append(hook)
-        drop.append(path)
+        hook = kept(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "hook")
+        while True:
+            jump = hook.select(F.col("node").alias("up"), F.col("up").alias("far"))
+            if hook.join(jump, "up", "left_semi").isEmpty():
+                break
+            hook = kept(hook.join(jump, "up", "left").select("node", F.coalesce("far", "up").alias("up")), "hook")
+        found = found.join(hook.select(F.col("node").alias("component"), "up"), "component", "left")
+        found = kept(found.select("node", F.coalesce("up", "component").alias("component")), "found")
         for end in ("a", "b"):
-            edges = edges.join(hook.select(F.col("node").alias(end), "up"), end, "left")
-            edges = edges.withColumn(end, F.coalesce("up", end)).drop("up")
+            edges = edges.join(hook.select(F.col("node").alias(end), "up"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
         edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges, path = materialise(edges, "edges")
-        drop.append(path)
-    if not levels:
-        found = spark.createDataFrame([], "node long, component long")
-    else:
-        found = levels[-1].select("node", F.col("up").alias("component"))
-        for hook in reversed(levels[:-1]):
-            up = found.select(F.col("node").alias("up"), "component")
-            lower = hook.join(up, "up", "left").select("node", F.coalesce("component", "up").alias("component"))
-            found = lower.unionByName(found)
-        # a root hangs below nothing; it is its own component
-        found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    found, _ = materialise(found.distinct(), "components")  # a node may have hooked in two rounds, to one root
-    delete(spark, *drop)
+        edges = kept(edges, "edges")
+    found, _ = materialise(found, "components")
+    delete(spark, *old)
     return found
