@@ -49,22 +49,14 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    stats = let(
-        words_of(body),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
-        ),
-    )
+    words = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeats"))
+    dups = lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dups"))
+    symbols = F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long")
+    # the id keeps filters on the statistics from being pushed below them, which would work them out once more
+    once = F.struct(let(words_of(body), words).alias("w"), let(lines, dups).alias("l"), symbols.alias("s"), F.monotonically_increasing_id().alias("once"))
     return (
-        docs.withColumn("_w", stats)
-        .withColumn("n_words", F.col("_w.n_words"))
-        .withColumn("word_chars", F.col("_w.word_chars"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_repeat_words", F.col("_w.n_repeat_words"))
+        docs.withColumn("_w", once)
+        .withColumns({"n_words": F.col("_w.w.n"), "word_chars": F.col("_w.w.chars"), "n_symbols": F.col("_w.s"), "n_dup_lines": F.col("_w.l.dups"), "n_lines": F.col("_w.l.n"), "n_repeat_words": F.col("_w.w.repeats")})
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .drop("_w")
     )
