@@ -29,7 +29,7 @@ SEED = 16
 LEFT = (WIDTH - SEED) // 2
 RIGHT = WIDTH - SEED - LEFT + 1
 #: Text that one map task aggregates before it sends, and that is hashed at once; text sorted at once.
-CHUNK, PIECE, SORTED = 48 << 20, 256 << 10, 1 << 20
+CHUNK, PIECE, SORTED = 16 << 20, 256 << 10, 1 << 20
 #: Size up to which a table is broadcast to texts, in bytes as packed; beyond, texts are shuffled to it.
 BROADCAST = 48 << 20
 #: A position in a piece, in the low bits of a minimizer's hash; texts longer than LONG are cut into overlapping parts.
