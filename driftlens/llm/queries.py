@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lattice, mixing, pieces, quality, shards, simhash, suffixes, tokens, warc
+from . import chat, lattice, mixing, oracles, pieces, quality, shards, simhash, suffixes, tokens, warc
 
 QUERIES = {
     "op4_shards": shards.op4_shards,
@@ -18,6 +18,9 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_shards": shards.OP4_SQL,
+    "op5_mixing": oracles.OP5,
+    "op6_warc": oracles.OP6,
+    "op9_quality_rules": oracles.OP9,
     "op1_lattice": lattice.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
 }
