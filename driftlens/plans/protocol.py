@@ -110,6 +110,16 @@ def gap_table(real: DataFrame, synthetic: DataFrame | None, bucket: Bucket, draw
     return parts.groupBy("resample").applyInPandas(score, "resample long, g_rr double, g_sr double")
 
 
+def verify_fast(real: DataFrame, synthetic: DataFrame, k2=(60, 390), k3=(1, 390), paths: int = 20, tolerance: float = 1e-10) -> None:
+    """An error unless the FFT curves give the gaps of the summed ones, on each side's first paths."""
+    long = gaps.two(*(to_long(c.filter(F.col("path_id") < paths), "path_id") for c in (real, synthetic)))
+    for (lo, hi), leverage in ((k2, False), (k3, True)):
+        lags = range(lo, hi + 1)
+        a, b = (gaps.curve_gap(f(long, lags, leverage)).first()["gap"] for f in (gaps.lag_curves, gaps.fast_curves))
+        if abs(a - b) >= tolerance:
+            raise ValueError(f"fast and summed curves differ by {abs(a - b):.3g}")
+
+
 def similarity(g_rr: np.ndarray, g_sr: np.ndarray) -> float:
     """mean(g_rr) / (mean(g_rr) + mean(g_sr)); 0 where the sum is not above 0, NaN included. 0.5 is the noise floor."""
     a, b = float(np.mean(g_rr)), float(np.mean(g_sr))

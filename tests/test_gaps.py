@@ -177,3 +177,30 @@ def test_scores_and_ranks(spark):
     assert "B1" in text and "1. y" in text and "Composite (geometric)" in text
     with pytest.raises(ValueError):
         protocol.run_benchmark(scores, {})
+
+
+def test_fast_curves_are_verified(spark, monkeypatch):
+    a, b = frame(spark, paths(1)), frame(spark, paths(2))
+    protocol.verify_fast(a, b, (5, 20), (1, 20))
+    monkeypatch.setattr(protocol.gaps, "fast_curves", lambda long, lags, leverage: gaps.lag_curves(long, lags, not leverage))
+    with pytest.raises(ValueError):
+        protocol.verify_fast(a, b, (5, 20), (1, 20))
+
+
+def test_command_line_scores_what_is_there(spark, tmp_path, capsys, monkeypatch):
+    from driftlens.__main__ import main, score
+    from driftlens.sources import sinks
+
+    out = f"file://{tmp_path}"
+    x = paths(3, 60, 400)
+    sinks.write_corpus(frame(spark, x), f"{out}/eval")
+    sinks.write_corpus(frame(spark, x[::-1] * 1.5), f"{out}/made")
+    sinks.write_manifest(spark, f"{out}/manifest.json", 400, float(x.mean()), float(x.std()))
+    few = protocol.run_benchmark
+    monkeypatch.setattr(protocol, "run_benchmark", lambda real, found: few(real, found, protocol.buckets((1, 9), (1, 9), (1, 5), (5, 9), 9), n=20, resamples=3, bootstrap=5))
+    monkeypatch.setattr(protocol, "verify_fast", lambda *a: None)
+    main(["score", "made", "gone", "--output", out], spark)
+    said = capsys.readouterr().out
+    assert "SKIP gone" in said and "WARN" in said and "1. made" in said
+    with pytest.raises(SystemExit):
+        score(spark, out, ["gone"])
