@@ -1,0 +1 @@
+"""NumPy kernels for small dense arrays."""

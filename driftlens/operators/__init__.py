@@ -1,0 +1 @@
+"""Operators on bars, returns and corpora of paths."""

@@ -1,0 +1 @@
+"""Preparation, samplers, protocol, registered queries."""
