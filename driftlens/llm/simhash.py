@@ -16,6 +16,8 @@ BITS = 64
 ROOT_ROWS = 50_000
 #: Depth by which a full root is split: node pairs within the budget stay few (1 + 8 + 28 per node).
 SPLIT_BITS = 8
+#: Node pairs that go down the trie at once.
+FRONTIER = 1 << 16
 #: Copies up to which their ids (8 bytes each) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
 
@@ -67,23 +69,32 @@ def _pieces(off: np.ndarray, size: int = 256 << 10):
         lo = hi
 
 
-def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS):
-    """Pairs (i, j), i < j for equal nodes, of sorted ``keys`` within ``budget`` differing bits, from pairs of trie nodes.
+def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS, known=None):
+    """Yields arrays of pairs (i, j) of sorted ``keys`` within ``budget`` differing bits, from pairs of trie nodes.
 
     A node is a range of the sorted keys that share their leading bits; ``left`` and ``right`` are (n, 2) ranges, all at
     the same depth, ``64 - bits`` bits down. Both nodes of a pair go down together; children that disagree spend one bit
-    of the budget and pairs beyond it are cut off. Small pairs are compared outright.
+    of the budget and pairs beyond it are cut off. Small pairs are compared outright. At most FRONTIER pairs go down at
+    once, the rest waits on a stack, so memory doesn't follow the number of pairs. ``known(left, right)`` may tell
+    node pairs that need no more pairs.
     """
-    found, spent = [], np.zeros(len(left), np.int64) if spent is None else spent
-    for bit in range(bits - 1, -1, -1):
-        small = (left[:, 1] - left[:, 0]) * (right[:, 1] - right[:, 0]) <= 16
+    stack = [(bits - 1, left, right, np.zeros(len(left), np.int64) if spent is None else spent)]
+    while stack:
+        bit, left, right, spent = stack.pop()
+        if len(left) > FRONTIER:
+            stack += [(bit, left[k : k + FRONTIER], right[k : k + FRONTIER], spent[k : k + FRONTIER]) for k in range(0, len(left), FRONTIER)]
+            continue
+        if known is not None and len(left):
+            on = ~known(left, right)
+            left, right, spent = left[on], right[on], spent[on]
+        small = (left[:, 1] - left[:, 0]) * (right[:, 1] - right[:, 0]) <= 16 if bit >= 0 else np.ones(len(left), bool)
         if small.any():
-            found.append(_compare(keys, left[small], right[small], budget))
+            yield _compare(keys, left[small], right[small], budget)
             left, right, spent = left[~small], right[~small], spent[~small]
         if not len(left):
-            break
-        ones = np.r_[0, np.cumsum((keys >> U(bit)) & U(1), dtype=np.int64)]
-        mid = lambda r: r[:, 1] - (ones[r[:, 1]] - ones[r[:, 0]])  # noqa: E731  zeros come first
+            continue
+        # the first key with this bit set
+        mid = lambda r, bit=bit: np.clip(np.searchsorted(keys, ((keys[r[:, 0]] >> U(bit)) | U(1)) << U(bit)), r[:, 0], r[:, 1])
         ml, mr, same = mid(left), mid(right), (left == right).all(axis=1)
         parts = []
         for x in (0, 1):
@@ -94,14 +105,22 @@ def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: in
                 ok = (cost <= budget) & (a[:, 1] > a[:, 0]) & (b[:, 1] > b[:, 0])
                 if (x, y) == (1, 0):
                     ok &= ~same  # the mirror of (0, 1)
+                ok &= ~((a == b).all(axis=1) & (a[:, 1] - a[:, 0] == 1))  # a key with itself
                 parts.append((a[ok], b[ok], cost[ok]))
-        left, right, spent = (np.concatenate(z) for z in zip(*parts, strict=True))
-        lone = (left == right).all(axis=1) & (left[:, 1] - left[:, 0] == 1)
-        left, right, spent = left[~lone], right[~lone], spent[~lone]
-    if len(left):
-        found.append(_compare(keys, left, right, budget))
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return out
+        stack.append((bit - 1, *(np.concatenate(z) for z in zip(*parts, strict=True))))
+
+
+def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS) -> np.ndarray:
+    """All pairs at once."""
+    return np.concatenate([np.zeros((0, 2), np.int64), *traverse(keys, left, right, budget, spent, bits)])
+
+
+def trie_forest(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS) -> np.ndarray:
+    """A forest (node, smallest node of its tree) of the pairs; nodes whose keys all hang together already are passed over."""
+    trees = Trees(len(keys))
+    for pairs in traverse(keys, left, right, budget, spent, bits, trees.together):
+        trees.join(pairs)
+    return trees.edges()
 
 
 def _compare(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int) -> np.ndarray:
@@ -115,18 +134,43 @@ def _compare(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int)
     return np.stack([i[ok], j[ok]], axis=1)
 
 
-def forest(pairs: np.ndarray, n: int) -> np.ndarray:
-    """A spanning forest of ``pairs`` over 0..n-1 as (node, smallest node of its tree), by pointer jumping."""
-    root = np.arange(n)
-    a, b = pairs[:, 0], pairs[:, 1]
-    while len(a):
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-        a, b = root[a], root[b]
+class Trees:
+    """Disjoint trees over 0..n-1, joined by arrays of pairs; the root of a tree is its smallest node."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self._changes = None
+
+    def join(self, pairs: np.ndarray) -> None:
+        root, (a, b) = self.root, (self.root[pairs[:, 0]], self.root[pairs[:, 1]])
         a, b = a[a != b], b[a != b]
-    away = np.flatnonzero(root != np.arange(n))
-    return np.stack([away, root[away]], axis=1)
+        if len(a):
+            self._changes = None
+        while len(a):
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root[:] = root[root]
+            a, b = root[a], root[b]
+            a, b = a[a != b], b[a != b]
+
+    def together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether all nodes of both ranges are in one tree."""
+        if self._changes is None:
+            self._changes = np.r_[0, 0, np.cumsum(self.root[1:] != self.root[:-1])]  # [k]: changes among the first k nodes
+        c = self._changes
+        one = lambda r: c[r[:, 1]] == c[r[:, 0] + 1]
+        return one(left) & one(right) & (self.root[left[:, 0]] == self.root[right[:, 0]])
+
+    def edges(self) -> np.ndarray:
+        away = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return np.stack([away, self.root[away]], axis=1)
+
+
+def forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """A spanning forest of ``pairs`` over 0..n-1 as (node, smallest node of its tree)."""
+    trees = Trees(n)
+    trees.join(pairs)
+    return trees.edges()
 
 
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
@@ -172,7 +216,7 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
                         cut = np.r_[0, np.flatnonzero(top[1:] != top[:-1]) + 1, len(keys)]
                         left = np.stack([cut[:-1], cut[1:]], axis=1)
                         left = left[left[:, 1] - left[:, 0] > 1]
-                        pairs = trie_pairs(keys, left, left.copy(), budget, bits=64 - int(width))
+                        tree = trie_forest(keys, left, left.copy(), budget, bits=64 - int(width))
                     else:
                         below = (keys << U(int(width))) >> U(64 - SPLIT_BITS)
                         m = int(np.searchsorted(below, q)) if p != q else len(keys)
@@ -181,8 +225,7 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
                         if m == 0 or (p != q and m == len(keys)):
                             continue
                         spent = np.array([int(p ^ q).bit_count()])
-                        pairs = trie_pairs(keys, left, right, budget, spent, bits=64 - int(width) - SPLIT_BITS)
-                    tree = forest(pairs, len(keys))
+                        tree = trie_forest(keys, left, right, budget, spent, bits=64 - int(width) - SPLIT_BITS)
                     if len(tree):
                         back = ((keys >> U(shift)) | (keys << U(64 - shift)) if shift else keys).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(back[tree[:, 0]]), pa.array(back[tree[:, 1]])], ["a", "b"])
