@@ -32,6 +32,8 @@ RIGHT = WIDTH - SEED - LEFT + 1
 CHUNK, PIECE, SORTED = 16 << 20, 256 << 10, 1 << 20
 #: Size up to which a table is broadcast to texts, in bytes as packed; beyond, texts are shuffled to it.
 BROADCAST = 48 << 20
+#: Documents of a chunk; an entry has 16 bits for one.
+DOCS = 60_000
 #: A position in a piece, in the low bits of a minimizer's hash; texts longer than LONG are cut into overlapping parts.
 _BITS = 24
 _PLACE, LONG = (1 << _BITS) - 1, 8 << 20
@@ -266,6 +268,13 @@ def _answers(rid: np.ndarray, h: np.ndarray, groups: int):
         yield _record(_SEND, [(1, g, short[i].tobytes(), rid[i].tobytes()) for g, i in parts])
 
 
+def _slices(batches, rows: int = 2000):
+    """The same rows in batches of bounded length, whatever the session's setting."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _send_contexts(buckets: int):
     """A chunk's distinct contexts, an entry each: 48 bits and the document that has it, or that several have."""
 
@@ -296,7 +305,10 @@ def _send_contexts(buckets: int):
 
     def run(batches):
         entries, rids, size, n = [], [], 0, 0
-        for batch in batches:
+        for batch in _slices(batches):
+            if n + batch.num_rows > DOCS:
+                yield from flush(entries, rids)
+                entries, rids, size, n = [], [], 0, 0
             buf, off = buffer(batch.column(1))
             rids.append(batch.column(0).to_numpy())
             for lo, _, _, r in _runs_of(buf, off):
@@ -304,7 +316,7 @@ def _send_contexts(buckets: int):
                 doc = (r.doc + lo + n).astype(np.uint64)
                 entries += [(left[has_left] & ~U(0xFFFF)) | doc[has_left], (right[has_right] & ~U(0xFFFF)) | doc[has_right]]
             n, size = n + batch.num_rows, size + len(buf)
-            if size > CHUNK or n > 60_000:
+            if size > CHUNK:
                 yield from flush(entries, rids)
                 entries, rids, size, n = [], [], 0, 0
         if entries:
@@ -412,7 +424,7 @@ def _send_strings(buckets: int):
         from pyspark import TaskContext
 
         chunk, held, rids, docs, total, n = TaskContext.get().partitionId() << 32, [], [], [], 0, 0
-        for batch in batches:
+        for batch in _slices(batches):
             buf, off = buffer(batch.column(2))
             listed, cuts = buffer(batch.column(3))
             have = (np.repeat(np.arange(batch.num_rows), np.diff(cuts) // 2).astype(np.uint64) << U(16)) | np.frombuffer(listed.tobytes(), np.uint16).astype(np.uint64)
