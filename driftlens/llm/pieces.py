@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U, buffer, xxh64
-from .common import table
+from .common import small_batches, table
 from .tokens import TOKENIZERS
 
 MODEL = "piece_bpe_32k.model"
 #: Bytes of text whose lattices are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
+#: Rows of a batch: enough for runs to repeat in it.
+ROWS = 1200
 _STOP = 255  # no UTF-8 text holds this byte
 
 
@@ -292,4 +294,6 @@ def decode(encoded: DataFrame, column: str = "pieces", path: str = f"{TOKENIZERS
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_pieces", "pieces", "lossless")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    small_batches(spark, ROWS)
+    return encode(docs).select("doc_id", "n_pieces", "pieces", "lossless")
