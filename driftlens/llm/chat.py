@@ -13,7 +13,6 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 from .tokens import RANKS, TOKENIZERS, bpe

@@ -131,29 +131,22 @@ def test_repeats_are_those_of_brute_force(docs, none):
     assert suffixes.drop_repeats(none).count() == 0
 
 
-def test_texts_longer_than_a_piece(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "LONG", 700)
-    monkeypatch.setattr(suffixes, "PIECE", 500)
+def test_texts_longer_than_a_piece(monkeypatch):
     r = random.Random(9)
     a = "".join(r.choice("abcdef ") for _ in range(2500))
-    rows = [(1, a), (2, "q" * 30 + a[1200:1900] + "r" * 900), (3, a[600:800])]
-    got = []
-    for held in _contexts(rows):
-        got.append(held)
-    assert got[0] == got[1]
-
-
-def _contexts(rows):
-    """All strings of the runs, cut in long and in short pieces."""
-    buf = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
-    off = np.cumsum([0] + [len(t) for _, t in rows])
-    for long in (700, 1 << 20):
-        suffixes.LONG = long
-        out = set()
-        for lo, a, part, runs in suffixes._runs_of(buf, off):
-            for f, c, m, d in zip(runs.first, runs.count, runs.m, runs.doc):
-                out |= {(int(a + f + k), int(m), int(d + lo)) for k in range(c)}
-        yield out
+    texts = [a, "q" * 30 + a[1200:1900] + "r" * 900, a[600:800]]
+    buf, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(suffixes, "PIECE", 500)
+
+    def strings():
+        """(place, minimizer, text) of all strings of all runs."""
+        for lo, at, _, runs in suffixes._runs_of(buf, off):
+            for f, c, m, d in zip(runs.first, runs.count, runs.m, runs.doc, strict=True):
+                yield from ((int(at + f + k), int(m), int(d + lo)) for k in range(c))
+
+    whole = sorted(strings())
+    monkeypatch.setattr(suffixes, "LONG", 700)
+    assert sorted(strings()) == whole and len(whole) == sum(len(t) - 49 for t in texts)
 
 
 def test_suffix_order_is_that_of_suffixes():
@@ -260,7 +253,7 @@ def test_token_counts(docs, none, rule):
     want = Counter()
     for d in corpus():
         text = d[1] or ""
-        lines = text.splitlines(keepends=True) if False else re.findall(r"[^\n]*\n|[^\n]+$", text) or [""]
+        lines = re.findall(r"[^\n]*\n|[^\n]+$", text) or [""]
         cuts = np.cumsum([0] + [len(x.encode()) for x in lines])
         ids = tok.encode(text)
         count, cross, at = Counter(), Counter(), 0
