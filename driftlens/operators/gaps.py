@@ -142,6 +142,7 @@ def b4_gap(long: DataFrame, length: int, horizons: tuple[int, ...] = (1, 5, 30,
     for h in horizons:
         b = block_sums(long, h, length, pos).withColumn("h", F.lit(h))
         blocks = b if blocks is None else blocks.unionByName(b)
+    blocks = blocks.persist()  # read by three passes
     tau = l_kurtosis(blocks, "x", ["h", "side"]).filter(F.col("n") >= BLOCKS_LEAST)
     w = F.coalesce(*[F.when(F.col("h") == h, F.lit(float(x))) for h, x in zip(horizons, weights, strict=True)])
     both = _difference(tau, ["h"], "tau4").filter("a is not null and b is not null")
@@ -231,10 +232,13 @@ def tail_indices(exceed: DataFrame, bins: int = 20_000) -> DataFrame:
 
 
 def b6_gap(long: DataFrame, regimes: int = 3, tail: float = 0.05, lookback: int = 60, bounds: list[float] | None = None) -> DataFrame:
-    """Mean difference of tail indices over the regimes both sides have; bounds default to side a's volatility quantiles."""
-    vols = with_volatility(long, lookback)
+    """Mean difference of tail indices over the regimes both sides have; bounds default to side a's volatility quantiles.
+
+    The volatilities and the exceedances are read by several passes each, so they are kept (in memory, or else on disk).
+    """
+    vols = with_volatility(long, lookback).persist()
     if bounds is None:
         bounds = [x.q for x in regime_thresholds(vols.filter("side = 'a'"), regimes).orderBy("p").collect()]  # regimes - 1 rows
-    xi = tail_indices(exceedances(in_regime(vols, bounds), tail))
+    xi = tail_indices(exceedances(in_regime(vols, bounds), tail).persist())
     both = _difference(xi, ["regime"], "xi").filter("a is not null and b is not null")
     return both.agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"))
