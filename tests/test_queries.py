@@ -4,6 +4,7 @@ import sys
 
 import __spark_entry__ as entry
 import duckdb
+import pandas as pd
 import pytest
 from driftlens.plans.queries import ORACLE_SQL, QUERIES
 
@@ -19,7 +20,7 @@ def db():
 
 
 def rows(df):
-    cell = lambda v: None if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    cell = lambda v: None if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(str(cell(v)) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
