@@ -141,7 +141,7 @@ def tau_profile(spark, d):
 
 def _basis_sql() -> list[str]:
     angle = lambda j: f"({2 * np.pi * j!r} * tau / 390)"
-    return ["1.0", *[f"{f}{angle(j)}" for j in (1, 2, 3) for f in ("cos", "sin")]]
+    return ["cast(1 as double)", *[f"{f}{angle(j)}" for j in (1, 2, 3) for f in ("cos", "sin")]]
 
 
 _B = _basis_sql()
