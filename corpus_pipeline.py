@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its sampled pieces; their decoding is checked row by row."""
-    common.small_batches(spark, pieces.ROWS)
+    common.small_batches(spark, 300)  # whole rows travel here, so fewer at once
     return pieces.encode(docs).select(*docs.columns, "n_pieces", "pieces", "lossless")
 
 
