@@ -18,7 +18,7 @@ ROOT_ROWS = 50_000
 SPLIT_BITS = 8
 #: Node pairs that go down the trie at once.
 FRONTIER = 1 << 16
-#: Copies up to which their ids (8 bytes each) are broadcast to the documents; beyond, the anti-join sorts and merges.
+#: Copies up to which their ids and text hashes (16 bytes) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -247,18 +247,36 @@ def cluster(prints: DataFrame, budget: int = 2) -> DataFrame:
     return prints.join(named, "fp")
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """__tid beside the columns: with doc_id it tells rows of one doc_id, or of none, apart by their texts."""
+    return docs.withColumn("__tid", F.xxhash64("text"))
+
+
+def _keep_least(docs: DataFrame, rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``docs`` without the copies: ``rows`` are (doc_id, __tid, key), ``comp`` the components of those keys that have links."""
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")  # null ids last
+    per = rows.groupBy("key").agg(F.min(who).alias("least")).join(comp.select(F.col("node").alias("key"), "component"), "key", "left")
+    per = per.withColumn("component", F.coalesce("component", "key"))
+    named = per.select("key", "component").join(per.groupBy("component").agg(F.min("least").alias("least")), "component").select("key", "least")
+    found = rows.join(named, "key")
+    stays = "doc_id <=> least.doc_id and __tid = least.__tid"
+    gone, _ = materialise(found.filter(f"not ({stays})").select(F.col("doc_id").alias("__gone_id"), F.col("__tid").alias("__gone_tid")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = docs.join(gone, F.expr("doc_id <=> __gone_id and xxhash64(text) = __gone_tid"), "left_anti")
+    twice = found.filter(stays).groupBy("doc_id", "__tid").count().filter("count > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
 def drop_near_copies(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
     """One document of each component stays: that with the smallest doc_id, all its columns as they were.
 
-    Rows that agree in doc_id and text stay once. Rows without a doc_id can't be told apart: all stay, unless one of them
-    is a near-copy of a document that has one. Documents without words carry fingerprint 0 and so are copies of each other.
+    Rows are told apart by doc_id and text, so only the copies go where a doc_id repeats or is null; a null doc_id comes
+    last, and of several texts of the smallest doc_id one stays. Rows that agree in both stay once. Documents without
+    words carry fingerprint 0 and so are copies of each other.
     """
-    found = cluster(with_fingerprint(docs, width=width), budget)
-    gone, _ = materialise(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    out = docs.join(gone, F.expr("doc_id <=> __gone_id"), "left_anti")
-    twice = found.filter("doc_id <=> component_id").groupBy("doc_id").count().filter("count > 1")
-    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    prints, _ = materialise(with_fingerprint(_marked(docs), width=width, keep=("doc_id", "__tid")), "fingerprints")
+    comp = components(links(prints, budget))
+    return _keep_least(docs, prints.withColumnRenamed("fp", "key"), comp)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

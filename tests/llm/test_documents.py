@@ -105,6 +105,16 @@ def test_one_document_of_each_group_stays(docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_only_copies_go_where_ids_are_null_or_repeat(spark):
+    r = random.Random(8)
+    say = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(80))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [(1, a), (None, a + " "), (None, b), (None, c), (2, d), (3, d), (3, e), (3, f), (None, b + "\n")]
+    out = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((x.doc_id, x.text.strip()) for x in out)
+    assert got == Counter([(1, a), (None, b), (None, c), (2, d), (3, e), (3, f)])
+
+
 def covered(rows):
     """(n_bytes, n_removed, n_spans, sha) of each row, by sets of strings of smaller ids."""
     order = lambda d: 1 << 62 if d is None else d
