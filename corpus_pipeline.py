@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driftlens.llm import common, mixing, pieces, quality, simhash, suffixes
 
-#: Near-copies here: 64-bit fingerprints of five-word shingles that differ in at most so many bits.
-SHINGLE, BITS = 5, 3
+#: Near-copies here: sets of five-word shingles with at least so many hundredths of Jaccard similarity.
+SHINGLE, ALIKE = 5, 80
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-copies, as it is."""
     common.small_batches(spark)
-    return simhash.drop_near_copies(docs, budget=BITS, width=SHINGLE)
+    return simhash.drop_similar(docs, ALIKE, SHINGLE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_copies),
+    ("near-dedup", near_copies),
     ("suffix-array dedup", repeated_passages),
     ("source mixing", source_mix),
     ("SentencePiece", encoded),

@@ -18,6 +18,10 @@ ROOT_ROWS = 50_000
 SPLIT_BITS = 8
 #: Node pairs that go down the trie at once.
 FRONTIER = 1 << 16
+#: Minima of a band, and bands: the chance that a pair at 0.8 shares none is (1 - 0.8 ** 6) ** 64, or 4e-9.
+BAND_ROWS, BANDS = 6, 64
+#: Turns in which buckets compare one node with the others, before all pairs left in different components are compared.
+STARS = 2
 #: Copies up to which their ids and text hashes (16 bytes) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
 
@@ -31,14 +35,19 @@ def majority(hashes: np.ndarray, step: int = 1 << 15) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(buf: np.ndarray, off: np.ndarray, width: int, seed: int) -> np.ndarray:
+def shingles(buf: np.ndarray, off: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, repeats included, and where each text's begin."""
     text, start, end, first = joined_words(LOWER[buf], off)
     n = np.diff(first)
-    shingles = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    base = np.r_[0, np.cumsum(shingles)]
-    i = np.arange(base[-1]) - np.repeat(base[:-1] - first[:-1], shingles)  # first word of each shingle
-    last = np.minimum(i + width - 1, np.repeat(first[1:], shingles) - 1)
-    h = xxh64(text, start[i], end[last] - start[i], seed)
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    base = np.r_[0, np.cumsum(count)]
+    i = np.arange(base[-1]) - np.repeat(base[:-1] - first[:-1], count)  # first word of each shingle
+    last = np.minimum(i + width - 1, np.repeat(first[1:], count) - 1)
+    return xxh64(text, start[i], end[last] - start[i], seed), base
+
+
+def fingerprints(buf: np.ndarray, off: np.ndarray, width: int, seed: int) -> np.ndarray:
+    h, base = shingles(buf, off, width, seed)
     return np.array([majority(h[a:b]) for a, b in zip(base[:-1], base[1:], strict=True)], np.uint64)
 
 
@@ -279,6 +288,120 @@ def drop_near_copies(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFr
     return _keep_least(docs, prints.withColumnRenamed("fp", "key"), comp)
 
 
+def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one after the other, and where each text's begin."""
+    h, base = shingles(buf, off, width, seed)
+    sets = [np.unique(h[a:b]) for a, b in zip(base[:-1], base[1:], strict=True)]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int64)
+
+
+def bands(sets: np.ndarray, cut: np.ndarray, rows: int = BAND_ROWS, n: int = BANDS) -> np.ndarray:
+    """(texts, n) hashes of ``rows`` minima each; two texts share any one with probability J ** rows. No set may be empty."""
+    r = np.random.default_rng(1)
+    mask, odd = r.integers(0, 1 << 64, (n, rows), np.uint64), r.integers(0, 1 << 64, (n, rows), np.uint64) | U(1)
+    out = np.empty((len(cut) - 1, n), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            h = np.full(len(cut) - 1, U(k) * odd[0, 0], np.uint64)
+            for m, a in zip(mask[k], odd[k], strict=True):
+                h = (h ^ np.minimum.reduceat((sets ^ m) * a, cut[:-1])) * odd[0, 0]
+                h ^= h >> U(29)
+            out[:, k] = h
+    return out
+
+
+def _with_bands(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(doc_id, __tid, key, n, bands) of ``_marked`` documents: key stands for the set of shingles, n is its size."""
+    keep = ["doc_id", "__tid"]
+    kept = docs.select(*keep, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_b"))
+
+    def run(batches):
+        for batch in batches:
+            buf, off = buffer(batch.column(2))
+            for lo, hi in _pieces(off):
+                sets, cut = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width, seed)
+                n = np.diff(cut)
+                some = n > 0
+                key = xxh64(sets.view(np.uint8), 8 * cut[:-1], 8 * n, seed)
+                band = bands(sets, np.r_[cut[:-1][some], len(sets)]).view(np.int64)
+                at = pa.array(np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(key.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(at, pa.array(band.ravel()))], [*keep, "key", "n", "bands"])
+
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, __tid long, key long, n long, bands array<long>")
+
+
+def _sets(docs: DataFrame, of: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(key, data): the shingle sets of ``of`` (least, key), 8 bytes each, from the texts of ``docs``."""
+    of = of.select(F.col("least.doc_id").alias("__id"), F.col("least.__tid").alias("__t"), "key")
+    of = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
+    kept = docs.select("doc_id", "text").join(of, F.expr("doc_id <=> __id and xxhash64(text) = __t")).select("key", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_b"))
+
+    def run(batches):
+        for batch in batches:
+            buf, off = buffer(batch.column(1))
+            for lo, hi in _pieces(off):
+                sets, cut = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["key", "data"])
+
+    return kept.mapInArrow(run, "key long, data binary").dropDuplicates(["key"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of at least ``least`` hundredths, exactly."""
+    both = pairs.join(sets.select(F.col("key").alias("b"), F.col("data").alias("db")), "b").join(sets.select(F.col("key").alias("a"), F.col("data").alias("da")), "a")
+
+    def run(batches):
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                z = np.sort(np.concatenate([p, q]), kind="stable")
+                same = int((z[1:] == z[:-1]).sum())
+                ok.append(100 * same >= least * (len(z) - same))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, o in zip(a, ok) if o], pa.int64()), pa.array([i for i, o in zip(b, ok) if o], pa.int64())], ["a", "b"])
+
+    return both.select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, least: int = 80, width: int = 5) -> DataFrame:
+    """One document of each component stays, as in ``drop_near_copies``; links are Jaccard similarities of at least ``least`` hundredths.
+
+    Similarities are those of the sets of lower-cased shingles of ``width`` words and are verified exactly; a pair at 0.8
+    is a candidate with all but (1 - 0.8 ** BAND_ROWS) ** BANDS, or 4e-9. Texts of one set are one node. In STARS
+    turns every bucket tries one of its nodes against the others; what hangs together then is not compared again, and
+    all candidates that are still in different components are.
+    """
+    marked, _ = materialise(_with_bands(_marked(docs), width), "bands")
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")).alias("least")
+    nodes, _ = materialise(marked.groupBy("key").agg(who, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    rows = nodes.select(F.explode("bands").alias("h"), F.struct("key", "n").alias("x"))
+    shared = rows.groupBy("h").agg(F.min("x.key").alias("p"), F.max("x.key").alias("q")).filter("p <> q").select("h")
+    live, _ = materialise(rows.join(shared, "h"), "buckets")
+    sets, _ = materialise(_sets(docs, nodes.join(live.select("x.key").distinct(), "key", "left_semi").select("least", "key"), width), "sets")
+    label, tried, edges, comp = live.withColumn("c", F.col("x.key")), None, None, None
+    for turn in range(STARS + 1):
+        if turn < STARS:  # one node of each bucket, another in each turn and bucket, against all beyond its component
+            centre = label.groupBy("h").agg(F.min_by(F.struct("x", "c"), F.xxhash64("h", "x.key", F.lit(turn))).alias("o"))
+            pairs = label.join(centre, "h").filter("c <> o.c").select("x", F.col("o.x").alias("y"))
+        else:
+            lists, _ = materialise(label.groupBy("h", "c").agg(F.collect_list("x").alias("xs")), "lists")
+            other = lists.select("h", F.col("c").alias("d"), F.col("xs").alias("ys"))
+            pairs = lists.join(other, "h").filter("c < d").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+        pairs = pairs.filter(f"100 * least(x.n, y.n) >= {int(least)} * greatest(x.n, y.n)")
+        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        pairs, _ = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        found, _ = materialise(_alike(pairs, sets, least), "alike")
+        tried, edges = (tried.unionByName(pairs), edges.unionByName(found)) if tried else (pairs, found)
+        comp = components(edges) if turn < STARS or not found.isEmpty() else comp
+        if turn == STARS:
+            break
+        label = live.join(comp.select(F.col("node").alias("key"), "component"), F.expr("x.key = key"), "left").select("h", "x", F.expr("coalesce(component, x.key)").alias("c"))
+        mixed = label.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("h")
+        label, _ = materialise(label.join(mixed, "h"), "buckets")
+    return _keep_least(docs, marked.select("doc_id", "__tid", "key"), comp)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cluster(with_fingerprint(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

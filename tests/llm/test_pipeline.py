@@ -1,11 +1,12 @@
 """The pipeline's stages on a small corpus."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
 from driftlens.llm import common
 
-from .test_documents import SCHEMA, corpus
+from .test_documents import SCHEMA, WORD, corpus
 
 
 def test_stages_keep_the_columns(spark):
@@ -31,3 +32,37 @@ def test_run_repeats(spark):
     rows = lambda: Counter((r.doc_id, r.text, tuple(r.pieces)) for r in corpus_pipeline.run(spark, d).collect())
     a = rows()
     assert a == rows() and sum(a.values()) > 50
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    docs, i = corpus(), 1000
+    for _ in range(12):  # families of one base text with ever more words replaced, around 0.8
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randrange(60, 300))]
+        for k in range(8):
+            words = list(base)
+            for at in r.sample(range(len(words)), len(words) * k // 150):
+                words[at] = f"v{r.randrange(3000)}"
+            i += 1
+            docs.append((i if r.random() < 0.8 else None, " ".join(words), "en", "s1", 1, 1, "k", 1, "q"))
+    sets = []
+    for d in docs:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in d[1] or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(docs)))
+    for _ in docs:
+        before = list(root)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    groups = {}
+    for i, d in enumerate(docs):
+        groups.setdefault(root[i], []).append((d[0], d[1]))
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, SCHEMA), "").collect())
+    assert sum(got.values()) == len(groups)
+    for rows in groups.values():
+        ids = [d for d, _ in rows if d is not None]
+        assert sum(got[x] for x in set(rows)) == 1 and any(got[x] and x[0] == (min(ids) if ids else None) for x in rows)
