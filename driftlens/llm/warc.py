@@ -22,8 +22,6 @@ from .common import delete, materialise, new_path, table
 
 MAGIC = b"WARC/1.1\r\n"
 GAP = "\r\n\r\n"
-#: A header longer than this is no header.
-MAX_HEADER = 64 << 10
 #: Splits up to which their table (about 60 bytes a row) is broadcast to the second scan; beyond, rows are sorted instead.
 BROADCAST_SPLITS = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -86,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
 
 def header(data: bytes, at: int) -> tuple[dict, int, int] | None:
     """Fields, first byte of the block, and offset of the next record; None if no whole header stands at ``at``."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(b"\r\n\r\n", at)  # a header is one piece of the text reader, so it ends in its split
     if end < 0 or not data.startswith(MAGIC, at):
         return None
     fields = {}
@@ -97,6 +95,24 @@ def header(data: bytes, at: int) -> tuple[dict, int, int] | None:
     return (fields, end + 4, end + 4 + int(n) + 4) if n.isdigit() else None
 
 
+def _successors(data: bytes):
+    """(offset, offset of the next record) of each candidate, as ``header`` has them; a piece is parsed once for all its candidates."""
+    at, end, line, n = data.find(MAGIC), -1, -1, b""
+    while at >= 0:
+        if at > end:
+            if (end := data.find(b"\r\n\r\n", at)) < 0:
+                return
+            line, n, pos = -1, b"", at
+            for x in data[at:end].split(b"\r\n"):
+                k, _, v = x.partition(b":")
+                if pos > at and k.strip().lower() == b"content-length":
+                    line, n = pos, v.strip()  # the last one counts
+                pos += len(x) + 2
+        if line > at and n.isdigit():
+            yield at, end + 4 + int(n) + 4
+        at = data.find(MAGIC, at + 1)
+
+
 def _splits(batches):
     """(file, block, any more columns, bytes) of each split, from rows with its pieces last, in file order."""
     at, held = None, []
@@ -116,11 +132,7 @@ def _chains(batches):
     out = []
     for file, block, data in _splits(batches):
         out.append((file, block, len(data), None, None, None))
-        succ, at = {}, data.find(MAGIC)
-        while at >= 0:
-            if found := header(data, at):
-                succ[at] = found[2]
-            at = data.find(MAGIC, at + 1)
+        succ = dict(_successors(data))
         ends: dict[int, tuple[int, int]] = {}
         for at in sorted(succ, reverse=True):
             to = succ[at]

@@ -240,3 +240,22 @@ def test_empty_store_reads_empty(spark):
     store = shards.ShardStore(spark, common.new_path(spark, "store"))
     store.append(spark.range(0))
     assert store.read().count() == 0 and store.read().columns == ["id"]
+
+
+def test_a_long_url_loses_no_record(spark):
+    rows = [(i, "http://x/" + ("a" * 100_000 if i == 5 else str(i)), "same" if i in (2, 5) else f"<p>{i}</p>") for i in range(12)]
+    rows[9] = (9, "http://x/9", "WARC/1.1\r\n" * 50 + "Content-Length: 3\r\n" + "WARC/1.1\r\n" * 50)
+    path = common.new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_warc(spark, path).collect()
+    assert sorted(r.id for r in got) == sorted(f"<urn:page:{i}>" for i, _, _ in rows)
+    assert {r.id: bytes(r.payload).decode() for r in got if r.type == "response"} == {f"<urn:page:{i}>": h for i, _, h in rows if i != 5}
+
+
+def test_successors_are_those_of_headers():
+    r = random.Random(4)
+    parts = [warc.MAGIC, warc.MAGIC, b"Content-Length: 7\r\n", b"content-length:12", b"Content-Length: x", b"\r\n", b"\r\n\r\n", b"\r", b"text"]
+    for _ in range(300):
+        data = b"".join(r.choice(parts) for _ in range(r.randrange(60)))
+        want = {at: f[2] for at in range(len(data)) if data.startswith(warc.MAGIC, at) and (f := warc.header(data, at))}
+        assert dict(warc._successors(data)) == want
