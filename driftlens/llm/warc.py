@@ -185,20 +185,20 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-_OUT = ["file", "off", "type", "id", "refers", "digest", "bytes", "payload", "whole"]
-_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.binary(), pa.bool_()]
-_SCHEMA = "file string, off long, type string, id string, refers string, digest string, bytes long, payload binary, whole boolean"
+_OUT = ["file", "off", "type", "id", "refers", "stated", "digest", "bytes", "payload", "whole"]
+_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
+_SCHEMA = "file string, off long, type string, id string, refers string, stated string, digest string, bytes long, payload binary, whole boolean"
 
 
 def _record(file: str, off: int, data: bytes, at: int, end: int, payload: bool):
-    """A whole record's row; digest is of the payload as read, bare base32."""
+    """A whole record's row; stated is the digest that its header names, digest that of the payload as read, both bare base32."""
     found = header(data, at)
     fields, block, succ = found
     body = memoryview(data)[block : succ - 4]
     cut = data.find(b"\r\n\r\n", block, succ - 4) if fields.get(b"content-type", b"").startswith(b"application/http") else block - 4
     body = memoryview(data)[cut + 4 : succ - 4] if cut >= 0 else body
     text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None
-    return (file, off, text(b"warc-type"), text(b"warc-record-id"), text(b"warc-refers-to"), base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body), bytes(body) if payload else None, True)
+    return (file, off, text(b"warc-type"), text(b"warc-record-id"), text(b"warc-refers-to"), (text(b"warc-payload-digest") or "").removeprefix("sha1:") or None, base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body), bytes(body) if payload else None, True)
 
 
 def _cut(payload: bool):
@@ -207,11 +207,11 @@ def _cut(payload: bool):
         for file, block, base, entry, owner, data in _splits(batches):
             del block
             if entry and owner is not None:
-                out.append((file, owner, None, None, None, None, base, data[:entry], False))
+                out.append((file, owner, None, None, None, None, None, base, data[:entry], False))
             at = entry
             while at < len(data) and (found := header(data, at)):
                 if found[2] > len(data):
-                    out.append((file, base + at, None, None, None, None, base + at, data[at:], False))
+                    out.append((file, base + at, None, None, None, None, None, base + at, data[at:], False))
                     break
                 out.append(_record(file, base + at, data, at, found[2], payload))
                 held += found[2] - at if payload else 200
@@ -225,7 +225,9 @@ def _cut(payload: bool):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Every true record below ``path``: file, off, type, id, refers, digest (recomputed), bytes and, if asked for, payload.
+    """Every true record below ``path``: file, off, type, id, refers, stated, digest (recomputed), bytes and, if asked for, payload.
+
+    A revisit has no payload of its own, so its digest is that of nothing; stated is that of the payload it stands for.
 
     Records that span splits are put together from their fragments, a record at a time; one that its file cuts short
     is left out. Files may be of any length and number. An archive without records gives no rows.
@@ -251,15 +253,24 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return out if payload else out.drop("payload")
 
 
+def followed(read: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records ``read`` back (page_id, type, refers_to, bytes, digest, stated).
+
+    A revisit has the digest that it states and the bytes of the response that it refers to, found by both: one page_id
+    may stand for several payloads. A revisit whose response is not there keeps its digest and has null bytes.
+    """
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    response = read.filter("type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    full = response.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisit = read.filter("type = 'revisit'").select("page_id", F.col("type").alias("record_type"), "refers_to", F.col("stated").alias("payload_digest"))
+    return response.select(*out).unionByName(revisit.join(full, ["refers_to", "payload_digest"], "left").select(*out))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-    read = read_warc(spark, path, payload=False).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "bytes", "digest")
+    read = read_warc(spark, path, payload=False).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "bytes", "digest", "stated")
     read, _ = materialise(read, "pages")
     delete(spark, path)
-    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    response = read.filter("type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    full = response.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
-    revisit = read.filter("type = 'revisit'").withColumnRenamed("type", "record_type").join(full, "refers_to", "left")
-    return response.select(*out).unionByName(revisit.select(*out))
+    return followed(read)

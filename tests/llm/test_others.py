@@ -178,6 +178,16 @@ def test_archives_read_back(spark, small_splits):
     assert all(r.digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() and r.bytes == len(r.payload) for r in got)
 
 
+def test_one_page_id_with_two_payloads(spark, tmp_path):
+    rows = [(1, "u", "aaa"), (1, "u", "zzzzz"), (2, "u", "aaa"), (3, "u", "zzzzz"), (4, "u", None), (5, "u", ""), (6, "u", "alone")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    sha = lambda x: base64.b32encode(hashlib.sha1((x or "").encode()).digest()).decode()
+    first = {"aaa": 1, "zzzzz": 1, "": 4, "alone": 6}
+    want = Counter((i, len(x or ""), sha(x), "response" if i == first[x or ""] else "revisit", None if i == first[x or ""] else first[x or ""]) for i, _, x in rows)
+    got = warc.op6_warc(spark, str(tmp_path)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
 def test_empty_archive(spark):
     path = common.new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
