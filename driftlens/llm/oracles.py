@@ -8,7 +8,7 @@ from .warc import BASE32
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP5 = f"""
-with sized as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as size from documents),
+with sized as (select doc_id, source, coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, ''))) as salt, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as size from documents),
 per as (select source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source nulls last) - 1) % 3 as k from sized group by source),
 weighed as (select source, source_size, case k when 0 then 5 when 1 then 2 else 1 end as weight, 3 * source_size as cap from per),
 filling as (
@@ -21,7 +21,7 @@ targets as (
   select f.source, f.source_size, least(cast(f.cap as double), coalesce((select level from filling x, common c where x.pos = c.pos) * f.weight, cast(f.cap as double))) as target from filling f
 ), placed as (
   select s.doc_id, s.size, t.source_size, t.target, case when t.source_size > 0 then cast(floor(t.target) as bigint) // t.source_size else 0 end as epochs,
-    sum(s.size) over (partition by s.source order by md5('mix:' || coalesce(cast(s.doc_id as varchar), 'null')), s.doc_id, s.size rows unbounded preceding) - s.size as start
+    sum(s.size) over (partition by s.source order by md5('mix:' || s.salt), s.size rows unbounded preceding) - s.size as start
   from sized s join targets t on s.source is not distinct from t.source
 )
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, cast(floor(target) as bigint) - epochs * source_size - start)) as bigint) as taken from placed

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+
 from driftlens.llm import bytesets, common, mixing, pieces, quality, simhash, suffixes, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, spans int, rid string"
@@ -243,12 +245,37 @@ def test_mix_targets_and_cuts(docs, none):
     words = Counter()
     for r in out.collect():
         words[r.source] += len(WORD.findall(r.text))
-    assert all(abs(words[s] - taken[s]) <= 1 for s in per)  # rows that repeat may share an odd word
+    assert all(words[s] == taken[s] for s in per)
     assert mixing.mix(none).count() == 0
     empty = mixing.measure(none)
     assert mixing.plan_mix(empty, mixing.source_targets(empty)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, -1])
+def test_mix_gives_each_word_where_rows_repeat(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "HIGH_BITS", 1)
+    say = lambda n, w: " ".join([w] * n)
+    rows = [(7, say(10, "same"), "a", 1.0, 2)] * 37 + [(None, say(9, "none"), "b", 1.0, 2)] * 41 + [(None, say(5 + i % 3, f"n{i}"), "b", 1.0, 2) for i in range(30)]
+    rows += [(100 + i, say(20 + i, "c"), "c", 1.0, 2) for i in range(30)] + [(200 + i, say(11, "a"), "a", 1.0, 2) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target double, taken int").repartition(3)
+    per = Counter()
+    for _, t, s, *_ in rows:
+        per[s] += len(t.split())
+    want = {s: int(x + 1e-9) for s, x in levels(dict(per)).items()}
+    assert any(w % per[s] for s, w in want.items())
+    sizes = mixing.measure(docs)
+    got = mixing.plan_mix(sizes.withColumns({"_sum": F.lit(1), "_left": F.lit("x"), "target": F.lit(0)}), mixing.source_targets(sizes)).collect()
+    taken, words = Counter(), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert dict(taken) == want and len(got) == len(rows) and all(r._sum == 1 and r._left == "x" for r in got)
+    for r in mixing.mix(docs).collect():
+        words[r.source] += len(r.text.split())
+    assert dict(words) == want
+
+
 @pytest.mark.parametrize("sizes", [{"a": 1, "b": 100, "c": 1000}, {"a": 5}, {"a": 0, "b": 0}, {"a": 10, None: 500, "b": 3, "c": 0}])
 def test_mix_levels(spark, sizes):
     rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
