@@ -227,7 +227,7 @@ def test_shards_keep_every_row_through_compaction(spark):
     store.append_many(df, F.when(F.col("doc_id") < 390, F.col("doc_id") % 9))  # a null arrival too
     before = store.manifest()
     assert len(before["runs"]) == 10 and sum(r["rows"] for r in before["runs"]) == 400
-    after = store.compact(vacuum=False)
+    after = store.compact()
     assert len(after["runs"]) < 10 and after["version"] > before["version"] and not store.due(after["runs"])
     rows = lambda d: sorted(map(tuple, d.select("doc_id", "text").collect()))
     assert rows(store.read()) == rows(df) == rows(store.read(before["version"]))
@@ -237,6 +237,42 @@ def test_shards_keep_every_row_through_compaction(spark):
     assert store.read().count() == 405
 
 
+def test_versions_stay_until_they_retire(spark):
+    store = shards.ShardStore(spark, common.new_path(spark, "store"), fan_in=2, base_bytes=100)
+    seen = [store.append(spark.range(10 * i, 10 * i + 10).select(F.col("id").alias("doc_id")))["version"] for i in range(6)]
+    store.compact()
+    ids = lambda v: sorted(r.doc_id for r in store.read(v).collect())
+    for i, v in enumerate(seen):
+        assert ids(v) == list(range(10 * i + 10))
+    assert store.vacuum(keep=1, older_than=3600) == []
+    last = store.manifest()["version"]
+    assert set(seen) <= set(store.vacuum(keep=1)) and store.versions() == [last] and ids(last) == ids(None) == list(range(60))
+    with pytest.raises(ValueError):
+        store.read(seen[0])
+    store.append(spark.range(60, 61).select(F.col("id").alias("doc_id")))
+    assert ids(None) == list(range(61)) and store.compact(keep=1) and ids(None) == list(range(61))
+
+
+def test_arrivals_of_another_schema_are_refused(spark):
+    store = shards.ShardStore(spark, common.new_path(spark, "store"))
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    for other in ("doc_id long, text int", "doc_id long", "doc_id long, text string, more int", "text string, doc_id long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], other))
+    with pytest.raises(ValueError):
+        store.append_many(spark.createDataFrame([(1, 2)], "doc_id long, __arrival long"), F.col("doc_id"))
+    assert store.read().count() == 1 and store.manifest()["version"] == 1
+
+
+def test_merges_at_once_lose_nothing(spark):
+    store = shards.ShardStore(spark, common.new_path(spark, "store"), fan_in=2, base_bytes=1 << 20)
+    df = spark.range(200).select(F.col("id").alias("doc_id"))
+    store.append_many(df, F.col("doc_id") % 8)
+    assert len(store.due(store.manifest()["runs"])) == 4
+    store.compact()
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(200)) and len(store.manifest()["runs"]) == 1
+
+
 def test_a_version_is_committed_once(spark):
     store = shards.ShardStore(spark, common.new_path(spark, "store"))
     base = store.append(spark.range(3))
