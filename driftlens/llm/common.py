@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,17 +42,24 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftlens-")
         atexit.register(shutil.rmtree, found[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders made in the shared one and not deleted yet, oldest first.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def file_system(spark: SparkSession, path: str):
@@ -64,6 +72,8 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, where = file_system(spark, path)
         fs.delete(where, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
@@ -74,6 +84,14 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFr
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    """What ``make()`` gives, written to the shared folder; the folders that were made on the way go."""
+    before = set(_MADE)
+    out, path = materialise(make(), name)
+    delete(spark, *[p for p in _MADE if p not in before and p != path])
+    return out
+
+
 def reclaim(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     import gc

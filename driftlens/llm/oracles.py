@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import METRICS, MIN_GROUP, MIN_WORDS, RULES
+from .quality import BITS, LEAST_SPREAD, METRICS, MIN_WORDS, PRIOR, RULES
 from .warc import BASE32
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -35,20 +35,23 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
   case when page_id <> first then first end as refers_to from named
 """
 
-_BINS = " union all ".join(f"select lang, source, '{m}' as metric, (1000 * {a}) // greatest({b}, 1) as bin from stats where not base_failed" for m, (a, b) in METRICS.items())
+_VALUES = " union all ".join(f"select doc_id, lang, source, base_failed, '{m}' as metric, (1000 * {a}) // greatest({b}, 1) as x from stats" for m, (a, b) in METRICS.items())
 _CASE = lambda i: "case metric " + " ".join(f"when '{m}' then {r[i]}" for m, r in RULES.items()) + " end"
-_LOW = " or ".join(f"metric = '{m}'" for m, r in RULES.items() if r[2])
+_DROP = f"greatest(length(bin(x)) - {BITS}, 0)"
 
 
-def _fences(name: str, keys: str) -> str:
-    by = f"{keys}, metric" if keys else "metric"
+def _quantiles(name: str, keys: str) -> str:
+    by = f"{keys}metric"
+    at = lambda i: f"cast(min(bin) filter (where rn >= n * ({_CASE(i)})::double) as double)"
     return f"""{name} as (
-  select {by}, max(n) as n, case when {_LOW} then min(bin) filter (where 4 * rn >= n) - greatest({_CASE(0)} * (min(bin) filter (where 4 * rn >= 3 * n) - min(bin) filter (where 4 * rn >= n)), {_CASE(1)}) else -1 end as low,
-    min(bin) filter (where 4 * rn >= 3 * n) + greatest({_CASE(0)} * (min(bin) filter (where 4 * rn >= 3 * n) - min(bin) filter (where 4 * rn >= n)), {_CASE(1)}) as high
+  select {by}, max(n) as n, {at(0)} as lo, {at(1)} as hi
   from (select *, row_number() over (partition by {by} order by bin) as rn, count(*) over (partition by {by}) as n from bins) group by {by}
 )"""
 
 
+_DRAWN = ", ".join(f"(o.n * o.{c} + {PRIOR} * w.{c}) / (o.n + {PRIOR}) as {c}" for c in ("lo", "hi"))
+
+
 OP9 = f"""
 with words as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
 windows as (
@@ -63,12 +66,18 @@ lines as (
     cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, coalesce(l.dups, 0) as n_dup_lines, coalesce(l.n, 0) as n_lines, coalesce(c.n, 0) as n_repeat_words,
     len(ws) < {MIN_WORDS} or 100 * coalesce(c.n, 0) > 50 * len(ws) as base_failed
   from words w left join covered c on c.doc_id = w.doc_id left join lines l on l.doc_id = w.doc_id
-), bins as ({_BINS}), {_fences("own", "lang, source")}, {_fences("tongue", "lang")}, {_fences("every", "")},
-values_ as ({_BINS.replace("select lang, source,", "select doc_id, lang, source,").replace(" where not base_failed", "")}),
-judged as (
-  select v.doc_id, bool_and(case when o.n >= {MIN_GROUP} then bin between o.low and o.high when t.n >= {MIN_GROUP} then bin between t.low and t.high else bin between e.low and e.high end) as inside
-  from values_ v left join own o on o.metric = v.metric and o.lang is not distinct from v.lang and o.source is not distinct from v.source
-  left join tongue t on t.metric = v.metric and t.lang is not distinct from v.lang left join every e on e.metric = v.metric group by v.doc_id
+), values_ as ({_VALUES}), bins as (select lang, source, metric, (x >> {_DROP}) << {_DROP} as bin from values_ where not base_failed),
+{_quantiles("own", "lang, source, ")}, {_quantiles("tongue", "lang, ")}, {_quantiles("every", "")},
+tongue_ as (
+  select lang, metric, lo, hi, greatest(hi - lo, {LEAST_SPREAD} * wide) as spread from (select o.lang, o.metric, {_DRAWN}, w.hi - w.lo as wide from tongue o join every w on w.metric = o.metric)
+), fences as (
+  select lang, source, metric, case when {_CASE(4)} then lo - ({_CASE(2)})::double * spread - ({_CASE(3)})::double else -1 end as low, hi + ({_CASE(2)})::double * spread + ({_CASE(3)})::double as high
+  from (select *, greatest(hi - lo, {LEAST_SPREAD} * wide) as spread from (
+    select o.lang, o.source, o.metric, {_DRAWN}, w.spread as wide from own o join tongue_ w on w.metric = o.metric and w.lang is not distinct from o.lang
+  ))
+), judged as (
+  select v.doc_id, bool_and(x between low and high) as inside
+  from values_ v left join fences f on f.metric = v.metric and f.lang is not distinct from v.lang and f.source is not distinct from v.source group by v.doc_id
 )
 select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(inside, true) as kept from stats s join judged j on j.doc_id = s.doc_id
 """

@@ -1,8 +1,11 @@
 """Quality rules with thresholds that adapt to language and source (native: DataFrame functions only).
 
-Every metric of a text becomes a whole number of thousandths; per (lang, source) a histogram over those numbers is
-a quantile sketch of fixed absolute error (one bin) whose merge is addition, so it combines on the map side, gives
-the same answer in any order, and small groups can borrow their language's (then the corpus's) merged sketch.
+Every metric of a text is a whole number of thousandths, and per (lang, source) a log-linear histogram of those numbers
+is the quantile sketch: a value keeps its BITS leading bits, so ranks are exact, a quantile is low by less than one part
+in 2 ** (BITS - 1) (and exact below 2 ** BITS), and a sketch has at most 2 ** (BITS - 1) * (65 - BITS) bins, 28,160,
+whatever the data. Its merge is addition: it combines on the map side and comes out alike in any order. A group's quantiles are
+drawn towards its language's, and those towards the corpus's, with the weight of PRIOR documents, so there is no size at which a
+threshold jumps.
 """
 
 from __future__ import annotations
@@ -11,17 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, materialise, table, words_of
+from .common import let, materialise, settled, table, words_of
 
-#: metric -> (fence in interquartile ranges, least slack in thousandths, "low" too if small values are also odd).
+#: metric -> (lower and upper quantile, fence in spreads between them, tolerance in thousandths, "low" too if small values are also odd).
 RULES = {
-    "mean_word": (6.0, 1500, True),
-    "symbols": (6.0, 20, False),
-    "dup_lines": (6.0, 500, False),
-    "repeats": (6.0, 400, False),
+    "mean_word": (0.25, 0.75, 6.0, 0.0, True),
+    "symbols": (0.25, 0.75, 6.0, 20.0, False),
+    "dup_lines": (0.5, 0.99, 1.0, 20.0, False),
+    "repeats": (0.5, 0.99, 1.0, 20.0, False),
 }
-#: Documents a group needs before its own sketch sets its thresholds.
-MIN_GROUP = 200
+#: Leading bits that a sketch keeps of a value.
+BITS = 10
+#: Documents that a wider group counts for beside a narrower one's own.
+PRIOR = 200.0
+#: A group's spread is at least this share of its language's, and that of the corpus's: many copies don't make it narrow.
+LEAST_SPREAD = 0.5
 MIN_WORDS = 50
 #: Groups of (lang, source) whose thresholds are broadcast: about 100 bytes each.
 GROUPS = 100_000
@@ -74,9 +81,15 @@ METRICS = {
 }
 
 
+def sketch_bin(x: Column) -> Column:
+    """The least value with the same BITS leading bits."""
+    drop = F.greatest(F.length(F.bin(x)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop)
+
+
 def sketches(stats: DataFrame) -> DataFrame:
     """Rows (lang, source, metric, bin, n): the mergeable sketch of every group, over documents that pass the base."""
-    bins = F.array(*[F.struct(F.lit(m).alias("metric"), _thousandths(*METRICS[m]).alias("bin")) for m in RULES])
+    bins = F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bin(_thousandths(*METRICS[m])).alias("bin")) for m in RULES])
     return stats.filter("not base_failed").select("lang", "source", F.explode(bins).alias("m")).groupBy("lang", "source", "m.metric", "m.bin").agg(F.count("*").alias("n"))
 
 
@@ -84,32 +97,40 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per key and metric: rows n, and the lower and upper threshold in thousandths."""
+def _rule(i: int) -> Column:
+    """The entry of a row's rule."""
+    return F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[i])) for m, r in RULES.items()])
+
+
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., metric, n, lo, hi): documents, and the two quantiles of the metric's rule."""
     w = W.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bin")))
-    quartiles = ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
-    pick = lambda i: F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[i])) for m, r in RULES.items()])
-    slack = F.greatest(pick(0) * (F.col("q3") - F.col("q1")), pick(1).cast("double"))
-    return quartiles.select(*keys, "metric", "n", F.when(pick(2), F.col("q1") - slack).otherwise(F.lit(-1.0)).alias("low"), (F.col("q3") + slack).alias("high"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))).cast("double")
+    return ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(_rule(0)).alias("lo"), at(_rule(1)).alias("hi"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per (lang, source): low_/high_ per metric, from the group's sketch, its language's, or the corpus's."""
-    groups = sketch.select("lang", "source").distinct()
+def fences(sketch: DataFrame) -> DataFrame:
+    """(lang, source, metric, low, high): the thresholds in thousandths of every group that has a document past the base."""
+    every = quantiles(merge(sketch)).select("metric", F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.expr("hi - lo").alias("spread_"))
+    drawn = lambda c: F.expr(f"(n * {c} + {PRIOR}D * {c}_) / (n + {PRIOR}D)")
+    spread = lambda: F.expr(f"greatest(hi - lo, {LEAST_SPREAD}D * spread_)")
 
-    def wide(keys: tuple[str, ...], tag: str) -> DataFrame:
-        f = fences(merge(sketch, *keys), *keys)
-        cols = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{tag}_{c}_{m}") for m in RULES for c in ("low", "high")]
-        return f.groupBy(*keys).agg(F.max("n").alias(f"{tag}_n"), *cols)
+    def narrowed(own: DataFrame, wider: DataFrame) -> DataFrame:
+        out = own.join(wider, "metric") if "lang" not in wider.columns else own.join(wider.withColumnRenamed("lang", "lang_"), F.expr("metric = metric_ and lang <=> lang_")).drop("metric_", "lang_")
+        return out.withColumns({"lo": drawn("lo"), "hi": drawn("hi")}).withColumn("spread", spread())
 
-    own, lang, every = wide(("lang", "source"), "own"), wide(("lang",), "lang"), wide((), "all")
-    g = groups.alias("g")
-    out = g.join(own.alias("o"), F.expr("g.lang <=> o.lang and g.source <=> o.source"), "left")
-    out = out.join(lang.alias("l"), F.expr("g.lang <=> l.lang"), "left").crossJoin(F.broadcast(every))  # one row, by construction
-    choose = lambda c: F.when(F.col("own_n") >= min_group, F.col(f"own_{c}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    return out.select("g.lang", "g.source", *[choose(f"{c}_{m}").alias(f"{c}_{m}") for m in RULES for c in ("low", "high")])
+    lang = narrowed(quantiles(merge(sketch, "lang"), "lang"), F.broadcast(every))  # a row per metric
+    lang = lang.select("lang", F.col("metric").alias("metric_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.col("spread").alias("spread_"))
+    own = narrowed(quantiles(sketch, "lang", "source"), lang)
+    reach = _rule(2) * F.col("spread")
+    return own.select("lang", "source", "metric", F.when(_rule(4), F.col("lo") - reach - _rule(3)).otherwise(F.lit(-1.0)).alias("low"), (F.col("hi") + reach + _rule(3)).alias("high"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """One row per (lang, source): low_/high_ per metric."""
+    cols = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in RULES for c in ("low", "high")]
+    return fences(sketch).groupBy("lang", "source").agg(*cols)
 
 
 def _verdict(stats: DataFrame, limits: DataFrame, keep: list[str]) -> DataFrame:
@@ -123,7 +144,7 @@ def _verdict(stats: DataFrame, limits: DataFrame, keep: list[str]) -> DataFrame:
     return joined.select(*[f"s.`{c}`" for c in keep], kept.alias("kept"))
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """One row per input row: its key columns, statistics, base_failed and kept.
 
     ``docs`` needs doc_id, text, lang and source; other columns are ignored and repeated rows are judged alike. A null
@@ -131,22 +152,27 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     gives no rows. The statistics are written once to the shared folder (small: no texts), so texts are read once.
     """
     stats, _ = materialise(text_stats(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return _verdict(stats, thresholds(sketches(stats), min_group), stats.columns)
+    limits, _ = materialise(thresholds(sketches(stats)), "thresholds")
+    return _verdict(stats, _fit(limits), stats.columns)
+
+
+def _fit(limits: DataFrame) -> DataFrame:
+    return F.broadcast(limits) if limits.count() <= GROUPS else limits
 
 
-def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they were; each row is judged on its own text.
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they were, whatever they are called.
 
-    Texts are read twice, for the sketches and for the verdict, and never shuffled: limits are few, and where the groups
-    of (lang, source) pass GROUPS the join is left to Spark.
+    Each row is judged on its own text; a null or empty text fails the base and goes, repeated rows go or stay alike, and
+    an empty table gives no rows. Rows are written with their statistics, so the statistics are worked out once, and
+    texts are never shuffled: limits are few, and where the groups of (lang, source) pass GROUPS the join is left to Spark.
     """
-    sketch, _ = materialise(sketches(text_stats(docs.select("lang", "source", "text"))), "sketches")
-    limits, _ = materialise(thresholds(sketch, min_group), "thresholds")
-    limits = F.broadcast(limits) if limits.count() <= GROUPS else limits
     plain = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text", "lang", "source")  # so no column clashes
-    return _verdict(text_stats(plain), limits, ["row"]).filter("kept").select("row.*")
+    stats, _ = materialise(text_stats(plain).drop("text"), "quality")
+    limits, _ = materialise(thresholds(sketches(stats)), "thresholds")
+    return _verdict(stats, _fit(limits), ["row"]).filter("kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = lambda: judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return settled(spark, out, "judged")

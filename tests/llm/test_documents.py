@@ -196,15 +196,87 @@ def test_quality_statistics(docs, none):
     assert quality.keep_good(docs).count() == sum(r.kept for r in got)
 
 
+def prose(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
 def test_junk_goes_and_clean_stays(spark):
     r = random.Random(2)
-    clean = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(r.randint(60, 200))) for _ in range(400)]
+    clean = [prose(r, r.randint(60, 200)) for _ in range(400)]
     junk = [c.replace(" ", "### ") for c in clean[:40]]
     rows = [(i, t, "en", "s") for i, t in enumerate([*clean, *junk])]
     kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert kept == set(range(400))
 
 
+def lines(r, n, twice):
+    """A text of n lines of which ``twice`` repeat earlier ones."""
+    own = [prose(r, 12) for _ in range(n - twice)]
+    return "\n".join([*own, *own[:twice]])
+
+
+def test_what_is_odd_follows_the_group(spark):
+    """A fifth to almost a half of lines repeated is odd where hardly any document repeats lines, and not where many do."""
+    r = random.Random(3)
+    rows = [(i, lines(r, 20, 0), "en", "tidy") for i in range(500)] + [(1000 + i, lines(r, 20, 4 + i % 6), "en", "forum") for i in range(500)]
+    rows += [(500 + k, lines(r, 20, k), "en", "tidy") for k in range(4, 10)]
+    kept = {x.doc_id for x in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    base = {d for d, t, *_ in rows if 100 * quality_of(t)[4] <= 50 * quality_of(t)[0]}
+    assert kept >= {d for d in base if d < 500 or d >= 1000} and {500 + k for k in range(6, 10)}.isdisjoint(kept)
+    few = [x for x in rows if x[3] == "tidy"]
+    kept = {x.doc_id for x in quality.keep_good(spark.createDataFrame(few, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(500))
+
+
+def fences_of(rows):
+    """(lang, source, metric) -> (low, high) from (lang, source, {metric: x}) by sorting all values."""
+    def cut(x):
+        s = max(0, x.bit_length() - quality.BITS)
+        return x >> s << s
+
+    def at(values, q):
+        values = sorted(map(cut, values))
+        return float(values[max(0, int(np.ceil(q * len(values))) - 1)])
+
+    out = {}
+    for m, (q1, q2, reach, more, low) in quality.RULES.items():
+        everything = [x[m] for _, _, x in rows]
+        wide = (at(everything, q1), at(everything, q2))
+        wide = (*wide, wide[1] - wide[0])
+
+        def drawn(values, wide):
+            n, p = len(values), quality.PRIOR
+            lo, hi = ((n * at(values, q) + p * w) / (n + p) for q, w in ((q1, wide[0]), (q2, wide[1])))
+            return lo, hi, max(hi - lo, quality.LEAST_SPREAD * wide[2])
+
+        for lang, source in {x[:2] for x in rows}:
+            own = drawn([x[m] for a, s, x in rows if (a, s) == (lang, source)], drawn([x[m] for a, _, x in rows if a == lang], wide))
+            out[lang, source, m] = (own[0] - reach * own[2] - more if low else -1.0, own[1] + reach * own[2] + more)
+    return out
+
+
+@pytest.mark.parametrize("groups", [100_000, -1])
+def test_verdicts_are_those_of_sorted_values(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality, "GROUPS", groups)
+    r = random.Random(4)
+    sizes = {("en", "a"): 260, ("en", "b"): 30, ("de", "a"): 12, (None, "b"): 7, ("de", None): 3}
+    rows = []
+    for (lang, source), n in sizes.items():
+        for _ in range(n):
+            t = lines(r, r.randint(6, 30), r.choice([0, 0, 0, 1, 3, 5]))
+            t = t.replace("a", r.choice(["a"] * 8 + ["#", "aaaaaaaaaaa", ""]))
+            rows.append((len(rows), t, lang, source, "x", 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string, low_symbols int")
+    part = lambda t: dict(zip(quality.RULES, (1000 * a // max(b, 1) for a, b in ((q[1], q[0]), (q[2], q[1]), (q[3], sum(1 for x in t.split("\n") if WORD.search(x))), (q[4], q[0]))))) if (q := quality_of(t)) else None
+    good = {d: q[0] >= 50 and 100 * q[4] <= 50 * q[0] for d, t, *_ in rows if (q := quality_of(t))}
+    limits = fences_of([(lang, source, part(t)) for d, t, lang, source, *_ in rows if good[d]])
+    inside = lambda lang, source, x: all(limits[lang, source, m][0] <= x[m] <= limits[lang, source, m][1] for m in x)
+    want = {d: good[d] and inside(lang, source, part(t)) for d, t, lang, source, *_ in rows}
+    assert {x.doc_id: x.kept for x in quality.judge(docs).collect()} == want and 0 < sum(good.values()) - sum(want.values()) < 100
+    out = quality.keep_good(docs)
+    assert out.columns == docs.columns and {x.doc_id for x in out.collect()} == {d for d, k in want.items() if k}
+
+
 def test_sketches_merge_to_the_whole(docs):
     stats = quality.text_stats(docs)
     whole = quality.merge(quality.sketches(stats), "lang").collect()
