@@ -21,6 +21,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": oracles.OP5,
     "op6_warc": oracles.OP6,
     "op9_quality_rules": oracles.OP9,
+    "op7_suffixes": suffixes.OP7_SQL,
     "op1_lattice": lattice.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
 }

@@ -11,7 +11,9 @@ either the LEFT bytes before or the RIGHT bytes after, so first only 64-bit hash
 chunk's distinct ones once each, to find those that at least two documents hold. Then the strings around these go,
 again once a chunk, with the smallest and largest doc_id they occur in, and answers come back to the chunk. So a passage
 that any share of documents holds sends an entry a chunk, not an entry a document, and what a task holds at once is
-a chunk, or a bucket of what all chunks send.
+a chunk, or a bucket of what all chunks send. Runs are only taken for one after their bytes have been compared, and
+every run that two documents have, or that shares its minimizer, goes through the suffix order: hashes bring strings
+together but decide nothing. Whole copies of a text are told by SHA-256 and length before.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U, buffer, eights, load8, xxh64
-from .common import delete, materialise, reclaim, table
+from .common import delete, materialise, reclaim, settled, table
 
 WIDTH = 50
 SEED = 16
@@ -32,6 +34,8 @@ RIGHT = WIDTH - SEED - LEFT + 1
 CHUNK, PIECE, SORTED = 16 << 20, 256 << 10, 1 << 20
 #: Size up to which a table is broadcast to texts, in bytes as packed; beyond, texts are shuffled to it.
 BROADCAST = 48 << 20
+#: Text for which there is a bucket, and a task that sorts it, at least.
+BUCKET = 32 << 20
 #: Documents of a chunk; an entry has 16 bits for one.
 DOCS = 60_000
 #: A position in a piece, in the low bits of a minimizer's hash; texts longer than LONG are cut into overlapping parts.
@@ -226,6 +230,25 @@ def _by_bucket(m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def _kinds(m: np.ndarray, key: np.ndarray, base: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of runs by minimizer and hash, and where in it another run begins; those of one hash are compared byte by byte."""
+    order = np.lexsort((key, m))
+    a, b = order[:-1], order[1:]
+    same = (m[a] == m[b]) & (key[a] == key[b]) & (size[a] == size[b])
+    alike = np.flatnonzero(same)
+    ends = np.cumsum(size[a[alike]])
+    lo = 0
+    while lo < len(alike):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SORTED, side="right")))
+        i = alike[lo:hi]
+        n = size[a[i]]
+        start = np.r_[0, np.cumsum(n)[:-1]]
+        k = np.arange(n.sum()) - np.repeat(start, n)
+        same[i] = ~np.logical_or.reduceat(text[k + np.repeat(base[a[i]], n)] != text[k + np.repeat(base[b[i]], n)], start)
+        lo = hi
+    return order, np.r_[True, ~same]
+
+
 def _grouped(batches, keys: int):
     """(key, rows) of sorted rows, over batches; a row is the columns after the first ``keys``."""
     at, rows = None, []
@@ -399,8 +422,7 @@ def _send_strings(buckets: int):
         size = count + WIDTH - 1
         text, base = np.concatenate([h[5] for h in held]), np.r_[0, np.cumsum(size)]
         ids = np.concatenate(docs)
-        order = np.lexsort((key, m))
-        first = np.r_[True, (m[order][1:] != m[order][:-1]) | (key[order][1:] != key[order][:-1])]
+        order, first = _kinds(m, key, base, size, text)
         new = np.flatnonzero(first)
         low, high = np.minimum.reduceat(ids[doc[order]], new), np.maximum.reduceat(ids[doc[order]], new)
         one, ends = order[new], np.r_[new, len(order)]
@@ -460,8 +482,7 @@ def _sort_strings(batches):
         text = np.frombuffer(b"".join([zstandard.ZstdDecompressor().decompress(t) for _, _, t in rows]), np.uint8)
         count = count.astype(np.int64)
         base = np.r_[0, np.cumsum(count + WIDTH - 1)]
-        order = np.lexsort((key, m))
-        first = np.r_[True, (m[order][1:] != m[order][:-1]) | (key[order][1:] != key[order][:-1])]
+        order, first = _kinds(m, key, base, count + WIDTH - 1, text)
         new = np.flatnonzero(first)
         kind = np.empty(len(m), np.int64)
         kind[order] = np.cumsum(first) - 1
@@ -486,14 +507,13 @@ def _sort_strings(batches):
 def _least(m, low, high, count, base, text):
     """(run, first string, last-exclusive string, smallest doc_id) of stretches that some larger doc_id has too; runs sorted by m.
 
-    Runs of one minimizer are sorted together, about SORTED bytes at a time; a run that is alone with its minimizer has
-    no other to share a string with.
+    Runs of one minimizer are sorted together, about SORTED bytes at a time. Only a run of one document that is alone
+    with its minimizer is left out: a chance match of short forms brought it here.
     """
     group = np.r_[np.flatnonzero(np.r_[True, m[1:] != m[:-1]]), len(m)]
     alone = np.repeat(np.diff(group) == 1, np.diff(group))
-    lone = np.flatnonzero(alone & (low < high))
-    out = [np.stack([lone, np.zeros(len(lone), np.int64), count[lone], low[lone]])]
-    left = np.flatnonzero(~alone)
+    out = [np.zeros((4, 0), np.int64)]
+    left = np.flatnonzero(~alone | (low < high))
     size = count[left] + WIDTH - 1
     ends = np.cumsum(size)
     starts = np.flatnonzero(np.r_[True, m[left][1:] != m[left][:-1]]) if len(left) else left
@@ -565,31 +585,52 @@ def _whole(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array([0, x]).tobytes() for x in n], pa.binary())], ["rid", "spans"])
 
 
-def _identified(docs: DataFrame) -> DataFrame:
+def _sha():
+    return F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+
+
+def _number(seed: int, sha):
+    """A row's number: a 64-bit hash of doc_id and text, of which ``_seed`` makes sure that no two rows differ and agree."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), sha)
+
+
+def _seed(keys: DataFrame) -> int:
+    """The least seed with which different rows of ``keys`` (doc_id, doc, sha) have different numbers; nearly always the first."""
+    seed = 0
+    while True:
+        rows = keys.select(_number(seed, F.col("sha")).alias("rid"), "doc", "sha")
+        ends = rows.groupBy("rid").agg(*[f(c).alias(f"{c}{i}") for c in ("doc", "sha") for i, f in enumerate((F.min, F.max))])
+        if ends.filter("doc0 <> doc1 or sha0 <> sha1").isEmpty():
+            return seed
+        seed += 1
+
+
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"__rid": F.xxhash64("doc_id", text), "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__text": F.encode(text, "UTF-8")})
+    return docs.select("doc_id", _number(seed, _sha()).alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.encode(text, "UTF-8").alias("b"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(rid, n_bytes) of documents whose whole text a smaller doc_id has: 128 bits of hash and the length tell."""
-    keys = _identified(docs.select("doc_id", "text")).select(F.col("__rid").alias("rid"), F.col("__doc").alias("doc"), F.xxhash64("__text").alias("h"), F.xxhash64(F.lit(1), "__text").alias("g"), F.octet_length("__text").alias("n_bytes"))
-    keys, path = materialise(keys, "keys")
-    least = keys.groupBy("h", "g", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out, _ = materialise(keys.join(least, ["h", "g", "n_bytes"]).filter("doc > least").select("rid", "n_bytes").distinct(), "copies")
-    delete(docs.sparkSession, path)
-    return out
+def copies(keys: DataFrame, seed: int) -> DataFrame:
+    """(rid, n_bytes) of documents whose whole text a smaller doc_id has, by SHA-256 and length."""
+    least = keys.groupBy("sha", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = keys.join(least, ["sha", "n_bytes"]).filter("doc > least")
+    return materialise(rows.select(_number(seed, F.col("sha")).alias("rid"), "n_bytes").distinct(), "copies")[0]
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(rid, spans): per document that has any, its byte runs that strings of WIDTH bytes cover which also start in a smaller doc_id.
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(rid, spans) and the seed of rid: per document that has any, its byte runs that strings of WIDTH bytes cover which also start in a smaller doc_id.
 
-    spans is packed: pairs of 64-bit first and last-exclusive offsets, sorted and disjoint. rid is a hash of doc_id and
-    text. A text that a smaller doc_id has as a whole goes as a whole, and takes no part in the search.
+    spans is packed: pairs of 64-bit first and last-exclusive offsets, sorted and disjoint. A text that a smaller doc_id has
+    as a whole goes as a whole, and takes no part in the search. Buckets follow the bytes where these ask for more than the
+    session's shuffle partitions.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copied = copies(docs)
-    rows = _identified(docs.select("doc_id", "text")).select(F.col("__rid").alias("rid"), F.col("__doc").alias("doc"), F.col("__text").alias("b"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    keys, p0 = materialise(docs.select("doc_id", doc, _sha().alias("sha"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")), "keys")
+    seed = _seed(keys)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (keys.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
+    copied = copies(keys, seed)
+    rows = _rows(docs.select("doc_id", "text"), seed).select("rid", "doc", "b")
     known = copied.select("rid")
     fresh = rows.select("rid", "b").join(F.broadcast(known) if known.count() * 16 <= BROADCAST else known, "rid", "left_anti")
     told = fresh.mapInArrow(_send_contexts(n), _SEND).repartition(n, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(_find_shared(n), _SEND)
@@ -604,9 +645,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = back.mapInArrow(_spans, "rid long, spans binary")
     whole = copied.filter(F.col("n_bytes") >= WIDTH).mapInArrow(_whole, "rid long, spans binary")
     spans, _ = materialise(spans.unionByName(whole).groupBy("rid").agg(F.first("spans").alias("spans")), "spans")  # rows that repeat agree
-    delete(spark, p1, p2)
+    delete(spark, p0, p1, p2)
     reclaim(spark)
-    return spans
+    return spans, seed
 
 
 def _apply(keep: int, text: bool):
@@ -651,20 +692,22 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     A text is its UTF-8 bytes, null as none. Rows of one doc_id don't remove from each other; a null doc_id counts as
     larger than all others. Empty tables give no rows.
     """
-    spans = repeated_spans(docs)
-    rows = _identified(docs.select("doc_id", "text")).select("doc_id", F.col("__rid").alias("rid"), "__text")
-    rows = rows.join(_fit(spans, "spans"), "rid", "left").select("doc_id", "__text", "spans")
+    spans, seed = repeated_spans(docs)
+    rows = _rows(docs.select("doc_id", "text"), seed).join(_fit(spans, "spans"), "rid", "left").select("doc_id", "b", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(_apply(1, False), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with repeats cut from ``text``, whole characters at a time; null texts stay null, other columns as they are."""
+    """The rows of ``docs`` with repeats cut from ``text``, whole characters at a time; null texts stay null, other columns as they are.
+
+    Ids, nulls and empty tables are as in ``drop_repeats``; other columns may have any name.
+    """
     from pyspark.sql import types as T
 
-    spans = repeated_spans(docs).select(F.col("rid").alias("_r"), "spans")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text).alias("_rid"), F.encode(text, "UTF-8").alias("_text"))  # so no column clashes
+    spans, seed = repeated_spans(docs)
+    spans = spans.select(F.col("rid").alias("_r"), "spans")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), _number(seed, _sha()).alias("_rid"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text"))  # so no column clashes
     rows = rows.join(_fit(spans, "spans"), F.expr("_rid = _r"), "left").select("row", "_text", "spans")
     done = rows.mapInArrow(_apply(1, True), T.StructType([rows.schema["row"], T.StructField("__kept", T.StringType())]))
     left = F.when(F.col("row.text").isNull(), F.col("row.text")).otherwise(F.col("__kept"))
@@ -672,4 +715,23 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = lambda: drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return settled(spark, out, "cut")
+
+
+OP7_SQL = f"""
+with docs as (select doc_id, h, length(h) // 2 as n from (select doc_id, hex(encode(coalesce(text, ''))) as h from documents)),
+parts as (select doc_id, k, substr(h, 2 * k + 1, 2 * ({WIDTH} + 199)) as s, least(200, n - {WIDTH} + 1 - k) as c from (select *, unnest(range(0, n - {WIDTH} + 1, 200)) as k from docs)),
+strings as (select doc_id, k + i as p, md5_number(substr(s, 2 * i + 1, 2 * {WIDTH})) as w from (select doc_id, k, s, unnest(range(0, c)) as i from parts)),
+firsts as (select w, min(doc_id) as f from strings group by w having count(*) > 1),
+hits as (select doc_id, p from strings join firsts using (w) where f < doc_id),
+marked as (select *, case when p <= lag(p) over (partition by doc_id order by p) + {WIDTH} then 0 else 1 end as begins from hits),
+runs as (select doc_id, min(p) as a, max(p) + {WIDTH} as b from (select *, sum(begins) over (partition by doc_id order by p) as g from marked) group by doc_id, g),
+kept as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from runs),
+cut as (
+  select k.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as left_
+  from kept k join docs d on d.doc_id = k.doc_id group by k.doc_id
+)
+select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(left_, h))) as kept_sha256
+from docs d left join cut c on c.doc_id = d.doc_id
+"""
