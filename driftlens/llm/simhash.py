@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, U, buffer, joined_words, xxh64
-from .common import components, materialise, table
+from .common import components, delete, materialise, settled, small_batches, table
 
 BITS = 64
-#: Fingerprints of one trie root that one task joins; a fuller root is split into pairs of deeper nodes.
+#: Fingerprints that one task joins at once; a trie root with more is cut into blocks, of which each pair is a task's.
 ROOT_ROWS = 50_000
-#: Depth by which a full root is split: node pairs within the budget stay few (1 + 8 + 28 per node).
-SPLIT_BITS = 8
 #: Node pairs that go down the trie at once.
 FRONTIER = 1 << 16
-#: Minima of a band, and bands: the chance that a pair at 0.8 shares none is (1 - 0.8 ** 6) ** 64, or 4e-9.
-BAND_ROWS, BANDS = 6, 64
-#: Turns in which buckets compare one node with the others, before all pairs left in different components are compared.
+#: Tries of a similarity join: each fingerprint of 64 bits is the key of two, its halves exchanged. A pair is a candidate if in any trie
+#: its keys differ in at most ERRORS of the leading PREFIX bits and TOTAL of all, and its check fingerprints in at most CHECK bits.
+TRIES, PREFIX, ERRORS, TOTAL, CHECK = 32, 32, 2, 14, 20
+#: Tries that are joined alone first, one a turn, each giving stars in place of pairs.
 STARS = 2
 #: Copies up to which their ids and text hashes (16 bytes) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
+#: A place is a turn and a root: the turn in the bits above these.
+_ROOT = 24
 
 
 def majority(hashes: np.ndarray, step: int = 1 << 15) -> int:
@@ -78,8 +78,13 @@ def _pieces(off: np.ndarray, size: int = 256 << 10):
         lo = hi
 
 
-def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS, known=None):
-    """Yields arrays of pairs (i, j) of sorted ``keys`` within ``budget`` differing bits, from pairs of trie nodes.
+def steps(budget) -> list[tuple[int, int]]:
+    """An error budget as [(leading bits, most that differ among them)], from that or from a number for all bits."""
+    return [(BITS, budget)] if isinstance(budget, int) else list(budget)
+
+
+def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget, bits: int = BITS, known=None):
+    """Yields arrays of pairs (i, j) of sorted ``keys`` within ``budget`` (see ``steps``), from pairs of trie nodes.
 
     A node is a range of the sorted keys that share their leading bits; ``left`` and ``right`` are (n, 2) ranges, all at
     the same depth, ``64 - bits`` bits down. Both nodes of a pair go down together; children that disagree spend one bit
@@ -87,7 +92,8 @@ def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int,
     once, the rest waits on a stack, so memory doesn't follow the number of pairs. ``known(left, right)`` may tell
     node pairs that need no more pairs.
     """
-    stack = [(bits - 1, left, right, np.zeros(len(left), np.int64) if spent is None else spent)]
+    budget = steps(budget)
+    stack = [(bits - 1, left, right, np.zeros(len(left), np.int64))]
     while stack:
         bit, left, right, spent = stack.pop()
         if len(left) > FRONTIER:
@@ -98,10 +104,11 @@ def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int,
             left, right, spent = left[on], right[on], spent[on]
         small = (left[:, 1] - left[:, 0]) * (right[:, 1] - right[:, 0]) <= 16 if bit >= 0 else np.ones(len(left), bool)
         if small.any():
-            yield _compare(keys, left[small], right[small], budget)
+            yield from _compare(keys, left[small], right[small], budget)
             left, right, spent = left[~small], right[~small], spent[~small]
         if not len(left):
             continue
+        most = next(m for b, m in budget if b >= BITS - bit)
         # the first key with this bit set
         mid = lambda r, bit=bit: np.clip(np.searchsorted(keys, ((keys[r[:, 0]] >> U(bit)) | U(1)) << U(bit)), r[:, 0], r[:, 1])
         ml, mr, same = mid(left), mid(right), (left == right).all(axis=1)
@@ -111,7 +118,7 @@ def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int,
                 a = np.stack([(left[:, 0], ml)[x], (ml, left[:, 1])[x]], axis=1)
                 b = np.stack([(right[:, 0], mr)[y], (mr, right[:, 1])[y]], axis=1)
                 cost = spent + (x != y)
-                ok = (cost <= budget) & (a[:, 1] > a[:, 0]) & (b[:, 1] > b[:, 0])
+                ok = (cost <= most) & (a[:, 1] > a[:, 0]) & (b[:, 1] > b[:, 0])
                 if (x, y) == (1, 0):
                     ok &= ~same  # the mirror of (0, 1)
                 ok &= ~((a == b).all(axis=1) & (a[:, 1] - a[:, 0] == 1))  # a key with itself
@@ -119,36 +126,40 @@ def traverse(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int,
         stack.append((bit - 1, *(np.concatenate(z) for z in zip(*parts, strict=True))))
 
 
-def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS) -> np.ndarray:
+def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget, bits: int = BITS) -> np.ndarray:
     """All pairs at once."""
-    return np.concatenate([np.zeros((0, 2), np.int64), *traverse(keys, left, right, budget, spent, bits)])
-
-
-def trie_forest(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, spent: np.ndarray | None = None, bits: int = BITS) -> np.ndarray:
-    """A forest (node, smallest node of its tree) of the pairs; nodes whose keys all hang together already are passed over."""
-    trees = Trees(len(keys))
-    for pairs in traverse(keys, left, right, budget, spent, bits, trees.together):
-        trees.join(pairs)
-    return trees.edges()
-
-
-def _compare(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int) -> np.ndarray:
-    nl, nr = left[:, 1] - left[:, 0], right[:, 1] - right[:, 0]
-    each = nl * nr
-    k = np.arange(each.sum()) - np.repeat(np.r_[0, np.cumsum(each)[:-1]], each)
-    nr_, same = np.repeat(nr, each), np.repeat((left == right).all(axis=1), each)
-    i, j = np.repeat(left[:, 0], each) + k // nr_, np.repeat(right[:, 0], each) + k % nr_
-    ok = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-    ok &= ~same | (i < j)
-    return np.stack([i[ok], j[ok]], axis=1)
+    return np.concatenate([np.zeros((0, 2), np.int64), *traverse(keys, left, right, budget, bits)])
+
+
+def _compare(keys: np.ndarray, left: np.ndarray, right: np.ndarray, budget: list[tuple[int, int]]):
+    """Pairs of two nodes' keys within the budget, about FRONTIER comparisons at a time."""
+    cut = [0, *(np.flatnonzero(np.diff(np.cumsum((left[:, 1] - left[:, 0]) * (right[:, 1] - right[:, 0])) // FRONTIER)) + 1), len(left)]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        l, r = left[lo:hi], right[lo:hi]  # noqa: E741
+        nr = r[:, 1] - r[:, 0]
+        each = (l[:, 1] - l[:, 0]) * nr
+        k = np.arange(each.sum()) - np.repeat(np.r_[0, np.cumsum(each)[:-1]], each)
+        nr_, same = np.repeat(nr, each), np.repeat((l == r).all(axis=1), each)
+        i, j = np.repeat(l[:, 0], each) + k // nr_, np.repeat(r[:, 0], each) + k % nr_
+        differ = keys[i] ^ keys[j]
+        ok = ~same | (i < j)
+        for b, most in budget:
+            ok &= np.bitwise_count(differ >> U(BITS - b)) <= most
+        if ok.any():
+            yield np.stack([i[ok], j[ok]], axis=1)
 
 
 class Trees:
-    """Disjoint trees over 0..n-1, joined by arrays of pairs; the root of a tree is its smallest node."""
+    """Disjoint trees over 0..n-1, joined by arrays of pairs; the root of a tree is its smallest node.
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-        self._changes = None
+    ``labels``: nodes of one label hang together from the start.
+    """
+
+    def __init__(self, n: int, labels: np.ndarray | None = None):
+        self.root, self._changes = np.arange(n), None
+        if labels is not None and n:
+            _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+            self.root = first[inverse]
 
     def join(self, pairs: np.ndarray) -> None:
         root, (a, b) = self.root, (self.root[pairs[:, 0]], self.root[pairs[:, 1]])
@@ -182,64 +193,107 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return trees.edges()
 
 
+# --- trie rows: place, pair, block, key and more; a place is a turn and a root of its trie -----------------------------
+
+
+def _dealt(rows: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+    """``rows`` (place, more) with block and pair, dealt by (pair, place) and sorted by it.
+
+    Places with more than ROOT_ROWS rows (``counts``: place, n) are cut into blocks by a hash of ``by``, and a row goes to
+    each pair of blocks that its own is in, so a task never holds more than two blocks of a place.
+    """
+    full = counts.filter(F.col("n") > ROOT_ROWS).select(F.col("place").alias("_p"), F.ceil(F.col("n") / ROOT_ROWS).cast("long").alias("_blocks"))
+    n = full.count()
+    if n:
+        rows = rows.join(F.broadcast(full) if n <= BROADCAST_ROWS else full, F.expr("place = _p"), "left")
+        rows = rows.withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.lit(1), by), F.col("_blocks")), F.lit(-1).cast("long")))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda x: F.shiftleft(F.least(x, F.col("block")), 24) + F.greatest(x, F.col("block")))
+        rows = rows.withColumn("pair", F.explode(F.when(F.col("_blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1).cast("long"))))).drop("_p", "_blocks")
+    else:
+        rows = rows.withColumns({"block": F.lit(-1).cast("long"), "pair": F.lit(-1).cast("long")})
+    return rows.repartition("pair", "place").sortWithinPartitions("pair", "place")
+
+
+def _segments(batches):
+    """(turn, rows) from dealt rows: columns by name, sorted by key as unsigned numbers, of whole places of one turn and pair, about ROOT_ROWS at a time."""
+    held, size = [], 0
+
+    def of(parts):
+        x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        turn = x["place"] >> _ROOT
+        cut = np.flatnonzero((turn[1:] != turn[:-1]) | (x["pair"][1:] != x["pair"][:-1])) + 1
+        for a, b in zip([0, *cut], [*cut, len(turn)], strict=True):
+            part = {c: v[a:b] for c, v in x.items()}
+            part["key"] = part["key"].view(np.uint64)
+            order = np.argsort(part["key"], kind="stable")
+            yield int(turn[a]), {c: v[order] for c, v in part.items()}
+
+    for batch in batches:
+        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.flatnonzero((x["place"][1:] != x["place"][:-1]) | (x["pair"][1:] != x["pair"][:-1])) + 1
+        first = not held or (held[-1]["place"][-1], held[-1]["pair"][-1]) != (x["place"][0], x["pair"][0])
+        cut = int(change[-1]) if len(change) else 0
+        if size + cut >= ROOT_ROWS and (cut or first):
+            held.append({c: v[:cut] for c, v in x.items()})
+            yield from of([h for h in held if len(h["place"])])
+            held, size, x = [], 0, {c: v[cut:] for c, v in x.items()}
+        held.append(x)
+        size += len(x["place"])
+    if size:
+        yield from of(held)
+
+
+def _nodes(keys: np.ndarray, width: int) -> np.ndarray:
+    """The ranges of sorted keys that share their first ``width`` bits, where more than one does."""
+    top = keys >> U(BITS - width)
+    cut = np.r_[0, np.flatnonzero(top[1:] != top[:-1]) + 1, len(keys)]
+    out = np.stack([cut[:-1], cut[1:]], axis=1)
+    return out[out[:, 1] - out[:, 0] > 1]
+
+
+def _across(x: dict) -> np.ndarray | None:
+    """Blocks of the rows, if only pairs of different ones are wanted here."""
+    pair = int(x["pair"][0])
+    return x["block"] if pair >= 0 and pair >> 24 != pair & ((1 << 24) - 1) else None
+
+
+def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
+    """(first bit, width) of budget + 1 blocks of ``bits`` bits: keys within the budget agree in one."""
+    widths = [bits // (budget + 1) + (i < bits % (budget + 1)) for i in range(budget + 1)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     """A spanning set (a, b) of the links between distinct fingerprints ``fp`` that differ in at most ``budget`` bits.
 
     The 64 bits fall into budget + 1 blocks, so linked fingerprints agree in one: each block in turn is rotated to the
-    top and its values are the roots of a trie, of which pairs of nodes are traversed below. A root that holds more
-    than ROOT_ROWS fingerprints is split: its nodes SPLIT_BITS further down are paired within the budget, one task a
-    pair, so a dense family of fingerprints spreads too. Every task gives a forest of its links, not all pairs.
+    top and its values are the roots of a trie, of which pairs of nodes are traversed below. A task takes whole roots, some
+    ROOT_ROWS fingerprints at a time, and gives a forest of their links, not all pairs. No fingerprints give no links.
     """
-    widths = [BITS // (budget + 1) + (i < BITS % (budget + 1)) for i in range(budget + 1)]
-    turns, at = [], 0
-    for i, w in enumerate(widths):
-        turns.append(F.struct(F.lit(i).alias("turn"), F.lit(w).alias("width"), F.expr(f"(fp << {at}) | shiftrightunsigned(fp, {BITS - at})" if at else "fp").alias("key")))
-        at += w
-    rows = prints.select("fp").distinct().select(F.explode(F.array(*turns)).alias("t")).select("t.*")
-    rows = rows.withColumn("root", F.expr("shiftrightunsigned(key, 64 - width)"))
-    full = rows.groupBy("turn", "root").agg(F.count("*").alias("n")).filter(F.col("n") > ROOT_ROWS).withColumn("full", F.lit(True)).drop("n")
-    rows = rows.join(full, ["turn", "root"], "left")
-    node = F.expr(f"shiftrightunsigned(key << width, {64 - SPLIT_BITS})")
-    near = F.filter(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1)), lambda x: F.bit_count(x.bitwiseXOR(node.cast("int"))) <= budget)
-    pair = F.transform(near, lambda x: F.struct(F.least(x, node.cast("int")).alias("p"), F.greatest(x, node.cast("int")).alias("q")))
-    whole = F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q")))
-    rows = rows.withColumn("pq", F.explode(F.when(F.col("full"), pair).otherwise(whole)))
-    rows = rows.select("turn", "width", "root", "pq.p", "pq.q", "key")
-    place = ["turn", "root", "p", "q"]
-    n = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    blocks = _blocks(BITS, budget)
+    turns = []
+    for i, (at, w) in enumerate(blocks):
+        key = F.expr(f"(fp << {at}) | shiftrightunsigned(fp, {BITS - at})" if at else "fp")
+        turns.append(F.struct(F.lit(i << _ROOT).cast("long").alias("turn"), F.lit(BITS - w).alias("down"), key.alias("key")))
+    rows = prints.select("fp").distinct().select(F.explode(F.array(*turns)).alias("t")).select((F.col("t.turn") + F.expr("shiftrightunsigned(t.key, t.down)")).alias("place"), "t.key")
 
     def run(batches):
-        frames = [b.to_pandas() for b in batches]
-        if not frames or not sum(map(len, frames)):
-            return
-        x = pd.concat(frames)
-        for (turn, width), part in x.groupby(["turn", "width"]):
-            shift = int(sum(widths[:turn]))
-            for split, some in part.groupby(part["p"] >= 0):
-                some = some.sort_values(["p", "q"]) if split else some
-                groups = some.groupby(["root", "p", "q"]) if split else [((0, -1, -1), some)]
-                for (_, p, q), g in groups:
-                    keys = np.sort(g["key"].to_numpy().view(np.uint64))
-                    if not split:  # every root of this task at once: ranges of the sorted keys
-                        top = keys >> U(64 - width)
-                        cut = np.r_[0, np.flatnonzero(top[1:] != top[:-1]) + 1, len(keys)]
-                        left = np.stack([cut[:-1], cut[1:]], axis=1)
-                        left = left[left[:, 1] - left[:, 0] > 1]
-                        tree = trie_forest(keys, left, left.copy(), budget, bits=64 - int(width))
-                    else:
-                        below = (keys << U(int(width))) >> U(64 - SPLIT_BITS)
-                        m = int(np.searchsorted(below, q)) if p != q else len(keys)
-                        left = np.array([[0, m]])
-                        right = np.array([[m, len(keys)]]) if p != q else left.copy()
-                        if m == 0 or (p != q and m == len(keys)):
-                            continue
-                        spent = np.array([int(p ^ q).bit_count()])
-                        tree = trie_forest(keys, left, right, budget, spent, bits=64 - int(width) - SPLIT_BITS)
-                    if len(tree):
-                        back = ((keys >> U(shift)) | (keys << U(64 - shift)) if shift else keys).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(back[tree[:, 0]]), pa.array(back[tree[:, 1]])], ["a", "b"])
-
-    return rows.repartition(int(n), *place).mapInArrow(run, "a long, b long")
+        for turn, x in _segments(batches):
+            (at, width), keys, block = blocks[turn], x["key"], _across(x)
+            trees = Trees(len(keys))
+            node = _nodes(keys, width)
+            for pairs in traverse(keys, node, node.copy(), budget, BITS - width, trees.together):
+                trees.join(pairs if block is None else pairs[block[pairs[:, 0]] != block[pairs[:, 1]]])
+            tree = trees.edges()
+            if len(tree):
+                back = ((keys >> U(at)) | (keys << U(BITS - at)) if at else keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(back[tree[:, 0]]), pa.array(back[tree[:, 1]])], ["a", "b"])
+
+    counts = rows.groupBy("place").agg(F.count("*").alias("n"))
+    return _dealt(rows, counts, "key").mapInArrow(run, "a long, b long")
 
 
 def cluster(prints: DataFrame, budget: int = 2) -> DataFrame:
@@ -295,24 +349,44 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int, seed: int) -> tup
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int64)
 
 
-def bands(sets: np.ndarray, cut: np.ndarray, rows: int = BAND_ROWS, n: int = BANDS) -> np.ndarray:
-    """(texts, n) hashes of ``rows`` minima each; two texts share any one with probability J ** rows. No set may be empty."""
-    r = np.random.default_rng(1)
-    mask, odd = r.integers(0, 1 << 64, (n, rows), np.uint64), r.integers(0, 1 << 64, (n, rows), np.uint64) | U(1)
-    out = np.empty((len(cut) - 1, n), np.uint64)
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a row of independent hashes of hashes."""
+    r = np.random.default_rng([1, k])
+    mask, odd, again = r.integers(0, 1 << 64, 3, np.uint64) | np.array([0, 1, 1], np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            h = np.full(len(cut) - 1, U(k) * odd[0, 0], np.uint64)
-            for m, a in zip(mask[k], odd[k], strict=True):
-                h = (h ^ np.minimum.reduceat((sets ^ m) * a, cut[:-1])) * odd[0, 0]
-                h ^= h >> U(29)
-            out[:, k] = h
+        h = (h ^ mask) * odd
+        h ^= h >> U(32)
+        h *= again
+    return h ^ (h >> U(29))
+
+
+def set_prints(sets: np.ndarray, cut: np.ndarray, words: int) -> np.ndarray:
+    """(texts, words) of 64 bits each: a bit is 1 if set in over half the k-th hashes of the text's set. No set may be empty.
+
+    Eight bits are counted at once in the bytes of a number, over runs of at most 255 hashes, so the cost is a few operations a hash and 8 bits.
+    """
+    n = np.diff(cut)
+    runs = -(-n // 255)
+    head = np.r_[0, np.cumsum(runs)[:-1]]
+    start = np.repeat(cut[:-1], runs) + 255 * (np.arange(runs.sum()) - np.repeat(head, runs))
+    out = np.zeros((len(n), words), np.uint64)
+    lane = U(0x0101010101010101)
+    for k in range(words):
+        h = _mixed(sets, k)
+        bits = np.empty((len(n), 8, 8), bool)  # byte, bit in it
+        for b in range(8):
+            total = np.add.reduceat((h >> U(b)) & lane, start).view(np.uint8).reshape(-1, 8)
+            bits[:, :, b] = 2 * np.add.reduceat(total, head, axis=0, dtype=np.int64) > n[:, None]
+        out[:, k] = np.packbits(bits.reshape(len(n), 64), axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def _with_bands(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
-    """(doc_id, __tid, key, n, bands) of ``_marked`` documents: key stands for the set of shingles, n is its size."""
-    keep = ["doc_id", "__tid"]
+def _with_prints(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(doc_id, __tid, key, prints) of ``_marked`` documents: key stands for the set of shingles; prints is empty for an empty set.
+
+    prints has a fingerprint for every two tries, and one more to check candidates by.
+    """
+    keep, words = ["doc_id", "__tid"], TRIES // 2 + 1
     kept = docs.select(*keep, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_b"))
 
     def run(batches):
@@ -323,11 +397,83 @@ def _with_bands(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
                 n = np.diff(cut)
                 some = n > 0
                 key = xxh64(sets.view(np.uint8), 8 * cut[:-1], 8 * n, seed)
-                band = bands(sets, np.r_[cut[:-1][some], len(sets)]).view(np.int64)
-                at = pa.array(np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(key.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(at, pa.array(band.ravel()))], [*keep, "key", "n", "bands"])
+                prints = set_prints(sets, np.r_[cut[:-1][some], len(sets)], words).view(np.int64)
+                at = pa.array(np.r_[0, np.cumsum(np.where(some, words, 0))].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(key.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(prints.ravel()))], [*keep, "key", "prints"])
+
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, __tid long, key long, prints array<long>")
 
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, __tid long, key long, n long, bands array<long>")
+
+def _trie_keys(prints: np.ndarray, tries, blocks):
+    """(turn, key with a block of the prefix on top, place) of each trie and block, from (nodes, words) fingerprints."""
+    for t in tries:
+        word = prints[:, t // 2].view(np.uint64)
+        word = (word << U(32)) | (word >> U(32)) if t % 2 else word
+        for i, (at, width) in enumerate(blocks):
+            top, turn = word >> U(BITS - PREFIX), t * len(blocks) + i
+            top = ((top << U(at)) | (top >> U(PREFIX - at))) & U((1 << PREFIX) - 1)
+            key = (top << U(BITS - PREFIX)) | (word & U((1 << (BITS - PREFIX)) - 1))
+            yield turn, key, (turn << _ROOT) + (key >> U(BITS - width)).astype(np.int64)
+
+
+def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
+    """(a, b) of ``nodes`` (key, prints, label) with different labels that any of ``tries`` brings together.
+
+    All such pairs; or, with ``stars``, of what hangs together in a root, one node of each label with the first.
+    """
+    blocks, tries = _blocks(PREFIX, ERRORS), list(tries)
+
+    def prints_of(batch):
+        n = batch.num_rows
+        return batch.column("prints").flatten().to_numpy().reshape(n, -1)
+
+    def count(batches):
+        for batch in batches:
+            if batch.num_rows:
+                places, n = np.unique(np.concatenate([p for _, _, p in _trie_keys(prints_of(batch), tries, blocks)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n)], ["place", "n"])
+
+    def rows(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                prints, key, label = prints_of(part), part.column("key"), part.column("label")
+                check = pa.array(np.ascontiguousarray(prints[:, -1]))
+                for _, k, place in _trie_keys(prints, tries, blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k.view(np.int64)), check, key, label], ["place", "key", "check", "id", "label"])
+
+    def join(batches):
+        for turn, x in _segments(batches):
+            width, keys, block = blocks[turn % len(blocks)][1], x["key"], _across(x)
+            check, label, names = x["check"].view(np.uint64), x["label"], x["id"]
+            trees, node = Trees(len(keys), label), _nodes(keys, width)
+            for pairs in traverse(keys, node, node.copy(), [(PREFIX, ERRORS), (BITS, TOTAL)], BITS - width, trees.together):
+                i, j = pairs.T
+                ok = (np.bitwise_count(check[i] ^ check[j]) <= CHECK) & (label[i] != label[j])
+                pairs = pairs[ok if block is None else ok & (block[i] != block[j])]
+                if stars:
+                    trees.join(pairs)
+                elif len(pairs):
+                    yield _pairs(names, pairs)
+            if stars:
+                away = np.flatnonzero(label[trees.root] != label)
+                _, first = np.unique(np.stack([trees.root[away], label[away]]), axis=1, return_index=True)
+                away = away[np.sort(first)]
+                if len(away):
+                    yield _pairs(names, np.stack([away, trees.root[away]], axis=1))
+
+    nodes = nodes.filter(F.size("prints") > 0)
+    if nodes.count() > ROOT_ROWS:
+        counts = nodes.select("prints").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    else:  # no root can be full
+        counts = nodes.sparkSession.createDataFrame([], "place long, n long")
+    dealt = _dealt(nodes.select("key", "prints", "label").mapInArrow(rows, "place long, key long, check long, id long, label long"), counts, "id")
+    return dealt.mapInArrow(join, "a long, b long").distinct()
+
+
+def _pairs(names: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    a, b = names[pairs[:, 0]], names[pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _sets(docs: DataFrame, of: DataFrame, width: int, seed: int = 42) -> DataFrame:
@@ -367,41 +513,32 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def drop_similar(docs: DataFrame, least: int = 80, width: int = 5) -> DataFrame:
     """One document of each component stays, as in ``drop_near_copies``; links are Jaccard similarities of at least ``least`` hundredths.
 
-    Similarities are those of the sets of lower-cased shingles of ``width`` words and are verified exactly; a pair at 0.8
-    is a candidate with all but (1 - 0.8 ** BAND_ROWS) ** BANDS, or 4e-9. Texts of one set are one node. In STARS
-    turns every bucket tries one of its nodes against the others; what hangs together then is not compared again, and
-    all candidates that are still in different components are.
+    Similarities are those of the sets of lower-cased shingles of ``width`` words and are verified exactly. Candidates come from the
+    trie self-join of TRIES independent fingerprints of the sets: at a similarity of exactly 0.8 a bit differs with a
+    chance of 0.15, and a pair is no candidate with one of about 0.02; the README has measured figures. Texts of one
+    set are one node. STARS tries are joined first, in which what hangs together is tried against one node; what is linked then
+    is not compared again, and all candidates that are still in different components are. Texts without words are one set. An
+    empty table gives no rows.
     """
-    marked, _ = materialise(_with_bands(_marked(docs), width), "bands")
+    marked, _ = materialise(_with_prints(_marked(docs), width), "prints")
     who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")).alias("least")
-    nodes, _ = materialise(marked.groupBy("key").agg(who, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select(F.explode("bands").alias("h"), F.struct("key", "n").alias("x"))
-    shared = rows.groupBy("h").agg(F.min("x.key").alias("p"), F.max("x.key").alias("q")).filter("p <> q").select("h")
-    live, _ = materialise(rows.join(shared, "h"), "buckets")
-    sets, _ = materialise(_sets(docs, nodes.join(live.select("x.key").distinct(), "key", "left_semi").select("least", "key"), width), "sets")
-    label, tried, edges, comp = live.withColumn("c", F.col("x.key")), None, None, None
+    nodes, _ = materialise(marked.groupBy("key").agg(who, F.first("prints").alias("prints")), "nodes")
+    labelled, tried, edges, comp = nodes.withColumn("label", F.col("key")), None, None, None
     for turn in range(STARS + 1):
-        if turn < STARS:  # one node of each bucket, another in each turn and bucket, against all beyond its component
-            centre = label.groupBy("h").agg(F.min_by(F.struct("x", "c"), F.xxhash64("h", "x.key", F.lit(turn))).alias("o"))
-            pairs = label.join(centre, "h").filter("c <> o.c").select("x", F.col("o.x").alias("y"))
-        else:
-            lists, _ = materialise(label.groupBy("h", "c").agg(F.collect_list("x").alias("xs")), "lists")
-            other = lists.select("h", F.col("c").alias("d"), F.col("xs").alias("ys"))
-            pairs = lists.join(other, "h").filter("c < d").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-        pairs = pairs.filter(f"100 * least(x.n, y.n) >= {int(least)} * greatest(x.n, y.n)")
-        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        small_batches(docs.sparkSession, 20_000)  # numbers only
+        pairs = _candidates(labelled, [turn] if turn < STARS else range(TRIES), turn < STARS)
         pairs, _ = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        small_batches(docs.sparkSession)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets, path = materialise(_sets(docs, nodes.join(ends, "key", "left_semi").select("least", "key"), width), "sets")
         found, _ = materialise(_alike(pairs, sets, least), "alike")
+        delete(docs.sparkSession, path)
         tried, edges = (tried.unionByName(pairs), edges.unionByName(found)) if tried else (pairs, found)
-        comp = components(edges) if turn < STARS or not found.isEmpty() else comp
-        if turn == STARS:
-            break
-        label = live.join(comp.select(F.col("node").alias("key"), "component"), F.expr("x.key = key"), "left").select("h", "x", F.expr("coalesce(component, x.key)").alias("c"))
-        mixed = label.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("h")
-        label, _ = materialise(label.join(mixed, "h"), "buckets")
+        comp = components(edges)
+        labelled = nodes.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
     return _keep_least(docs, marked.select("doc_id", "__tid", "key"), comp)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cluster(with_fingerprint(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = lambda: cluster(with_fingerprint(table(spark, sf_dir, "documents"))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return settled(spark, out, "clusters")

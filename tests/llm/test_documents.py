@@ -99,6 +99,37 @@ def test_trie_pairs_are_all_pairs_within_budget():
         assert len(got) == len(want) and set(map(tuple, got.tolist())) == want
 
 
+def test_prints_and_keys_of_sets():
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.integers(0, 1 << 64, n, np.uint64)) for n in (1, 2, 7, 255, 256, 700)]
+    got = simhash.set_prints(np.concatenate(sets), np.r_[0, np.cumsum([*map(len, sets)])], 3)
+    for i, x in enumerate(sets):
+        for k in range(3):
+            h = [int(v) for v in simhash._mixed(x, k)]
+            assert int(got[i, k]) == sum((2 * sum(v >> b & 1 for v in h) > len(h)) << b for b in range(64))
+    blocks = simhash._blocks(simhash.PREFIX, simhash.ERRORS)
+    top = (1 << simhash.PREFIX) - 1
+    for turn, key, place in simhash._trie_keys(got.view(np.int64), range(4), blocks):
+        t, (at, width) = turn // len(blocks), blocks[turn % len(blocks)]
+        for i in range(len(sets)):
+            word = int(got[i, t // 2])
+            word = (word << 32 | word >> 32) & (1 << 64) - 1 if t % 2 else word
+            prefix = word >> 64 - simhash.PREFIX
+            turned = (prefix << at | prefix >> simhash.PREFIX - at) & top
+            assert int(key[i]) == turned << 64 - simhash.PREFIX | word & (1 << 64 - simhash.PREFIX) - 1
+            assert int(place[i]) == (turn << 24) + (turned >> simhash.PREFIX - width)
+
+
+def test_budgets_by_depth():
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(30)]
+    keys = np.unique(np.array([b ^ sum(1 << r.randrange(64) for _ in range(r.randrange(14))) & (1 << 64) - 1 for b in base for _ in range(6)], np.uint64))
+    budget = [(32, 2), (64, 9)]
+    got = simhash.trie_pairs(keys, np.array([[0, len(keys)]]), np.array([[0, len(keys)]]), budget)
+    near = lambda x: x.bit_count() <= 9 and (x >> 32).bit_count() <= 2
+    assert set(map(tuple, got.tolist())) == {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if near(int(keys[i] ^ keys[j]))} and len(got)
+
+
 def test_one_document_of_each_group_stays(docs, none):
     out = simhash.drop_near_copies(docs)
     assert out.columns == docs.columns

@@ -4,7 +4,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from driftlens.llm import common
+import pytest
+from driftlens.llm import common, simhash
 
 from .test_documents import SCHEMA, WORD, corpus
 
@@ -34,7 +35,10 @@ def test_run_repeats(spark):
     assert a == rows() and sum(a.values()) > 50
 
 
-def test_near_copies_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("rows", [50_000, 20])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "ROOT_ROWS", rows)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 2_000_000 if rows > 20 else -1)
     r = random.Random(6)
     docs, i = corpus(), 1000
     for _ in range(12):  # families of one base text with ever more words replaced, around 0.8
