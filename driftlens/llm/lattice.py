@@ -3,6 +3,9 @@
 A table projects unit vectors on 16 random orthonormal directions and decodes each half to its nearest point of the
 E8 lattice; the two points name the vector's home cell. A vector is compared with the vectors at home in its own cell
 and in the PROBES neighbouring cells whose walls are nearest. Every comparison is an exact cosine in double precision.
+
+Vectors don't travel with their cells: a narrow row per vector and cell carries a signature of 64 signs, and only rows
+that have a partner with a near signature in their cell fetch the vector.
 """
 
 from __future__ import annotations
@@ -11,12 +14,11 @@ import functools
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, materialise, settled, small_batches, table
 from .simhash import forest
 
 TABLES = 6
@@ -26,6 +28,12 @@ SCALE = 2.4
 THRESHOLD = 0.95
 #: Vectors of a cell that one task compares with as many others; fuller cells are cut into pairs of blocks.
 BLOCK = 2048
+#: Standard deviations by which the signatures of a pair at the threshold may differ in more bits than on average.
+SLACK = 5.5
+#: Cells up to which their sizes are broadcast, 40 bytes each.
+BROADCAST_CELLS = 1_000_000
+#: Tables and lengths of vectors share a number: the length in the bits above these.
+_TABLE = 6
 
 
 @functools.cache
@@ -88,18 +96,81 @@ def units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def signatures(unit: np.ndarray) -> np.ndarray:
+    """64 signs of random projections of each unit vector; two signs differ with a chance of angle / pi."""
+    planes = np.random.default_rng([unit.shape[1], 64]).normal(size=(unit.shape[1], 64))
+    return np.packbits(unit @ planes > 0, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def most_signs(threshold: float) -> int:
+    """Bits in which signatures of vectors at the threshold differ, SLACK deviations above the average."""
+    p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+    return int(64 * p + SLACK * np.sqrt(64 * p * (1 - p))) + 1
+
+
 def _hash(tables: int, probes: int):
     def run(batches):
         for batch in batches:
-            sizes = np.asarray(batch.column(2).value_lengths())
+            sizes = np.asarray(batch.column(1).value_lengths())
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                unit = units(part.column(2))
+                unit, n = units(part.column(1)), part.num_rows
+                sign = pa.array(signatures(unit))
                 for t in range(tables):
-                    code = cells(unit, t, probes)
+                    code, place = cells(unit, t, probes), pa.array(np.full(n, (int(dim) << _TABLE) + t))
                     for k in range(code.shape[1]):
-                        n = len(code)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(code[:, k])), pa.array(np.full(n, k == 0)), *part.columns], ["t", "cell", "home", "uid", "weight", "v"])
+                        yield pa.RecordBatch.from_arrays([place, pa.array(np.ascontiguousarray(code[:, k])), pa.array(np.full(n, k == 0)), part.column(0), sign], ["t", "cell", "home", "uid", "sign"])
+
+    return run
+
+
+def near_signs(x: dict, most: int) -> np.ndarray:
+    """Which rows, of whole cells one after the other, have a partner in their cell with a near signature; one of both is at home."""
+    cut = np.flatnonzero(np.r_[True, (x["cell"][1:] != x["cell"][:-1]) | (x["t"][1:] != x["t"][:-1])])
+    after = np.repeat(np.r_[cut[1:], len(x["cell"])], np.diff(np.r_[cut, len(x["cell"])])) - np.arange(len(x["cell"]))  # rows to the end of the cell
+    alive, sign, home, uid, k = np.zeros(len(after), bool), x["sign"].view(np.uint64), x["home"], x["uid"], 1
+    i = np.flatnonzero(after > 1)
+    while len(i):
+        near = (home[i] | home[i + k]) & (uid[i] != uid[i + k]) & (np.bitwise_count(sign[i] ^ sign[i + k]) <= most)
+        alive[i[near]] = alive[i[near] + k] = True
+        k += 1
+        i = i[after[i] > k]
+    return alive
+
+
+def _prune(most: int):
+    """Rows that have a partner, by ``near_signs``; those of cells with more than BLOCK rows all, as many, without being held."""
+
+    def out(x, alive, many):
+        if alive.any():
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[c][alive]) for c in ("t", "cell", "home", "uid")], pa.array(np.full(int(alive.sum()), many))], ["t", "cell", "home", "uid", "many"])
+
+    def run(batches):
+        names, held, large = ["t", "cell", "home", "uid", "sign"], None, None
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if large is not None:
+                go = int(np.argmin(np.r_[(x["t"] == large[0]) & (x["cell"] == large[1]), False]))
+                yield from out({c: v[:go] for c, v in x.items()}, np.ones(go, bool), True)
+                if go == len(x["t"]):
+                    continue
+                x, large = {c: v[go:] for c, v in x.items()}, None
+            x = {c: np.concatenate([held[c], x[c]]) for c in names} if held else x
+            if not len(x["t"]):
+                continue
+            cut = np.flatnonzero(np.r_[True, (x["cell"][1:] != x["cell"][:-1]) | (x["t"][1:] != x["t"][:-1])])
+            last = int(cut[-1])
+            size = np.diff(np.r_[cut, len(x["t"])])
+            whole = np.repeat(size > BLOCK, size)
+            if len(x["t"]) - last > BLOCK:
+                large, last = (x["t"][last], x["cell"][last]), len(x["t"])
+            done = {c: v[:last] for c, v in x.items()}
+            yield from out(done, whole[:last], True)
+            few = {c: v[~whole[:last]] for c, v in done.items()}
+            yield from out(few, near_signs(few, most), False)
+            held = {c: v[last:] for c, v in x.items()} if last < len(x["t"]) else None
+        if held:
+            yield from out(held, near_signs(held, most), False)
 
     return run
 
@@ -121,13 +192,11 @@ class Codes:
         return np.stack([self.known[u] for u in uid.tolist()])
 
 
-def _compare(rows: pd.DataFrame, t: int, codes: Codes, threshold: float):
+def _compare(rows: dict, t: int, codes: Codes, threshold: float):
     """Links of one cell, or of two blocks of it: (uid, weight of new links), and a forest of them."""
-    unit = units(pa.array(rows["v"]))
-    uid, weight = rows["uid"].to_numpy(), rows["weight"].to_numpy()
-    home, query = np.flatnonzero(rows["target"].to_numpy()), np.flatnonzero(rows["query"].to_numpy())
-    at_home = rows["home"].to_numpy()
-    found, count = [], np.zeros(len(rows), np.int64)
+    unit, uid, weight, at_home = rows["unit"], rows["uid"], rows["weight"], rows["home"]
+    home, query = np.flatnonzero(rows["target"]), np.flatnonzero(rows["query"])
+    found, count = [], np.zeros(len(uid), np.int64)
     for lo in range(0, len(query), 1024):
         q = query[lo : lo + 1024]
         i, j = np.nonzero(unit[q] @ unit[home].T >= threshold)
@@ -164,12 +233,14 @@ def _compare(rows: pd.DataFrame, t: int, codes: Codes, threshold: float):
 
 
 def _search(tables: int, probes: int, threshold: float):
+    names = ["uid", "weight", "home", "target", "query"]
+
     def run(batches):
         codes, at, held = Codes(tables, probes), None, []
 
         def done():
-            rows = pd.concat(held) if len(held) > 1 else held[0]
-            got = _compare(rows, at[0], codes, threshold) if rows["target"].any() and len(rows) > 1 else None
+            rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+            got = _compare(rows, at[0] & ((1 << _TABLE) - 1), codes, threshold) if rows["target"].any() and len(rows["uid"]) > 1 else None
             if got:
                 uid, n, a, b = got
                 none = lambda x: pa.nulls(len(x), pa.int64())
@@ -177,55 +248,75 @@ def _search(tables: int, probes: int, threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(a), none(a), pa.array(b)], ["uid", "n", "to"])
 
         for batch in batches:
-            pdf = batch.to_pandas()
-            key = pdf[["t", "cell", "i", "j"]].to_numpy()
-            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(pdf)]
+            key = np.stack([batch.column(c).to_numpy() for c in ("t", "cell", "i", "j")], axis=1)
+            if not len(key):
+                continue
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            dims = np.flatnonzero(np.r_[True, key[1:, 0] >> _TABLE != key[:-1, 0] >> _TABLE, True])  # vectors of one length
+            unit = [units(batch.column("v").slice(a, b - a)) for a, b in zip(dims[:-1], dims[1:], strict=True)]
+            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
-                    continue
-                here = tuple(key[lo])
+                here, d = tuple(key[lo].tolist()), int(np.searchsorted(dims, lo, side="right")) - 1
                 if here != at:
                     if held:
                         yield from done()
                     at, held = here, []
-                held.append(pdf.iloc[lo:hi])
+                held.append({c: v[lo:hi] for c, v in x.items()} | {"unit": unit[d][lo - dims[d] : hi - dims[d]]})
         if held:
             yield from done()
 
     return run
 
 
+def _numbered(same: DataFrame) -> tuple[DataFrame, int]:
+    """``same`` (v, any more) with uid, a 64-bit hash of v under the least seed with which no two agree, and that seed, nearly always the first."""
+    seed = 0
+    while True:
+        out = same.withColumn("uid", _number(seed, F.col("v")))
+        if out.groupBy("uid").count().filter("count > 1").isEmpty():
+            return out, seed
+        seed += 1
+
+
+def _number(seed: int, v) -> Column:
+    return F.xxhash64(F.lit(seed), v)
+
+
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row per row of ``vectors`` (vec_id, embedding; other columns ignored).
 
     Links join vectors of one length whose cosine is at least ``threshold`` and that share a cell by home or probe in any
-    table; each pair counts once, in its first such table, and is never written out. Vectors that are alike to the bit
+    table; each pair counts once, in its first such table, and is never written out. Equal vectors
     are one vector of that weight, and link with each other. Null, zero and empty vectors, and those with null or
     non-finite components, link with nothing and are their own components. A null vec_id names no component:
     one of nulls only is null, and its rows have kept null. Cells with more than BLOCK vectors are cut into pairs
-    of blocks, so that a common vector's neighbourhood is shared out.
+    of blocks, so that a common vector's neighbourhood is shared out. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.when(sound, F.xxhash64("embedding")).alias("uid"), F.when(sound, F.col("embedding")).alias("v"))
-    same = rows.filter("uid is not null").groupBy("uid").agg(F.count("*").alias("weight"), F.first("v").alias("v"), F.min("vec_id").alias("least"))
-    same, _ = materialise(same, "vectors")
-    element = dict(same.dtypes)["v"]
-    hashed = same.select("uid", "weight", "v").mapInArrow(_hash(tables, probes), f"t int, cell long, home boolean, uid long, weight long, v {element}")
-    hashed, _ = materialise(hashed, "cells")
-    full = hashed.groupBy("t", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).filter("homes > 0 and n > 1")
-    blocks = full.select("t", "cell", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("nq"), F.expr(f"cast(ceil(homes / {BLOCK}) as int)").alias("nh"))
-    dealt = hashed.join(blocks, ["t", "cell"])
+    rows = vectors.select("vec_id", F.when(sound, F.col("embedding")).alias("v"))
+    same = rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    same, seed = _numbered(materialise(same, "vectors")[0])
+    rows = rows.withColumn("uid", F.when(F.col("v").isNotNull(), _number(seed, F.col("v")))).drop("v")
+    small_batches(spark, 20_000)  # narrow rows, and vectors of a few hundred bytes: bounded by bytes
+    cell = same.select("uid", "v").mapInArrow(_hash(tables, probes), "t long, cell long, home boolean, uid long, sign long")
+    dealt = cell.repartition("t", "cell").sortWithinPartitions("t", "cell")
+    alive, _ = materialise(dealt.mapInArrow(_prune(most_signs(threshold)), "t long, cell long, home boolean, uid long, many boolean"), "cells")
+    full = alive.filter("many").groupBy("t", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+    full = full.select("t", "cell", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("nq"), F.expr(f"cast(ceil(homes / {BLOCK}) as int)").alias("nh"))
+    full, _ = materialise(full, "full")
+    full = F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
+    dealt = alive.join(full, ["t", "cell"], "left")
     part = lambda n: F.pmod(F.xxhash64("uid", F.lit(1)), F.col(n)).cast("int")
     as_query = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: F.struct(i.alias("i"), part("nq").alias("j"), F.lit(False).alias("target"), F.lit(True).alias("query")))
     as_home = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda j: F.struct(part("nh").alias("i"), j.alias("j"), F.lit(True).alias("target"), F.lit(False).alias("query")))
     both = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("target"), F.lit(True).alias("query")))
-    roles = F.when((F.col("nq") == 1) & (F.col("nh") == 1), both).when(F.col("home"), F.concat(as_query, as_home)).otherwise(as_query)
-    dealt = dealt.withColumn("r", F.explode(roles)).select("t", "cell", "r.i", "r.j", "r.target", "r.query", "home", "uid", "weight", "v")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j")
+    roles = F.when(F.col("nq").isNull(), both).when(F.col("nh") == 0, F.slice(both, 1, 0)).when(F.col("home"), F.concat(as_query, as_home)).otherwise(as_query)
+    dealt = dealt.withColumn("r", F.explode(roles)).select("t", "cell", "r.i", "r.j", "r.target", "r.query", "home", "uid")
+    dealt = dealt.join(same.select("uid", "weight", "v"), "uid").repartition("t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j")
     found, _ = materialise(dealt.mapInArrow(_search(tables, probes, threshold), "uid long, n long, to long"), "links")
+    small_batches(spark)
     counts = found.filter("n is not null").groupBy("uid").agg(F.sum("n").alias("n"))
     comp = components(found.filter("to is not null"), "uid", "to").select(F.col("node").alias("uid"), "component")
     named = same.select("uid", "weight", "least").join(comp, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
@@ -237,7 +328,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_vectors(table(spark, sf_dir, "embeddings"))
+    return settled(spark, lambda: link_vectors(table(spark, sf_dir, "embeddings")), "linked")
 
 
 OP1_SQL = """

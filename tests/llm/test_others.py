@@ -54,13 +54,21 @@ def linked(rows, least=0.95):
 SCHEMA = "vec_id long, embedding array<float>, label int, uid string, t int, cell int"
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_vector_links(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, cells", [(2048, 1_000_000), (4, 1_000_000), (1, -1)])
+def test_vector_links(spark, monkeypatch, block, cells):
+    number, seen = lattice._number, []
+
+    def weak(seed, v):
+        seen.append(seed)
+        return number(seed, v) if seed else F.pmod(number(seed, v), F.lit(5))
+
+    monkeypatch.setattr(lattice, "_number", weak)
     monkeypatch.setattr(lattice, "BLOCK", block)
+    monkeypatch.setattr(lattice, "BROADCAST_CELLS", cells)
     rows = vectors()
     df = spark.createDataFrame([(i, v, None, "u", 1, 2) for i, v in rows], SCHEMA)
     got = lattice.link_vectors(df).collect()
-    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == linked(rows)
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == linked(rows) and 1 in seen
     assert lattice.link_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -90,6 +98,22 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.99
 
 
+def test_near_signatures():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z
+    differ = np.bitwise_count((lattice.signatures(x) ^ lattice.signatures(y)).view(np.uint64))
+    assert abs(differ.mean() - 64 * np.arccos(0.95) / np.pi) < 0.3 and differ.max() <= lattice.most_signs(0.95)
+    n = 400
+    rows = {"t": np.zeros(n, np.int64), "cell": np.sort(r.integers(0, 60, n)), "home": r.random(n) < 0.4, "uid": r.integers(0, 300, n), "sign": lattice.signatures(x[r.integers(0, 40, n)] + 0.3 * z[:n])}
+    want = [any(i != j and rows["cell"][i] == rows["cell"][j] and (rows["home"][i] or rows["home"][j]) and rows["uid"][i] != rows["uid"][j] and ((int(rows["sign"][i]) ^ int(rows["sign"][j])) & (1 << 64) - 1).bit_count() <= 20 for j in range(n)) for i in range(n)]
+    assert lattice.near_signs(rows, 20).tolist() == want and 0 < sum(want) < n
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2050)] + [(7, 7), (None, 3)]
