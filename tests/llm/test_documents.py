@@ -435,6 +435,67 @@ def test_token_counts(docs, none, rule):
     assert tokens.count_tokens(none).count() == 0
 
 
+def attributed(parts, rule):
+    """(start_char, end_char, n_tokens, n_crossing, doc_tokens) of each of a text's parts, token by token."""
+    tok = tokens.bpe(f"{tokens.TOKENIZERS}/{tokens.RANKS}")
+    cuts = np.cumsum([0] + [len(x.encode()) for x in parts])
+    ids, at = tok.encode("".join(parts)), 0
+    count, cross = Counter(), Counter()
+    for i in ids:
+        end = at + len(tok.bytes[i])
+        share = [(min(end, cuts[s + 1]) - max(at, cuts[s]), -s) for s in range(len(parts))]
+        on = [-s for n, s in share if n > 0]
+        count[{"first": on[0], "last": on[-1], "most": -max(share)[1]}[rule]] += 1
+        cross[on[0]] += len(on) > 1
+        at = end
+    chars = np.cumsum([0] + [len(x) for x in parts])
+    return [(chars[s], chars[s + 1], count[s], cross[s], len(ids)) for s in range(len(parts))]
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+@pytest.mark.parametrize("sep", ["\n", " ", ""])
+def test_tokens_of_fields(spark, rule, sep):
+    r = random.Random(6)
+    some = lambda: r.choice([None, "", "hel", "lo wor", "ld  ", "é", "日本", "a title", "  spaces ", "x" * 50, "\n\n"])
+    rows = [(i, some(), some(), some(), 1) for i in range(120)] + [(None, None, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, url string, text string, field int").repartition(2)
+    got = tokens.count_fields(docs, ["title", "url", "text"], sep, rule).collect()
+    want = Counter()
+    for i, *f, _ in rows:
+        parts = [(x or "") + (sep if k < 2 else "") for k, x in enumerate(f)]
+        for name, told in zip(("title", "url", "text"), attributed(parts, rule)):
+            want[i, name, *told] += 1
+    assert Counter(map(tuple, got)) == want and any(x.n_crossing for x in got)
+    assert tokens.count_fields(docs.limit(0), ["title", "text"]).count() == 0
+
+
+@pytest.mark.parametrize("rule, most", [("first", 200_000), ("last", 200_000), ("most", -1)])
+def test_tokens_of_spans(spark, monkeypatch, rule, most):
+    monkeypatch.setattr(tokens, "BROADCAST_SPANS", most)
+    r = random.Random(7)
+    texts = [None, "", "word", *["".join(r.choice(["hello ", "world", "é", "日本", "\n", "  ", "abc def"]) for _ in range(r.randrange(1, 30))) for _ in range(60)]]
+    docs, spans, want = [(i, t, "n") for i, t in enumerate(texts)], [(None, "x", 0, 3), (9999, "y", 0, 3), (2, "far", 40, 50)], Counter()
+    docs += [docs[5], (None, "no id", "n")]
+    cuts = {}
+    for i, t in enumerate(texts):
+        at = sorted(r.sample(range(len(t or "") + 1), min(len(t or "") + 1, 2 * r.randrange(4))))
+        cuts[i] = [(a, b) for a, b in zip(at[::2], at[1::2]) if a < b] if i != 2 else []
+        spans += [(i, f"s{a}", a, b + (1000 if b == len(t) else 0)) for a, b in cuts[i]]
+    for i, t, _ in docs:
+        t, last, parts = t or "", 0, []
+        for a, b in cuts.get(i, []):
+            parts += [(None, t[last:a])] * (a > last) + [(f"s{a}", t[a:b])]
+            last = b
+        parts += [(None, t[last:])] * (last < len(t) or not parts)
+        for (name, _), told in zip(parts, attributed([x for _, x in parts], rule)):
+            want[i, name, *told] += 1
+    table = spark.createDataFrame(spans, "doc_id long, name string, start_char int, end_char int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string, name string").repartition(2)
+    assert Counter(map(tuple, tokens.count_spans(frame, table, rule=rule).collect())) == want
+    with pytest.raises(Exception, match="overlap"):
+        tokens.count_spans(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), spark.createDataFrame([(1, "a", 0, 5), (1, "b", 4, 6)], table.schema)).collect()
+
+
 def test_tokens_across_boundaries():
     start, end = np.array([0, 3, 9]), np.array([3, 9, 10])
     sections = np.array([0, 4, 8])
