@@ -13,6 +13,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .tokens import RANKS, TOKENIZERS, bpe
@@ -63,7 +64,7 @@ def conversations(batches):
     at, turns = None, []
     for batch in batches:
         for conv, role, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text")], strict=True):
-            if not turns or conv != at:
+            if not turns or conv != at or conv is None:
                 if turns:
                     yield at, turns
                 at, turns = conv, []
@@ -76,12 +77,12 @@ def format_chat(rows: DataFrame, path: str = f"{TOKENIZERS}/{RANKS}") -> DataFra
     """conv_id, text, ids array<int>, starts array<int> (byte offset of each token), loss array<boolean>.
 
     ``rows`` has conv_id, turn, role, text; other columns are ignored. Turns go by turn, role and text, so rows that
-    repeat stay and reruns agree; null turns come first, null roles and texts are empty, rows of a null conv_id are one
-    conversation. Rows are dealt by conv_id and streamed in order: a task holds one conversation at a time.
-    An empty table gives no rows.
+    repeat stay and reruns agree; null turns come first, null roles and texts are empty, and a row without a conv_id is a
+    conversation of its own, as nothing tells which belong together. Rows are dealt by conv_id, those without one evenly, and
+    streamed in order: a task holds one conversation at a time. An empty table gives no rows.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("conv_id", "turn", "role", "text").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    spread = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    dealt = rows.select("conv_id", "turn", "role", "text", spread.alias("_spread")).repartition("conv_id", "_spread").sortWithinPartitions("conv_id", "turn", "role", "text").drop("_spread")
 
     def run(batches):
         tok = bpe(path, MARKS)
@@ -110,7 +111,11 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def read_chat(formatted: DataFrame, path: str = f"{TOKENIZERS}/{RANKS}") -> DataFrame:
-    """Per conversation, from ids and mask alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, from ids and mask alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    ``formatted`` is what ``format_chat`` gives, which has no null ids or masks; a conversation without tokens has no turns
+    and the digest of nothing, a null conv_id stays null, and an empty table gives no rows.
+    """
 
     def run(batches):
         tok = bpe(path, MARKS)
@@ -157,5 +162,5 @@ select conv_id, count(*) as n_turns,
   cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
   cast(sum({len("".join(MARKS))} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) as bigint) as formatted_chars
-from rows group by conv_id
+from (select *, case when conv_id is null then row_number() over () end as apart from rows) group by conv_id, apart
 """
