@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import delete, materialise, new_path, table
+from .common import delete, materialise, new_path, settled, table
 
 MAGIC = b"WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -267,10 +267,13 @@ def followed(read: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-    read = read_warc(spark, path, payload=False).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "bytes", "digest", "stated")
-    read, _ = materialise(read, "pages")
-    delete(spark, path)
-    return followed(read)
+    def run():
+        path = new_path(spark, "warc")
+        write_warc(table(spark, sf_dir, "pages"), path)
+        number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
+        read = read_warc(spark, path, payload=False).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "bytes", "digest", "stated")
+        read, _ = materialise(read, "pages")
+        delete(spark, path)
+        return followed(read)
+
+    return settled(spark, run, "found")
