@@ -54,7 +54,8 @@ def fingerprints(buf: np.ndarray, off: np.ndarray, width: int, seed: int) -> np.
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and fp (long): per text, in whole, lower-cased in A-Z, over shingles of ``width`` words, repeats included.
 
-    A text of fewer words has its whole sequence as its shingle; null, empty and white texts have fingerprint 0.
+    A text of fewer words has its whole sequence as its shingle; null, empty and white texts have fingerprint 0. ``keep``
+    may not name a column fp. Rows that repeat have a row each, and an empty table gives no rows.
     """
     kept = docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_b"))
 
@@ -300,14 +301,17 @@ def cluster(prints: DataFrame, budget: int = 2) -> DataFrame:
     """``prints`` (doc_id, fp, any more) with component_id, the smallest doc_id that links reach.
 
     Documents of one fingerprint are one node, so copies never pair up. A null doc_id can't name a component: it is
-    no candidate for the smallest, and a component of nulls only has a null component_id.
+    no candidate for the smallest, and a component of nulls only has a null component_id. A null fp links with nothing else. A
+    column component_id of ``prints`` is replaced, others keep any name they have. An empty table gives no rows.
     """
-    prints, _ = materialise(prints, "fingerprints")
-    comp = components(links(prints, budget)).select(F.col("node").alias("fp"), "component")
+    kept = [c for c in prints.columns if c != "component_id"]
+    prints, _ = materialise(prints.select(*[f"`{c}`" for c in kept]), "fingerprints")
+    comp = components(links(prints.filter("fp is not null"), budget)).select(F.col("node").alias("fp"), "component")
     rows = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = rows.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = rows.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp")
+    named = rows.select(F.col("fp").alias("_fp"), F.col("component").alias("_c")).join(least, F.expr("_c <=> component")).select("_fp", "component_id")
+    row = prints.select(F.struct(*[f"`{c}`" for c in kept]).alias("_row"), F.col("fp").alias("_key"))  # so no column clashes
+    return row.join(named, F.expr("_key <=> _fp")).select("_row.*", "component_id")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
