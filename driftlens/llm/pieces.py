@@ -256,7 +256,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", alpha: floa
 
     Segmentations are drawn with probability in proportion to the product of their pieces' weights to the power
     ``alpha``. Rows with equal keys and texts get equal pieces; a null key counts as a key. Null and empty texts have no
-    pieces. Characters without a piece, ``▁`` among them, are spelt in byte pieces. An empty table gives no rows.
+    pieces. Characters without a piece, ``▁`` among them, are spelt in byte pieces. Columns of ``docs``
+    named n_pieces, pieces or lossless are replaced, others keep any name they have. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("n_pieces", "pieces", "lossless")]
     hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))

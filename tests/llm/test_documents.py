@@ -541,3 +541,34 @@ def test_sampled_pieces_follow_their_weights():
     assert set(got) <= set(weights)
     for s, w in weights.items():
         assert abs(got[s] / n - w / total) < 0.02
+
+
+def test_cuts_of_whole_documents_follow_their_weights():
+    """Forward and backward sums over the lattice of a whole text, without runs, give the chance of a cut at each byte."""
+    model, n = pieces.pieces(f"{pieces.TOKENIZERS}/{pieces.MODEL}", "zipf"), 3000
+    text = "Whole documents are sampled, not words: the lattice runs from the first byte to the last one, 1234 times over."
+    b = b" " + text.encode()
+    known = {x: model.weight[i] for i, x in enumerate(model.bytes) if x and i not in model.byte_id}
+    most = max(map(len, known))
+    ahead, back = np.zeros(len(b) + 1), np.zeros(len(b) + 1)
+    ahead[0] = back[-1] = 1.0
+    for i in range(1, len(b) + 1):
+        ahead[i] = sum(ahead[k] * np.exp(known[b[k:i]]) for k in range(max(0, i - most), i) if b[k:i] in known)
+    for i in range(len(b) - 1, -1, -1):
+        back[i] = sum(back[k] * np.exp(known[b[i:k]]) for k in range(i + 1, min(len(b), i + most) + 1) if b[i:k] in known)
+    want = ahead * back / ahead[-1]
+    buf = np.frombuffer((text * n).encode(), np.uint8)
+    ids, at, same = pieces.segment(model, buf, np.arange(n + 1) * len(text.encode()), np.arange(n, dtype=np.uint64), 1.0)
+    assert same.all()
+    got = np.zeros(len(b) + 1)
+    for lo, hi in zip(at[:-1], at[1:]):
+        got[np.r_[0, np.cumsum(model.length[ids[lo:hi]])]] += 1
+    assert np.abs(got / n - want).max() < 0.05 and ((want > 0.1) & (want < 0.9)).sum() > 10
+
+
+def test_clustered_columns_keep_their_names(spark):
+    rows = [(1, 5, "a", "b", 1.0), (2, 5, "a", "b", 2.0), (3, None, "a", "b", 3.0), (4, 4, "a", "b", 4.0), (5, 7 << 40, "x", "y", 0.0), (None, 7 << 40, "x", "y", 0.0)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long, least string, component string, component_id double")
+    got = simhash.cluster(prints)
+    assert got.columns == ["doc_id", "fp", "least", "component", "component_id"]
+    assert sorted((r.doc_id or 0, r.least, r.component_id) for r in got.collect()) == [(0, "x", 5), (1, "a", 1), (2, "a", 1), (3, "a", 3), (4, "a", 1), (5, "x", 5)]

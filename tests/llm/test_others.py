@@ -163,6 +163,12 @@ def test_chat_reads_back(spark):
     assert chat.read_chat(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "assistant", f"a{i % 3}") for i in range(7)] + [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    got = chat.read_chat(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()
+    assert Counter((r.conv_id, r.n_turns, r.loss_chars) for r in got) == Counter({(None, 1, 2): 7, (1, 2, 1): 1})
+
+
 # archives
 
 
@@ -176,13 +182,15 @@ def small_splits(spark):
         spark.conf.set(k, v)
 
 
-def test_archives_read_back(spark, small_splits):
+@pytest.mark.parametrize("splits", [200_000, -1])
+def test_archives_read_back(spark, small_splits, monkeypatch, splits):
     r = random.Random(1)
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     kinds = lambda: r.choice([None, "", inner, inner * 3, "x" * r.randrange(6000), "\r", "\r\n\r\n\r", "é\r\n" * 50, "WARC/1.1\r\nContent-Length: 99999\r\n\r\n" + "z" * 300, "\r\n" * r.randrange(30), "a\r\n\r\nb" + inner + "\r", "WARC/1.1\r\n"])
     rows = [(i, f"http://e/{i}\r\nX: y", kinds(), "first") for i in range(90)]
     rows += [rows[3], (None, None, "only", ""), (None, None, rows[1][2], "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").coalesce(2)
+    monkeypatch.setattr(warc, "BROADCAST_SPLITS", splits)
     path = common.new_path(spark, "warc")
     warc.write_warc(pages, path)
     got = warc.read_warc(spark, path).collect()
