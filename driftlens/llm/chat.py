@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .tokens import RANKS, TOKENIZERS, bpe
 
 MARKS = TURN, SAY, END = "<|turn|>", "<|say|>", "<|end|>"
@@ -100,7 +100,7 @@ def format_chat(rows: DataFrame, path: str = f"{TOKENIZERS}/{RANKS}") -> DataFra
         if out:
             yield _batch(out)
 
-    return dealt.mapInArrow(run, "conv_id long, text string, ids array<int>, starts array<long>, loss array<boolean>")
+    return dealt.mapInArrow(lean(run), "conv_id long, text string, ids array<int>, starts array<long>, loss array<boolean>")
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def read_chat(formatted: DataFrame, path: str = f"{TOKENIZERS}/{RANKS}") -> Data
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    return formatted.select("conv_id", "ids", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "ids", "loss").mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -22,6 +23,27 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def lean(run):
+    """``run``, for mapInArrow, in a worker that gives what it has freed back to the system when the task ends.
+
+    Workers are kept for later tasks, and an allocator keeps the memory of its largest one; with a JVM beside them that adds up.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

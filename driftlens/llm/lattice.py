@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, settled, small_batches, table
+from .common import components, lean, materialise, settled, small_batches, table
 from .simhash import forest
 
 TABLES = 6
@@ -300,9 +300,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     same, seed = _numbered(materialise(same, "vectors")[0])
     rows = rows.withColumn("uid", F.when(F.col("v").isNotNull(), _number(seed, F.col("v")))).drop("v")
     small_batches(spark, 20_000)  # narrow rows, and vectors of a few hundred bytes: bounded by bytes
-    cell = same.select("uid", "v").mapInArrow(_hash(tables, probes), "t long, cell long, home boolean, uid long, sign long")
+    cell = same.select("uid", "v").mapInArrow(lean(_hash(tables, probes)), "t long, cell long, home boolean, uid long, sign long")
     dealt = cell.repartition("t", "cell").sortWithinPartitions("t", "cell")
-    alive, _ = materialise(dealt.mapInArrow(_prune(most_signs(threshold)), "t long, cell long, home boolean, uid long, many boolean"), "cells")
+    alive, _ = materialise(dealt.mapInArrow(lean(_prune(most_signs(threshold))), "t long, cell long, home boolean, uid long, many boolean"), "cells")
     full = alive.filter("many").groupBy("t", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
     full = full.select("t", "cell", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("nq"), F.expr(f"cast(ceil(homes / {BLOCK}) as int)").alias("nh"))
     full, _ = materialise(full, "full")
@@ -315,7 +315,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     roles = F.when(F.col("nq").isNull(), both).when(F.col("nh") == 0, F.slice(both, 1, 0)).when(F.col("home"), F.concat(as_query, as_home)).otherwise(as_query)
     dealt = dealt.withColumn("r", F.explode(roles)).select("t", "cell", "r.i", "r.j", "r.target", "r.query", "home", "uid")
     dealt = dealt.join(same.select("uid", "weight", "v"), "uid").repartition("t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j")
-    found, _ = materialise(dealt.mapInArrow(_search(tables, probes, threshold), "uid long, n long, to long"), "links")
+    found, _ = materialise(dealt.mapInArrow(lean(_search(tables, probes, threshold)), "uid long, n long, to long"), "links")
     small_batches(spark)
     counts = found.filter("n is not null").groupBy("uid").agg(F.sum("n").alias("n"))
     comp = components(found.filter("to is not null"), "uid", "to").select(F.col("node").alias("uid"), "component")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U, buffer, xxh64
-from .common import small_batches, table
+from .common import lean, small_batches, table
 from .tokens import TOKENIZERS
 
 MODEL = "piece_bpe_32k.model"
@@ -276,7 +276,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", alpha: floa
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *new], [*kept, "n_pieces", "pieces", "lossless"])
 
     schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:k]) + "n_pieces long, pieces array<int>, lossless boolean"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, column: str = "pieces", path: str = f"{TOKENIZERS}/{MODEL}", weights: str = "zipf") -> DataFrame:
@@ -291,7 +291,7 @@ def decode(encoded: DataFrame, column: str = "pieces", path: str = f"{TOKENIZERS
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
     rows = encoded.select(*[f"`{c}`" for c in kept])
-    return rows.mapInArrow(run, "".join(f"`{c}` {t}, " for c, t in rows.dtypes) + "decoded string")
+    return rows.mapInArrow(lean(run), "".join(f"`{c}` {t}, " for c, t in rows.dtypes) + "decoded string")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

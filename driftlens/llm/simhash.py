@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, U, buffer, joined_words, xxh64
-from .common import components, delete, materialise, settled, small_batches, table
+from .common import components, delete, lean, materialise, settled, small_batches, table
 
 BITS = 64
 #: Fingerprints that one task joins at once; a trie root with more is cut into blocks, of which each pair is a task's.
@@ -67,7 +67,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, seed:
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]], pa.array(fp.view(np.int64))], [*keep, "fp"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[: len(keep)]) + ", fp long"
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def _pieces(off: np.ndarray, size: int = 256 << 10):
@@ -294,7 +294,7 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(back[tree[:, 0]]), pa.array(back[tree[:, 1]])], ["a", "b"])
 
     counts = rows.groupBy("place").agg(F.count("*").alias("n"))
-    return _dealt(rows, counts, "key").mapInArrow(run, "a long, b long")
+    return _dealt(rows, counts, "key").mapInArrow(lean(run), "a long, b long")
 
 
 def cluster(prints: DataFrame, budget: int = 2) -> DataFrame:
@@ -405,7 +405,7 @@ def _with_prints(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
                 at = pa.array(np.r_[0, np.cumsum(np.where(some, words, 0))].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(key.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(prints.ravel()))], [*keep, "key", "prints"])
 
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, __tid long, key long, prints array<long>")
+    return kept.mapInArrow(lean(run), f"doc_id {dict(kept.dtypes)['doc_id']}, __tid long, key long, prints array<long>")
 
 
 def _trie_keys(prints: np.ndarray, tries, blocks):
@@ -468,11 +468,11 @@ def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
 
     nodes = nodes.filter(F.size("prints") > 0)
     if nodes.count() > ROOT_ROWS:
-        counts = nodes.select("prints").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+        counts = nodes.select("prints").mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     else:  # no root can be full
         counts = nodes.sparkSession.createDataFrame([], "place long, n long")
-    dealt = _dealt(nodes.select("key", "prints", "label").mapInArrow(rows, "place long, key long, check long, id long, label long"), counts, "id")
-    return dealt.mapInArrow(join, "a long, b long").distinct()
+    dealt = _dealt(nodes.select("key", "prints", "label").mapInArrow(lean(rows), "place long, key long, check long, id long, label long"), counts, "id")
+    return dealt.mapInArrow(lean(join), "a long, b long").distinct()
 
 
 def _pairs(names: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
@@ -493,7 +493,7 @@ def _sets(docs: DataFrame, of: DataFrame, width: int, seed: int = 42) -> DataFra
                 sets, cut = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width, seed)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["key", "data"])
 
-    return kept.mapInArrow(run, "key long, data binary").dropDuplicates(["key"])
+    return kept.mapInArrow(lean(run), "key long, data binary").dropDuplicates(["key"])
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -511,7 +511,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
                 ok.append(100 * same >= least * (len(z) - same))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, o in zip(a, ok) if o], pa.int64()), pa.array([i for i, o in zip(b, ok) if o], pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "da", "db").mapInArrow(lean(run), "a long, b long")
 
 
 def drop_similar(docs: DataFrame, least: int = 80, width: int = 5) -> DataFrame:

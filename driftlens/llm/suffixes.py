@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U, buffer, eights, load8, xxh64
-from .common import delete, materialise, reclaim, settled, table
+from .common import delete, lean, materialise, reclaim, settled, table
 
 WIDTH = 50
 SEED = 16
@@ -633,17 +633,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = _rows(docs.select("doc_id", "text"), seed).select("rid", "doc", "b")
     known = copied.select("rid")
     fresh = rows.select("rid", "b").join(F.broadcast(known) if known.count() * 16 <= BROADCAST else known, "rid", "left_anti")
-    told = fresh.mapInArrow(_send_contexts(n), _SEND).repartition(n, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(_find_shared(n), _SEND)
-    lists = told.select("place", "data", "rids").repartition(n, "place").sortWithinPartitions("place").mapInArrow(_lists, _LIST)
+    told = fresh.mapInArrow(lean(_send_contexts(n)), _SEND).repartition(n, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(lean(_find_shared(n)), _SEND)
+    lists = told.select("place", "data", "rids").repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(_lists), _LIST)
     lists, p1 = materialise(lists, "shared")
     reclaim(spark)
-    strings, p2 = materialise(rows.join(_fit(lists, "data"), "rid").select("rid", "doc", "b", "data").mapInArrow(_send_strings(n), _ROWS), "strings")
+    strings, p2 = materialise(rows.join(_fit(lists, "data"), "rid").select("rid", "doc", "b", "data").mapInArrow(lean(_send_strings(n)), _ROWS), "strings")
     reclaim(spark)
     sent = strings.filter("kind = 0").select("bucket", "chunk", "runs", "text").repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = sent.mapInArrow(_sort_strings, _ROWS)
+    answers = sent.mapInArrow(lean(_sort_strings), _ROWS)
     back = strings.unionByName(answers).select("chunk", "bucket", "kind", "who").repartition(n, "chunk").sortWithinPartitions("chunk")
-    spans = back.mapInArrow(_spans, "rid long, spans binary")
-    whole = copied.filter(F.col("n_bytes") >= WIDTH).mapInArrow(_whole, "rid long, spans binary")
+    spans = back.mapInArrow(lean(_spans), "rid long, spans binary")
+    whole = copied.filter(F.col("n_bytes") >= WIDTH).mapInArrow(lean(_whole), "rid long, spans binary")
     spans, _ = materialise(spans.unionByName(whole).groupBy("rid").agg(F.first("spans").alias("spans")), "spans")  # rows that repeat agree
     delete(spark, p0, p1, p2)
     reclaim(spark)
@@ -695,7 +695,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     spans, seed = repeated_spans(docs)
     rows = _rows(docs.select("doc_id", "text"), seed).join(_fit(spans, "spans"), "rid", "left").select("doc_id", "b", "spans")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(_apply(1, False), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return rows.mapInArrow(lean(_apply(1, False)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -709,7 +709,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = spans.select(F.col("rid").alias("_r"), "spans")
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), _number(seed, _sha()).alias("_rid"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text"))  # so no column clashes
     rows = rows.join(_fit(spans, "spans"), F.expr("_rid = _r"), "left").select("row", "_text", "spans")
-    done = rows.mapInArrow(_apply(1, True), T.StructType([rows.schema["row"], T.StructField("__kept", T.StringType())]))
+    done = rows.mapInArrow(lean(_apply(1, True)), T.StructType([rows.schema["row"], T.StructField("__kept", T.StringType())]))
     left = F.when(F.col("row.text").isNull(), F.col("row.text")).otherwise(F.col("__kept"))
     return done.select(*[left.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import buffer
-from .common import table
+from .common import lean, table
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -165,7 +165,7 @@ def _counted(rows: DataFrame, k: int, label: str, starts, rule: str, path: str)
                 yield _count(tok, part.columns[:k], buf, off, *starts(part, buf, off), rule, [*batch.schema.names[:k], label.split()[0], *_FIELDS[1:]])
                 lo = hi
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:k]) + f", {label}, start_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long")
+    return rows.mapInArrow(lean(run), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:k]) + f", {label}, start_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long")
 
 
 def _count(tok: Bpe, kept: list, buf: np.ndarray, off: np.ndarray, sections: np.ndarray, doc: np.ndarray, label, rule: str, names: list[str]) -> pa.RecordBatch:

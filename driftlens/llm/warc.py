@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import delete, materialise, new_path, settled, table
+from .common import delete, lean, materialise, new_path, settled, table
 
 MAGIC = b"WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -154,7 +154,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """Per split: base (its offset in the file), entry (its first true record, from base) and owner (whose bytes come before)."""
-    cands, drop = materialise(pieces(spark, path).mapInArrow(_chains, "file string, block long, size long, at long, last long, leave long"), "candidates")
+    cands, drop = materialise(pieces(spark, path).mapInArrow(lean(_chains), "file string, block long, size long, at long, last long, leave long"), "candidates")
     dropped = [drop]
     order = W.partitionBy("file").orderBy("block")
     sizes = cands.filter("size is not null").select("file", "block", "size")
@@ -239,7 +239,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     else:
         rows = rows.withColumn("_n", F.monotonically_increasing_id()).join(at, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "_n")
     rows = rows.select("file", "block", "base", "entry", "owner", "piece")
-    cut, _ = materialise(rows.mapInArrow(_cut(payload), _SCHEMA), "records")
+    cut, _ = materialise(rows.mapInArrow(lean(_cut(payload)), _SCHEMA), "records")
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         data = b"".join(pdf.sort_values("bytes")["payload"])
