@@ -95,32 +95,44 @@ def rolling_vol(paths: np.ndarray, lookback: int = 60) -> tuple[np.ndarray, np.n
     return paths[:, lookback:].ravel(), view.std(axis=2, ddof=1).ravel()
 
 
-def gpd_shape(x: np.ndarray, weight: np.ndarray | None = None) -> float:
-    """Maximum likelihood shape of a generalised Pareto law from 0 (Grimshaw's profile over theta = xi / sigma)."""
-    w = np.ones(len(x)) if weight is None else weight.astype(float)
-    w, top, mean = w / w.sum(), float(x.max()), float(np.average(x, weights=w))
+def theta_grid(top: float, mean: float) -> np.ndarray:
+    """Sorted thetas = xi / sigma to begin with, all with 1 + theta * x > 0 for x up to ``top``; shapes below -1 have unbounded likelihood."""
+    return np.sort(np.r_[-(1 - np.geomspace(1e-6, 1, 200)[:-1]) / top, 0.0, np.geomspace(1e-6, 1e4, 400) / mean])
+
+
+def profile(theta: np.ndarray, shape: np.ndarray, mean: float) -> np.ndarray:
+    """Mean profile log-likelihood of a generalised Pareto law from 0 (Grimshaw); ``shape`` is the mean of log1p(theta * x), the best xi."""
+    near = np.abs(theta) * mean < 1e-9
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = -np.log(np.where(near, mean, shape / theta)) - shape - 1
+    return np.where(near, -np.log(mean) - 1, out)
+
+
+def narrowed(theta: np.ndarray, shape: np.ndarray, mean: float, first: bool, points: int = 64) -> tuple[float, np.ndarray]:
+    """The shape at the best theta of a grid, and a finer grid between its neighbours."""
+    if first:
+        sound = (shape > -1) | (theta >= 0)
+        theta, shape = theta[sound], shape[sound]
+    k = int(np.nanargmax(profile(theta, shape, mean)))
+    return float(shape[k]), np.linspace(theta[max(k - 1, 0)], theta[min(k + 1, len(theta) - 1)], points)
+
+
+def gpd_shape(x: np.ndarray) -> float:
+    """Maximum likelihood shape of a generalised Pareto law from 0, by golden section between the best grid point's neighbours."""
+    top, mean = float(x.max()), float(x.mean())
     if not top > 0:
         return float("nan")
 
     def shape(theta):
-        return (np.log1p(np.multiply.outer(theta, x)) * w).sum(axis=-1)
-
-    def level(theta):
-        theta = np.atleast_1d(theta)
-        xi = shape(theta)
-        near = np.abs(theta) * mean < 1e-9
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = -np.log(np.where(near, mean, xi / theta)) - xi - 1
-        return np.where(near, -np.log(mean) - 1, out)
-
-    # shapes below -1 have unbounded likelihood; theta stays where 1 + theta * x > 0
-    grid = np.r_[-(1 - np.geomspace(1e-6, 1, 200)[:-1]) / top, 0.0, np.geomspace(1e-6, 1e4, 400) / mean]
-    grid = np.sort(grid[(shape(grid) > -1) | (grid >= 0)])
-    k = int(np.nanargmax(level(grid)))
-    lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
-    for _ in range(60):  # golden section
+        return np.log1p(np.multiply.outer(theta, x)).mean(axis=-1)
+
+    grid = theta_grid(top, mean)
+    _, around = narrowed(grid, shape(grid), mean, True)
+    lo, hi = around[0], around[-1]
+    level = lambda t: profile(np.array([t]), shape(np.array([t])), mean)[0]
+    for _ in range(60):
         a, b = hi - 0.6180339887498949 * (hi - lo), lo + 0.6180339887498949 * (hi - lo)
-        lo, hi = (lo, b) if level(a)[0] >= level(b)[0] else (a, hi)
+        lo, hi = (lo, b) if level(a) >= level(b) else (a, hi)
     return float(shape(np.array([(lo + hi) / 2]))[0])
 
 

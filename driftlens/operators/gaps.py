@@ -2,7 +2,8 @@
 
 Corpora come in long form (side, path_id, t, r) with two sides, 'a' and 'b', or as ``two`` makes them. Every gap is one
 row with a column ``gap``; the parts it is made of (curves, blocks, correlations, thresholds) are operators too.
-``pos`` may stand beside path_id where a path is drawn more than once: then it identifies the path.
+``pos`` may stand beside path_id where a path is drawn more than once: then it identifies the path. B2 and B3 also take
+path form, (side, path_id, values), which spares them a shuffle. What comes back is a row or a few, worked out when asked for.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ STD_LEAST = 1e-10
 VAR_LEAST = 1e-8
 BLOCKS_LEAST = 30
 EXCEED_LEAST = 50
+#: Values whose transforms are in memory at once.
+FFT_VALUES = 1 << 18
 
 
 def two(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -76,36 +79,78 @@ def mean_curves(curves: DataFrame) -> DataFrame:
 
 
 def curve_gap(curves: DataFrame) -> DataFrame:
-    return _difference(mean_curves(curves), ["lag"], "c").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"))
+    return _gap_of(mean_curves(curves))
 
 
-def b2_gap(long: DataFrame, lags: range = range(60, 391)) -> DataFrame:
-    return curve_gap(lag_curves(long, lags))
+def _gap_of(means: DataFrame) -> DataFrame:
+    return _difference(means, ["lag"], "c").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"))
 
 
-def b3_gap(long: DataFrame, lags: range = range(1, 391)) -> DataFrame:
-    return curve_gap(lag_curves(long, lags, leverage=True))
+def b2_gap(rows: DataFrame, lags: range = range(60, 391)) -> DataFrame:
+    return _gap_of(fast_mean_curves(rows, lags))
 
 
-def fast_curves(long: DataFrame, lags: range, leverage: bool = False) -> DataFrame:
-    """lag_curves by FFT in Arrow batches of paths: for many lags of long paths."""
-    import pyarrow as pa
+def b3_gap(rows: DataFrame, lags: range = range(1, 391)) -> DataFrame:
+    return _gap_of(fast_mean_curves(rows, lags, leverage=True))
+
+
+def _arrays(rows: DataFrame) -> DataFrame:
+    """(side, path_id, v): a path's returns in order, from long or path form."""
+    if "values" in rows.columns:
+        return rows.select("side", "path_id", F.col("values").alias("v"))
+    paths = rows.groupBy("side", "path_id").agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("v"))
+    return paths.select("side", "path_id", F.transform("v", lambda x: x["r"]).alias("v"))
+
+
+def _stacked(batch, lags: range, leverage: bool):
+    """(rows of the batch, their curves) for the paths of each length: one transform for all of a length."""
+    import numpy as np
 
     from ..functions import kernels
 
-    paths = long.groupBy("side", "path_id").agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("v"))
-    paths = paths.select("side", "path_id", F.transform("v", lambda x: x["r"]).alias("v"))
+    v = batch.column("v")
+    size = np.asarray(v.value_lengths().fill_null(0))
+    for n in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == n)
+        for lo in range(0, len(at), max(1, FFT_VALUES // int(n))):
+            some = at[lo : lo + max(1, FFT_VALUES // int(n))]
+            x = v.take(some).flatten().to_numpy(zero_copy_only=False).reshape(len(some), n)
+            yield some, kernels.lag_curve(x, lags.start, lags.stop - 1, leverage)
+
+
+def fast_curves(rows: DataFrame, lags: range, leverage: bool = False) -> DataFrame:
+    """lag_curves by FFT, many paths at a time: for many lags of long paths."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for some, c in _stacked(batch, lags, leverage):
+                many = pa.array(np.repeat(some, len(lags)))
+                yield pa.RecordBatch.from_arrays([batch.column("side").take(many), batch.column("path_id").cast(pa.int64()).take(many), pa.array(np.tile(np.array(lags, np.int32), len(some))), pa.array(c.ravel(), from_pandas=True)], ["side", "path_id", "lag", "c"])
+
+    return _arrays(rows).mapInArrow(run, "side string, path_id long, lag int, c double")
+
+
+def fast_mean_curves(rows: DataFrame, lags: range, leverage: bool = False) -> DataFrame:
+    """mean_curves of fast_curves: a batch of paths sends sums, a row per side and lag, not one per path and lag."""
+    import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            for side, path, v in zip(*batch.to_pydict().values(), strict=True):
-                c = kernels.lag_curve(np.array([v]), lags.start, lags.stop - 1, leverage)[0]
-                n = len(c)
-                yield pa.RecordBatch.from_arrays([pa.array([side] * n), pa.array([path] * n, pa.int64()), pa.array(list(lags), pa.int32()), pa.array(c, from_pandas=True)], ["side", "path_id", "lag", "c"])
+            sides, which = np.unique(np.array(batch.column("side").to_pylist(), object), return_inverse=True) if batch.num_rows else ([], None)
+            total, n = np.zeros((len(sides), len(lags))), np.zeros((len(sides), len(lags)), np.int64)
+            for some, c in _stacked(batch, lags, leverage):
+                np.add.at(total, which[some], np.nan_to_num(c))
+                np.add.at(n, which[some], ~np.isnan(c))
+            if len(sides):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sides, len(lags)), pa.string()), pa.array(np.tile(np.array(lags, np.int32), len(sides))), pa.array(total.ravel()), pa.array(n.ravel())], ["side", "lag", "s", "n"])
 
-    return paths.mapInArrow(run, "side string, path_id long, lag int, c double")
+    sums = _arrays(rows).mapInArrow(run, "side string, lag int, s double, n long").groupBy("side", "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("side", "lag", F.try_divide("s", "n").alias("c"))
 
 
 # B4: L-kurtosis of block sums
@@ -115,25 +160,39 @@ def block_sums(long: DataFrame, h: int, length: int, pos: str = "path_id") -> Da
     """(side, block, x): sums of h returns in a row over the pooled vector of a side, paths in order of ``pos``; the rest goes.
 
     Blocks run over path boundaries where h doesn't divide the length, so the order of paths matters there. ``pos``
-    need not be dense: positions are numbered first, over one row per path.
+    need not be dense: positions are numbered first, by exact ranks over one row per path.
     """
-    seat = long.select("side", pos).distinct().withColumn("_seat", F.row_number().over(W.partitionBy("side").orderBy(pos)) - 1)
+    seat = order.ranked(long.select("side", pos).distinct(), pos, ["side"]).select("side", pos, F.col("rank").alias("_seat"))
     at = long.join(seat, ["side", pos]).withColumn("block", F.floor((F.col("_seat") * length + F.col("t")) / h))
     return at.groupBy("side", "block").agg(F.sum("r").alias("x"), F.count("*").alias("_k")).filter(F.col("_k") == h).drop("_k")
 
 
 def l_kurtosis(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by..., n, tau4): unbiased fourth L-moment ratio; null below 4 values or where the second L-moment vanishes."""
+    """(by..., n, tau4): unbiased fourth L-moment ratio; null below 4 values or where the second L-moment vanishes.
+
+    The weight of rank j in the k-th moment is j (j - 1) ... over the same of n - 1, and is added up over the ranks of equal
+    values, so equal values are one row.
+    """
     x = order.ranked(rows, value, by)
-    j, n = F.col("rank").cast("double"), F.col("n").cast("double")
-    part = lambda k: F.try_divide(j - k, n - 1 - k)
-    w1 = part(0)
-    w2 = w1 * part(1)
-    sums = x.groupBy(*by).agg(F.first("n").alias("n"), *[F.avg(w * F.col(value)).alias(f"b{k}") for k, w in enumerate((F.lit(1.0), w1, w2, w2 * part(2)))])
+    a, c, n = (F.col(k).cast("double") for k in ("rank", "_c", "n"))
+    down = lambda x, k: F.lit(1.0) if k == 0 else down(x, k - 1) * (x - (k - 1))  # noqa: E731  a product of k factors
+    # by Vandermonde's identity; no differences of large numbers
+    over = [F.lit(1.0), a + down(c - 1, 1) / 2, down(a, 2) + a * (c - 1) + down(c - 1, 2) / 3, down(a, 3) + down(a, 2) * (c - 1) * 1.5 + a * down(c - 1, 2) + down(c - 1, 3) / 4]
+    weights = lambda k: F.try_divide(c * over[k], down(n - 1, k))
+    sums = x.groupBy(*by).agg(F.first("n").alias("n"), *[F.sum(weights(k) * F.col(value)).alias(f"b{k}") for k in range(4)])
+    sums = sums.withColumns({f"b{k}": F.col(f"b{k}") / F.col("n") for k in range(4)})
     l2, l4 = F.expr("2 * b1 - b0"), F.expr("20 * b3 - 30 * b2 + 12 * b1 - b0")
     return sums.select(*by, "n", F.when((F.col("n") >= 4) & (F.abs(l2) >= 1e-12), F.try_divide(l4, l2)).alias("tau4"))
 
 
+def _few(rows: DataFrame, *kept: DataFrame) -> DataFrame:
+    """A result of a few rows, worked out now; what was kept for it is freed."""
+    found = rows.collect()
+    for x in kept:
+        x.unpersist()
+    return rows.sparkSession.createDataFrame(found, rows.schema)
+
+
 def b4_gap(long: DataFrame, length: int, horizons: tuple[int, ...] = (1, 5, 30, 60, 390), weights: tuple[float, ...] | None = None, pos: str = "path_id") -> DataFrame:
     weights = weights or tuple(1.0 / h for h in horizons)
     if len(weights) != len(horizons):
@@ -146,7 +205,7 @@ def b4_gap(long: DataFrame, length: int, horizons: tuple[int, ...] = (1, 5, 30,
     tau = l_kurtosis(blocks, "x", ["h", "side"]).filter(F.col("n") >= BLOCKS_LEAST)
     w = F.coalesce(*[F.when(F.col("h") == h, F.lit(float(x))) for h, x in zip(horizons, weights, strict=True)])
     both = _difference(tau, ["h"], "tau4").filter("a is not null and b is not null")
-    return both.agg(F.try_divide(F.sum(w * F.abs(F.col("a") - F.col("b"))), F.sum(w)).alias("gap"))
+    return _few(both.agg(F.try_divide(F.sum(w * F.abs(F.col("a") - F.col("b"))), F.sum(w)).alias("gap")), blocks)
 
 
 # B5: correlations of volatility across scales
@@ -209,36 +268,70 @@ def exceedances(rows: DataFrame, tail: float = 0.05) -> DataFrame:
     return x.join(F.broadcast(u), ["side", "regime"]).filter("m > u").select("side", "regime", (F.col("m") - F.col("u")).alias("e"))
 
 
-def tail_indices(exceed: DataFrame, bins: int = 20_000) -> DataFrame:
+def tail_indices(exceed: DataFrame) -> DataFrame:
     """(side, regime, n, xi): generalised Pareto shape by maximum likelihood; null below EXCEED_LEAST exceedances.
 
-    The fit needs a group's exceedances in one place. Groups are sides times regimes; above ``bins`` exceedances a group
-    comes as that many bins of equal share, each as its mean and weight, so memory is bounded.
+    The profile likelihood of theta = xi / sigma needs the exceedances only in mean(log1p(theta * e)), so every exceedance counts
+    at any size: a pass adds that up for a grid of thetas, and each later one for a finer grid around the best.
+    Groups are sides times regimes, so what comes to the driver are a few sums of a grid.
     """
-    import pandas as pd
-
     from ..functions import kernels
 
-    r = order.ranked(exceed, "e", ["side", "regime"])
-    r = r.withColumn("_b", F.when(F.col("n") > bins, F.floor(F.col("rank") * bins / F.col("n"))).otherwise(F.col("rank")))
-    packed = r.groupBy("side", "regime", "_b").agg(F.avg("e").alias("e"), F.count("*").alias("w"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["w"].sum())
-        xi = kernels.gpd_shape(pdf["e"].to_numpy(), pdf["w"].to_numpy()) if n >= EXCEED_LEAST else None
-        return pd.DataFrame({"side": [pdf["side"].iloc[0]], "regime": [pdf["regime"].iloc[0]], "n": [n], "xi": [xi]})
+    spark, exceed = exceed.sparkSession, exceed.select("side", F.col("regime").cast("int").alias("regime"), "e").persist()  # read by each pass
+    found = exceed.groupBy("side", "regime").agg(F.count("*").alias("n"), F.max("e").alias("top"), F.avg("e").alias("mean")).collect()
+    grids = {(g.side, g.regime): kernels.theta_grid(g.top, g.mean) for g in found if g.n >= EXCEED_LEAST and g.top > 0}
+    best: dict = {}
+    for turn in range(GRID_TURNS):
+        if not grids:
+            break
+        shapes = _mean_logs(exceed, grids)
+        for g in found:
+            key = (g.side, g.regime)
+            if key in grids:
+                best[key], grids[key] = kernels.narrowed(grids[key], shapes[key], g["mean"], turn == 0)
+    exceed.unpersist()
+    return spark.createDataFrame([(g.side, g.regime, g.n, best.get((g.side, g.regime))) for g in found], "side string, regime int, n long, xi double")
+
+
+#: Passes of ``tail_indices``: the first over the whole range of theta, each later one a finer grid between two neighbours.
+GRID_TURNS = 6
+
+
+def _mean_logs(exceed: DataFrame, grids: dict) -> dict:
+    """Per (side, regime) the mean of log1p(theta * e) over its exceedances, for each theta of its grid."""
+    import numpy as np
+    import pyarrow as pa
 
-    return packed.groupBy("side", "regime").applyInPandas(fit, "side string, regime int, n long, xi double")
+    def run(batches):
+        sums = {k: np.zeros(len(g) + 1) for k, g in grids.items()}
+        for batch in batches:
+            e, regime = batch.column("e").to_numpy(), batch.column("regime").to_numpy()
+            side = np.array(batch.column("side").to_pylist(), object)
+            for (s, r), grid in grids.items():
+                x = e[(side == s) & (regime == r)]
+                for lo in range(0, len(x), 4096):
+                    sums[s, r][:-1] += np.log1p(np.multiply.outer(grid, x[lo : lo + 4096])).sum(axis=1)
+                sums[s, r][-1] += len(x)
+        rows = [(s, r, i, float(v)) for (s, r), total in sums.items() if total[-1] for i, v in enumerate(total)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["side", "regime", "i", "s"])
+
+    rows = exceed.mapInArrow(run, "side string, regime int, i int, s double").groupBy("side", "regime", "i").agg(F.sum("s").alias("s")).collect()
+    out = {k: np.zeros(len(g) + 1) for k, g in grids.items()}
+    for x in rows:
+        out[x.side, x.regime][x.i] = x.s
+    return {k: v[:-1] / v[-1] for k, v in out.items()}
 
 
 def b6_gap(long: DataFrame, regimes: int = 3, tail: float = 0.05, lookback: int = 60, bounds: list[float] | None = None) -> DataFrame:
     """Mean difference of tail indices over the regimes both sides have; bounds default to side a's volatility quantiles.
 
-    The volatilities and the exceedances are read by several passes each, so they are kept (in memory, or else on disk).
+    The volatilities are read by several passes, so they are kept (in memory, or else on disk) until the gap is known.
     """
     vols = with_volatility(long, lookback).persist()
     if bounds is None:
         bounds = [x.q for x in regime_thresholds(vols.filter("side = 'a'"), regimes).orderBy("p").collect()]  # regimes - 1 rows
-    xi = tail_indices(exceedances(in_regime(vols, bounds), tail).persist())
+    xi = tail_indices(exceedances(in_regime(vols, bounds), tail))
+    vols.unpersist()
     both = _difference(xi, ["regime"], "xi").filter("a is not null and b is not null")
     return both.agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"))

@@ -80,6 +80,46 @@ def test_b4(pair):
         gaps.b4_gap(long, T, (1, 5), (1.0,))
 
 
+def tied(spark):
+    """Paths of which three returns in ten are zero and many others repeat, as minute bars have them."""
+    r = np.random.default_rng(9)
+    a, b = (np.where(r.random((N, T)) < 0.3, 0.0, np.round(r.standard_t(3, (N, T)), d)) for d in (1, 2))
+    return a, b, gaps.two(to_long(frame(spark, a), "path_id"), to_long(frame(spark, b), "path_id"))
+
+
+@pytest.mark.parametrize("bins", [4096, 2])
+def test_ties_count_each(spark, monkeypatch, bins):
+    monkeypatch.setattr(gaps.order, "BINS", bins)
+    monkeypatch.setattr(gaps.order, "BIN_ROWS", 50)
+    a, b, long = tied(spark)
+    assert one(gaps.b1_gap(long)) == pytest.approx(kernels.tail_gap(a, b), abs=1e-12)
+    assert one(gaps.b4_gap(long, T, (1, 5, 7))) == pytest.approx(kernels.kurtosis_gap(a, b, (1, 5, 7)), abs=1e-10)
+    bounds = [float(np.quantile(kernels.rolling_vol(a, 20)[1], k / 3)) for k in (1, 2)]
+    want = kernels.tail_regime_gap(kernels.rolling_vol(a, 20), kernels.rolling_vol(b, 20), bounds)
+    assert one(gaps.b6_gap(long, lookback=20)) == pytest.approx(want, abs=1e-6)
+    rows = spark.createDataFrame([("x", v) for v in [0.0] * 900 + [1.0, 1.0, -2.0, None]], "g string, v double")
+    got = {r.v: (r["_c"], r["rank"], r.n) for r in gaps.order.ranked(rows, "v", ["g"]).collect()}
+    assert got == {-2.0: (1, 0, 903), 0.0: (900, 1, 903), 1.0: (2, 901, 903)}
+
+
+def test_fast_curves_take_paths_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(gaps, "FFT_VALUES", 100)
+    r = np.random.default_rng(4)
+    rows = [("ab"[i % 2], i, r.normal(size=n).tolist()) for i, n in enumerate([30, 31, 30, 5, 60, 60, 30, 1, 0, 30, 30])]
+    paths_ = spark.createDataFrame(rows, "side string, path_id long, values array<double>").repartition(2)
+    lags = range(2, 12)
+    want, total = {}, {}
+    for side, i, v in rows:
+        for k, c in zip(lags, kernels.lag_curve(np.array([v]), 2, 11)[0] if v else []):
+            want[side, i, k] = None if np.isnan(c) else c
+            if not np.isnan(c):
+                total.setdefault((side, k), []).append(c)
+    got = {(x.side, x.path_id, x.lag): x.c for x in gaps.fast_curves(paths_, lags).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (None if c is None else pytest.approx(c, abs=1e-12)) for k, c in want.items())
+    means = {(x.side, x.lag): x.c for x in gaps.fast_mean_curves(paths_, lags).collect()}
+    assert means == {k: pytest.approx(np.mean(c), abs=1e-12) for k, c in total.items()}
+
+
 def test_b5(pair):
     a, b, long = pair
     scales, got = (5, 20, 60), []
@@ -107,7 +147,18 @@ def test_pareto_shapes_are_found(xi):
     u = np.random.default_rng(5).uniform(size=40_000)
     x = -np.log(u) if xi == 0 else (u**-xi - 1) / xi
     assert kernels.gpd_shape(2.5 * x) == pytest.approx(xi, abs=0.03)
-    assert kernels.gpd_shape(x[:500], np.full(500, 3)) == pytest.approx(kernels.gpd_shape(x[:500]), abs=1e-6)
+
+
+def test_tail_indices_use_every_exceedance(spark):
+    r = np.random.default_rng(1)
+    groups = {("a", 0): 2.0 * ((1 - r.random(60_000)) ** -0.3 - 1) / 0.3, ("b", 1): r.exponential(size=500), ("a", 2): r.exponential(size=49), ("b", 2): np.zeros(80), ("a", 1): r.random(400)}
+    rows = spark.createDataFrame([(s, g, float(x)) for (s, g), v in groups.items() for x in v], "side string, regime int, e double")
+    got = {(x.side, x.regime): (x.n, x.xi) for x in gaps.tail_indices(rows).collect()}
+    assert got["a", 2] == (49, None) and got["b", 2] == (80, None)
+    for k in (("a", 0), ("b", 1), ("a", 1)):
+        assert got[k][0] == len(groups[k]) and got[k][1] == pytest.approx(kernels.gpd_shape(groups[k]), abs=1e-6)
+    assert got["a", 0][1] == pytest.approx(0.3, abs=0.02)
+    assert gaps.tail_indices(rows.limit(0)).count() == 0
 
 
 def test_properties(spark):

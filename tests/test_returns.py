@@ -135,7 +135,8 @@ def test_ranks_and_quantiles_are_exact(spark, kind):
         part = x[g::2] if len(x) > 1 else x
         assert [got[g, p] for p in probs] == pytest.approx(np.quantile(part, probs).tolist(), rel=1e-12)
         rows = order.ranked(df, "v", ["g"]).filter(F.col("g") == g).orderBy("rank").collect()
-        assert [q.v for q in rows] == sorted(part.tolist()) and [q["rank"] for q in rows] == list(range(len(part)))
+        values, first, count = np.unique(np.sort(part), return_index=True, return_counts=True)
+        assert [(q.v, q["rank"], q["_c"], q.n) for q in rows] == [(v, i, c, len(part)) for v, i, c in zip(values.tolist(), first.tolist(), count.tolist())]
 
 
 def test_preparation_end_to_end(spark, tmp_path):
