@@ -15,13 +15,12 @@ from .sources import tables
 def score(spark: SparkSession, out: str, names: list[str]) -> str:
     """The report over the generators whose corpora are there; others are skipped, an error if none is."""
     ref = build.reference(spark, out)
-    real, found, lines = tables.read_corpus(spark, f"{out}/eval"), {}, []
-    for name in names:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    real, found, lines = tables.read_corpus(spark, tables.real_corpus(out)), {}, []
+    for name, path in tables.generator_corpora(names, out).items():
+        if not tables.exists(spark, path):
             lines.append(f"  SKIP {name}: missing")
             continue
-        found[name] = tables.read_corpus(spark, f"{out}/{name}")
+        found[name] = tables.read_corpus(spark, path)
     if not found:
         raise SystemExit("no synthetic corpus found")
     for name, corpus in {"real": real, **found}.items():

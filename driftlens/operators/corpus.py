@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..schemas import CRASH, SEED, STD_TOLERANCE, WINDOW
 
 
-def windows(rows: DataFrame, value: str, length: int = WINDOW, by: tuple[str, ...] = ("ts",), date: str | None = "date_ny", cutoff: str = CRASH) -> DataFrame:
+def windows(rows: DataFrame, value: str, length: int = WINDOW, by: tuple[str, ...] = ("ts",), date: str | None = "date_ny", cutoff: str = CRASH, places: DataFrame | None = None) -> DataFrame:
     """Path form: whole, non-overlapping runs of ``length`` returns of each ticker in order; what is left over goes.
 
-    path_id counts from 0 by ticker and window. Numbering is over one row per ticker (its count of windows), not over
+    path_id counts from 0 by ticker and window; tickers go by name, or by ``places`` (ticker, place). Numbering is over one row per ticker (its count of windows), not over
     the paths. regime is 0 for windows that begin before ``cutoff``, else 1.
     """
     numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy("ticker").orderBy(*by)) - 1)
@@ -25,7 +25,8 @@ def windows(rows: DataFrame, value: str, length: int = WINDOW, by: tuple[str, ..
     found = numbered.groupBy("ticker", "win").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("r")))).alias("_v"), began.alias("_d"))
     found = found.filter(F.size("_v") == length)
     per = found.groupBy("ticker").agg(F.count("*").alias("_k"))
-    base = per.withColumn("_base", F.coalesce(F.sum("_k").over(W.orderBy("ticker").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_k")
+    per = per.withColumn("place", F.col("ticker")) if places is None else per.join(places.select("ticker", "place"), "ticker")
+    base = per.select("ticker", F.coalesce(F.sum("_k").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     out = found.join(base, "ticker").withColumn("path_id", (F.col("_base") + F.col("win")).cast("long"))
     regime = F.when(F.col("_d") < F.lit(cutoff).cast("date"), 0).when(F.col("_d").isNotNull(), 1).cast("byte")
     return out.select("path_id", "ticker", regime.alias("regime"), F.transform("_v", lambda x: x["r"]).alias("values"))

@@ -46,10 +46,13 @@ def reference(spark: SparkSession, output_dir: str) -> dict:
 
 
 def transform_synthetic(spark: SparkSession, parquet: str, output_dir: str, name: str, window_len: int = WINDOW, scale: bool = True) -> DataFrame:
-    """Synthetic minute bars to an aligned corpus of the benchmark's size, with the real corpus's curve."""
+    """Synthetic minute bars to an aligned corpus of the benchmark's size, with the real corpus's curve.
+
+    Paths stand in the order in which their tickers first stand in the file, which is what the seed draws from.
+    """
     bars = tables.read_wide_parquet(spark, parquet)
     curve = tables.read_curve(spark, f"{output_dir}/curve")
-    made = C.windows(season.deseasonalise(clean(bars, "return_then_drop"), curve), "return_deseas", window_len, date=None)
+    made = C.windows(season.deseasonalise(clean(bars, "return_then_drop"), curve), "return_deseas", window_len, date=None, places=tables.first_seen(spark, parquet))
     made.write.mode("overwrite").parquet(f"{output_dir}/{name}-windows")
     made = spark.read.parquet(f"{output_dir}/{name}-windows")
     if made.isEmpty():

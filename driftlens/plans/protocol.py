@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions import kernels
 from ..operators import gaps
 from ..operators.corpus import to_long
 from ..schemas import BOOTSTRAP, PATHS, RESAMPLES, SEED
-from .samplers import PooledSampler, Sampler, paired_draws
+from .samplers import PooledSampler, Sampler, paired_draws, unpaired_draws
 
 Gap = Callable[[np.ndarray, np.ndarray], float]
 Feature = Callable[[np.ndarray], np.ndarray]
@@ -91,23 +92,54 @@ def _features(corpus: DataFrame, bucket: Bucket) -> DataFrame:
 
 
 def gap_table(real: DataFrame, synthetic: DataFrame | None, bucket: Bucket, draws: list[tuple[int, str, int, int]]) -> DataFrame:
-    """(resample, g_rr, g_sr) of the draws' rows: gaps of side a against b, and against s; null where a side is missing.
+    """(resample, g_rr, g_sr) of the draws' rows: gaps of side a against b, and against s; null where a side is missing."""
+    return gap_tables(real, {"": synthetic} if synthetic is not None else {}, bucket, {"": draws}).drop("generator")
 
-    Draws join the paths' features on path_id and meet by resample: tasks are resamples, each holding its own draws.
+
+def gap_tables(real: DataFrame, generators: dict[str, DataFrame], bucket: Bucket, draws: dict[str, list[tuple[int, str, int, int]]]) -> DataFrame:
+    """gap_table of each generator's draws, in one job: (generator, resample, g_rr, g_sr).
+
+    Draws join the paths' features on path_id and meet by generator and resample: tasks are resamples, each holding its own
+    draws. The real corpus's features are worked out once for all generators.
     """
     spark = real.sparkSession
-    drawn = spark.createDataFrame(pd.DataFrame(draws, columns=["resample", "side", "pos", "path_id"]))
+    rows = zip(*[(g, *d) for g, ds in draws.items() for d in ds], strict=True)
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    drawn = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["generator", "resample", "side", "pos", "path_id"]))
     parts = drawn.filter("side in ('a', 'b')").join(_features(real, bucket), "path_id")
-    if synthetic is not None:
-        parts = parts.unionByName(drawn.filter("side = 's'").join(_features(synthetic, bucket), "path_id"))
+    for g, corpus in generators.items():
+        parts = parts.unionByName(drawn.filter((F.col("side") == "s") & (F.col("generator") == g)).join(_features(corpus, bucket), "path_id"))
     gap = bucket.gap
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = {k: np.stack(g.sort_values("pos")["f"]) for k, g in pdf.groupby("side")}
+        side = {k: np.stack(x.sort_values("pos")["f"]) for k, x in pdf.groupby("side")}
         one = lambda x: float(gap(side["a"], side[x])) if x in side else None
-        return pd.DataFrame({"resample": [pdf["resample"].iloc[0]], "g_rr": [one("b")], "g_sr": [one("s")]})
+        return pd.DataFrame({"generator": [pdf["generator"].iloc[0]], "resample": [pdf["resample"].iloc[0]], "g_rr": [one("b")], "g_sr": [one("s")]})
+
+    return parts.groupBy("generator", "resample").applyInPandas(score, "generator string, resample long, g_rr double, g_sr double")
+
+
+def _gaps(table: DataFrame, column: str) -> np.ndarray:
+    return np.array([r[column] for r in table.orderBy("resample").collect()], float)  # a row per resample
+
 
-    return parts.groupBy("resample").applyInPandas(score, "resample long, g_rr double, g_sr double")
+def rr_gaps(bucket: Bucket, real: DataFrame, n_per_half: int, n_resamples: int, rng: np.random.Generator, sampler: Sampler | None = None) -> np.ndarray:
+    """Gaps between disjoint halves of the real corpus, one a resample."""
+    draws = unpaired_draws(sampler or PooledSampler(real.count()), None, n_per_half, n_resamples, rng)
+    return _gaps(gap_table(real, None, bucket, draws), "g_rr")
+
+
+def sr_gaps(bucket: Bucket, real: DataFrame, synthetic: DataFrame, n: int, n_resamples: int, rng: np.random.Generator, real_sampler: Sampler | None = None) -> np.ndarray:
+    """Gaps between draws of the real and of the synthetic corpus, one a resample; with replacement from one of no more than n paths."""
+    draws = unpaired_draws(real_sampler or PooledSampler(real.count()), synthetic.count(), n, n_resamples, rng)
+    return _gaps(gap_table(real, synthetic, bucket, draws), "g_sr")
+
+
+def rr_sr_gaps_paired(bucket: Bucket, real: DataFrame, synthetic: DataFrame, n: int, n_resamples: int, rng: np.random.Generator, sampler: Sampler | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Both kinds of gaps with one first half of the real corpus for both."""
+    draws = paired_draws(sampler or PooledSampler(real.count()), synthetic.count(), n, n_resamples, rng)
+    rows = gap_table(real, synthetic, bucket, draws).orderBy("resample").collect()  # a row per resample
+    return np.array([r.g_rr for r in rows], float), np.array([r.g_sr for r in rows], float)
 
 
 def verify_fast(real: DataFrame, synthetic: DataFrame, k2=(60, 390), k3=(1, 390), paths: int = 20, tolerance: float = 1e-10) -> None:
@@ -138,6 +170,10 @@ def similarity_with_ci(g_rr: np.ndarray, g_sr: np.ndarray, n: int, rng: np.rando
     return similarity(g_rr, g_sr), float(lo), float(hi)
 
 
+def similarity_with_ci_unpaired(g_rr: np.ndarray, g_sr: np.ndarray, n: int, rng: np.random.Generator) -> tuple[float, float, float]:
+    return similarity_with_ci(g_rr, g_sr, n, rng, paired=False)
+
+
 def cell_seeds(n: int, seed: int = SEED) -> list[int]:
     return [int(s.generate_state(1, dtype=np.uint32)[0]) for s in np.random.SeedSequence(seed).spawn(n)]
 
@@ -154,12 +190,12 @@ def run_benchmark(real: DataFrame, generators: dict[str, DataFrame], which: list
     sampler = sampler or PooledSampler(real.count())
     seeds, out = iter(cell_seeds(len(which) * len(generators), seed)), []
     for bucket in which:
-        fitted = bucket.fit(real)
-        for g, corpus in generators.items():
-            s = next(seeds)
-            draws = paired_draws(sampler, sizes[g], n, resamples, np.random.default_rng(s))
-            got = gap_table(real, corpus, fitted, draws).orderBy("resample").toPandas()  # a row per resample
-            rr, sr = got["g_rr"].to_numpy(float), got["g_sr"].to_numpy(float)
+        fitted, dealt = bucket.fit(real), {g: next(seeds) for g in generators}
+        draws = {g: paired_draws(sampler, sizes[g], n, resamples, np.random.default_rng(s)) for g, s in dealt.items()}
+        got = gap_tables(real, generators, fitted, draws).toPandas().sort_values("resample")  # a row per generator and resample
+        for g, s in dealt.items():
+            mine = got[got["generator"] == g]
+            rr, sr = mine["g_rr"].to_numpy(float), mine["g_sr"].to_numpy(float)
             sim, lo, hi = similarity_with_ci(rr, sr, bootstrap, np.random.default_rng(s + 2))
             cv = float(rr.std() / rr.mean()) if rr.mean() else float("nan")
             out.append((bucket.name, g, sim, lo, hi, float(rr.mean()), float(sr.mean()), cv))

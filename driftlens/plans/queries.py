@@ -131,6 +131,17 @@ def ticker_split(spark, d):
     return liquidity.ticker_split(liquidity.classify(per, TIERS))
 
 
+@query("ticker_split_counts", f"""with per as (select o_custkey, count(*) as n from orders group by o_custkey),
+classed as (select count(*) filter (where n >= {TIERS["eval_eligible"]}) as eligible, count(*) filter (where n >= {TIERS["train_only"]} and n < {TIERS["eval_eligible"]}) as only_train from per),
+held as (select *, case when eligible > 0 then greatest(1, cast(round_even(eligible * 0.2, 0) as bigint)) else 0 end as k from classed)
+select * from (select 'eval' as side, 'eval_eligible' as liquidity_class, k as n, k as names from held union all select 'train', 'eval_eligible', eligible - k, eligible - k from held union all select 'train', 'train_only', only_train, only_train from held) where n > 0""")
+def ticker_split_counts(spark, d):
+    """Every eligible ticker is on one side, the share held out is exact, and nothing else is in."""
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("ticker")).agg(F.count("*").cast("double").alias("median_bars_per_day"))
+    classed = liquidity.classify(per, TIERS)
+    return liquidity.ticker_split(classed).join(classed, "ticker").groupBy("side", "liquidity_class").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("names"))
+
+
 # seasonality
 
 
@@ -155,9 +166,18 @@ def fff_normal_sums(spark, d):
     return sums.select(*[F.round(c, 6).alias(c) for c in sums.columns])
 
 
-@query("fff_curve")
+_M = ", ".join("[" + ", ".join([f"sum({_B[i]} * {_B[j]})" for j in range(7)] + [f"sum({_B[i]} * y)"]) + "]" for i in range(7))
+_CURVE = f"""{_PROFILE.replace("with local", "with recursive local")}, solved(k, m) as (
+  select 0, [{_M}] from profile
+  union all
+  select k + 1, [case when i = k + 1 then [x / m[k + 1][k + 1] for x in m[i]] else [m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j] for j in range(1, 9)] end for i in range(1, 8)] from solved where k < 7
+), w as (select [row_[8] for row_ in m] as w from solved where k = 7), minutes as (select cast(i as bigint) as tau from range(390) g(i)),
+curve as (select tau, greatest({" + ".join(f"w[{i + 1}] * {b}" for i, b in enumerate(_B))}, 1e-8) as s from minutes, w)"""
+
+
+@query("fff_curve", f"{_CURVE} select tau, round(s, 6) as s from curve")
 def fff_curve(spark, d):
-    return season.fit_curve(season.tau_profile(events_returns(spark, d)))
+    return season.fit_curve(season.tau_profile(events_returns(spark, d))).select(F.col("tau").cast("long").alias("tau"), F.round("s", 6).alias("s"))
 
 
 _DESEAS = f"""{_PROFILE}, deseas as (
@@ -193,30 +213,41 @@ def zscore(spark, d):
 # corpora
 
 
-def supplier_corpus(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_suppkey", *BY)
-    r = session.series_returns(rows, "l_suppkey", "l_extendedprice", *BY)
-    r = r.select(F.lpad(F.col("l_suppkey").cast("string"), 12, "0").alias("ticker"), "log_return", *BY)
-    return C.windows(r, "log_return", LENGTH, by=BY, date="l_shipdate", cutoff=CUTOFF)
+def supplier_corpus(spark: SparkSession, d: str, groups: int | None = None, length: int = LENGTH) -> DataFrame:
+    """Paths by supplier, or by the remainder of its number, for longer ones."""
+    name = F.col("l_suppkey") % groups if groups else F.col("l_suppkey")
+    rows = table(spark, d, "lineitem").select(name.alias("name"), *BY)
+    r = session.series_returns(rows, "name", "l_extendedprice", *BY)
+    r = r.select(F.lpad(F.col("name").cast("string"), 12, "0").alias("ticker"), "log_return", *BY)
+    return C.windows(r, "log_return", length, by=BY, date="l_shipdate", cutoff=CUTOFF)
+
+
+def paired(corpus: DataFrame) -> DataFrame:
+    """(side, path_id, values): odd tickers against even ones."""
+    return corpus.select(F.when(F.col("ticker").cast("long") % 2 == 1, "a").otherwise("b").alias("side"), "path_id", "values")
 
 
 def sides(corpus: DataFrame) -> DataFrame:
-    return C.to_long(corpus.withColumn("side", F.when(F.col("ticker").cast("long") % 2 == 1, "a").otherwise("b")), "side", "path_id")
+    return C.to_long(paired(corpus), "side", "path_id")
 
 
-_PATHS = f"""
-with rets as (
-  select * from (select l_suppkey, {", ".join(BY)}, ln(l_extendedprice / lag(l_extendedprice) over (partition by l_suppkey order by {", ".join(BY)})) as r from lineitem)
+def _paths(ticker: str = "l_suppkey", length: int = LENGTH) -> str:
+    return f"""
+with prices as (select {ticker} as name, {", ".join(BY)} from lineitem), rets as (
+  select * from (select name, {", ".join(BY)}, ln(l_extendedprice / lag(l_extendedprice) over (partition by name order by {", ".join(BY)})) as r from prices)
   where r is not null
 ), numbered as (
-  select l_suppkey, r, l_shipdate, row_number() over (partition by l_suppkey order by {", ".join(BY)}) - 1 as n from rets
+  select name, r, l_shipdate, row_number() over (partition by name order by {", ".join(BY)}) - 1 as n from rets
 ), placed as (
-  select l_suppkey, r, l_shipdate, n // {LENGTH} as win, n % {LENGTH} as t, count(*) over (partition by l_suppkey, n // {LENGTH}) as k from numbered
+  select name, r, l_shipdate, n // {length} as win, n % {length} as t, count(*) over (partition by name, n // {length}) as k from numbered
 ), long as (
-  select dense_rank() over (order by lpad(cast(l_suppkey as varchar), 12, '0'), win) - 1 as path_id, lpad(cast(l_suppkey as varchar), 12, '0') as ticker, l_shipdate, t, r,
-    case when l_suppkey % 2 = 1 then 'a' else 'b' end as side
-  from placed where k = {LENGTH}
+  select dense_rank() over (order by lpad(cast(name as varchar), 12, '0'), win) - 1 as path_id, lpad(cast(name as varchar), 12, '0') as ticker, l_shipdate, t, r,
+    case when name % 2 = 1 then 'a' else 'b' end as side
+  from placed where k = {length}
 )"""
+
+
+_PATHS = _paths()
 _CORPUS = f"""{_PATHS}, corpus as (
   select path_id, ticker, side, case when min(l_shipdate) filter (where t = 0) < date '{CUTOFF}' then 0 else 1 end as regime, sum(r) as total from long group by path_id, ticker, side
 )"""
@@ -257,6 +288,14 @@ def subsample_paths(spark, d):
     return C.subsample(supplier_corpus(spark, d), 5).select("pos", "path_id", "ticker")
 
 
+@query("subsample_counts", f"{_PATHS} select 5 as paths, 5 as places, count(distinct path_id) >= 5 as enough, true as known from long")
+def subsample_counts(spark, d):
+    """Five different paths of the corpus, in places 0 to 4."""
+    corpus = supplier_corpus(spark, d)
+    drawn = C.subsample(corpus, 5).join(corpus.select(F.col("path_id").alias("_id")), F.expr("path_id = _id"), "left")
+    return drawn.agg(F.countDistinct("path_id").alias("paths"), F.count_if(F.expr("pos between 0 and 4")).alias("places"), (F.count("*") == 5).alias("enough"), (F.count("_id") == 5).alias("known"))
+
+
 # gaps
 
 _TAIL = f"select (i + 0.5) / 1000 as p from range(1000) x(i) where (i + 0.5) / 1000 < 0.05 or (i + 0.5) / 1000 > 0.95"
@@ -272,15 +311,14 @@ def b1_gap(spark, d):
     return gaps.b1_gap(sides(supplier_corpus(spark, d))).withColumns(r6("gap"))
 
 
-def _lagged(leverage: bool) -> str:
+def _lagged(leverage: bool, lags: range = LAGS, paths: str = _PATHS) -> str:
     early = "r - avg(r) over (partition by path_id)" if leverage else "abs(r) - avg(abs(r)) over (partition by path_id)"
-    return f"""{_PATHS}, centred as (
+    return f"""{paths}, centred as (
   select side, path_id, t, {early} as x, abs(r) - avg(abs(r)) over (partition by path_id) as y from long
-), scale as (select path_id, sqrt(sum(x * x) * sum(y * y)) as s from centred group by path_id),
-lags as (select i as lag from range({LAGS.start}, {LAGS.stop}) g(i)), curves as (
-  select a.side, a.path_id, l.lag, sum(a.x * b.y) / any_value(s.s) as c
-  from centred a cross join lags l join centred b on b.path_id = a.path_id and b.t = a.t + l.lag join scale s on s.path_id = a.path_id
-  group by a.side, a.path_id, l.lag
+), arrays as (
+  select side, path_id, list(x order by t) as xs, list(y order by t) as ys, count(*) as n, sqrt(sum(x * x) * sum(y * y)) as s from centred group by side, path_id
+), curves as (
+  select side, path_id, lag, list_dot_product(xs[1 : n - lag], ys[lag + 1 : n]) / s as c from arrays, range({lags.start}, {lags.stop}) g(lag)
 ), mean as (select side, lag, avg(c) as c from curves group by side, lag)"""
 
 
@@ -289,32 +327,47 @@ _GAP = "select round(avg(abs(a.c - b.c)), 6) as gap from mean a join mean b on a
 
 @query("b2_acf_lags", f"{_lagged(False)} select side, cast(lag as bigint) as lag, round(c, 6) as c from mean")
 def b2_acf_lags(spark, d):
-    return gaps.mean_curves(gaps.lag_curves(sides(supplier_corpus(spark, d)), LAGS)).withColumns({"lag": F.col("lag").cast("long"), **r6("c")})
+    return gaps.fast_mean_curves(paired(supplier_corpus(spark, d)), LAGS).withColumns({"lag": F.col("lag").cast("long"), **r6("c")})
 
 
 @query("b3_leverage_lags", f"{_lagged(True)} select side, cast(lag as bigint) as lag, round(c, 6) as c from mean")
 def b3_leverage_lags(spark, d):
-    return gaps.mean_curves(gaps.lag_curves(sides(supplier_corpus(spark, d)), LAGS, leverage=True)).withColumns({"lag": F.col("lag").cast("long"), **r6("c")})
+    return gaps.fast_mean_curves(paired(supplier_corpus(spark, d)), LAGS, leverage=True).withColumns({"lag": F.col("lag").cast("long"), **r6("c")})
 
 
 @query("b2_gap", f"{_lagged(False)} {_GAP}")
 def b2_gap(spark, d):
-    return gaps.b2_gap(sides(supplier_corpus(spark, d)), LAGS).withColumns(r6("gap"))
+    return gaps.b2_gap(paired(supplier_corpus(spark, d)), LAGS).withColumns(r6("gap"))
 
 
 @query("b3_gap", f"{_lagged(True)} {_GAP}")
 def b3_gap(spark, d):
-    return gaps.b3_gap(sides(supplier_corpus(spark, d)), LAGS).withColumns(r6("gap"))
+    return gaps.b3_gap(paired(supplier_corpus(spark, d)), LAGS).withColumns(r6("gap"))
 
 
 @query("b2_gap_fast", f"{_lagged(False)} {_GAP}")
 def b2_gap_fast(spark, d):
-    return gaps.curve_gap(gaps.fast_curves(sides(supplier_corpus(spark, d)), LAGS)).withColumns(r6("gap"))
+    return gaps.curve_gap(gaps.fast_curves(paired(supplier_corpus(spark, d)), LAGS)).withColumns(r6("gap"))
 
 
 @query("b3_gap_fast", f"{_lagged(True)} {_GAP}")
 def b3_gap_fast(spark, d):
-    return gaps.curve_gap(gaps.fast_curves(sides(supplier_corpus(spark, d)), LAGS, leverage=True)).withColumns(r6("gap"))
+    return gaps.curve_gap(gaps.fast_curves(paired(supplier_corpus(spark, d)), LAGS, leverage=True)).withColumns(r6("gap"))
+
+
+#: The benchmark's own lengths and lags; suppliers share paths so that these are long enough from 50,000 lines on.
+GROUPS, LONG, LAGS_B2, LAGS_B3 = 16, 2520, range(60, 391), range(1, 391)
+_LONG_PATHS = _paths(f"l_suppkey % {GROUPS}", LONG)
+
+
+@query("b2_gap_reference", f"{_lagged(False, LAGS_B2, _LONG_PATHS)} {_GAP}")
+def b2_gap_reference(spark, d):
+    return gaps.b2_gap(paired(supplier_corpus(spark, d, GROUPS, LONG)), LAGS_B2).withColumns(r6("gap"))
+
+
+@query("b3_gap_reference", f"{_lagged(True, LAGS_B3, _LONG_PATHS)} {_GAP}")
+def b3_gap_reference(spark, d):
+    return gaps.b3_gap(paired(supplier_corpus(spark, d, GROUPS, LONG)), LAGS_B3).withColumns(r6("gap"))
 
 
 _H = ", ".join(f"({h})" for h in HORIZONS)
@@ -389,14 +442,35 @@ def b6_exceedances(spark, d):
     return _exceedances(spark, d).groupBy("side", F.col("regime").cast("long").alias("regime")).agg(F.count("*").alias("n"), F.round(F.sum("e"), 6).alias("total"))
 
 
-@query("b6_gpd_xi")
+def _finer(name: str, grid: str) -> str:
+    """The best theta of a grid (side, regime, mean, theta), and its neighbours."""
+    return f"""{name}_xi as (select g.side, g.regime, any_value(g.mean) as mean, g.theta, avg(ln(1 + g.theta * e.e)) as xi from {grid} g join ex e on e.side = g.side and e.regime = g.regime group by g.side, g.regime, g.theta),
+{name}_at as (
+  select *, -ln(case when abs(theta) * mean < 1e-9 then mean else xi / theta end) - case when abs(theta) * mean < 1e-9 then 0 else xi end - 1 as level,
+    lag(theta, 1, theta) over (partition by side, regime order by theta) as lo, lead(theta, 1, theta) over (partition by side, regime order by theta) as hi
+  from {name}_xi where xi > -1 or theta >= 0
+), {name} as (select side, regime, any_value(mean) as mean, arg_max(lo, level) as lo, arg_max(hi, level) as hi, arg_max(xi, level) as xi from {name}_at group by side, regime),
+{name}_grid as (select side, regime, mean, lo + (hi - lo) * i / 200 as theta from {name}, range(201) x(i))"""
+
+
+_XI = f"""{_VOL}, u as (select side, regime, quantile_cont(m, 0.95) as u from reg group by side, regime),
+ex as (select reg.side, reg.regime, m - u as e from reg join u on u.side = reg.side and u.regime = reg.regime where m > u),
+sums as (select side, regime, count(*) as n, max(e) as top, avg(e) as mean from ex group by side, regime),
+grid as (
+  select side, regime, mean, -(1 - pow(10, -6 + 6 * i / 199.0)) / top as theta from sums, range(199) x(i) union all select side, regime, mean, 0.0 from sums
+  union all select side, regime, mean, pow(10, -6 + 10 * i / 399.0) / mean from sums, range(400) x(i)
+), {_finer("g0", "grid")}, {_finer("g1", "g0_grid")}, {_finer("g2", "g1_grid")}, {_finer("g3", "g2_grid")},
+xi as (select s.side, s.regime, s.n, case when s.n >= 50 then g.xi end as xi from sums s left join g3 g on g.side = s.side and g.regime = s.regime)"""
+
+
+@query("b6_gpd_xi", f"{_XI} select side, cast(regime as bigint) as regime, n, round(xi, 5) as xi from xi")
 def b6_gpd_xi(spark, d):
-    return gaps.tail_indices(_exceedances(spark, d))
+    return gaps.tail_indices(_exceedances(spark, d)).select("side", F.col("regime").cast("long").alias("regime"), "n", F.round("xi", 5).alias("xi"))
 
 
-@query("b6_gap")
+@query("b6_gap", f"{_XI} select round(avg(abs(a.xi - b.xi)), 5) as gap from xi a join xi b on a.regime = b.regime and a.side = 'a' and b.side = 'b' where a.xi is not null and b.xi is not null")
 def b6_gap(spark, d):
-    return gaps.b6_gap(sides(supplier_corpus(spark, d)), lookback=LOOKBACK)
+    return gaps.b6_gap(sides(supplier_corpus(spark, d)), lookback=LOOKBACK).select(F.round("gap", 5).alias("gap"))
 
 
 # samplers and protocol: NumPy's generator decides, so tests hold them against NumPy
@@ -430,13 +504,57 @@ def within_regime_draws(spark, d):
     return _rows(spark, samplers.unpaired_draws(s, None, 20, 10, np.random.default_rng(42)))
 
 
+def _drawn(draws: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Per resample: real paths, different ones, tickers and regimes among them, and synthetic places."""
+    real = draws.filter("side <> 's'").join(corpus.select("path_id", "ticker", "regime"), "path_id")
+    per = real.groupBy(F.col("resample").cast("long").alias("resample")).agg(F.count("*").alias("n"), F.countDistinct("path_id").alias("paths"), F.countDistinct("ticker").alias("tickers"), F.countDistinct("regime").alias("regimes"))
+    drawn = draws.groupBy(F.col("resample").cast("long").alias("resample")).agg(F.count_if(F.expr("side = 's' and path_id between 0 and 39")).alias("synthetic"))
+    return per.join(drawn, "resample")
+
+
+@query("pooled_draws_counts", "select i as resample, 80 as n, 80 as paths, 40 as synthetic from range(10) x(i)")
+def pooled_draws_counts(spark, d):
+    return _drawn(pooled_draws(spark, d), embedding_corpus(spark, d)).drop("tickers", "regimes")
+
+
+@query("within_ticker_draws_counts", "select i as resample, 20 as n, 20 as paths, 1 as tickers, 10 as synthetic from range(10) x(i)")
+def within_ticker_draws_counts(spark, d):
+    return _drawn(within_ticker_draws(spark, d), embedding_corpus(spark, d)).drop("regimes")
+
+
+@query("within_regime_draws_counts", "select i as resample, 40 as n, 40 as paths, 1 as regimes, 0 as synthetic from range(10) x(i)")
+def within_regime_draws_counts(spark, d):
+    return _drawn(within_regime_draws(spark, d), embedding_corpus(spark, d)).drop("tickers")
+
+
+def _generators(real: DataFrame) -> dict[str, DataFrame]:
+    """Two of them: the real paths turned round in time, and twice as large."""
+    return {"turned": real.withColumn("values", F.reverse("values")), "doubled": real.withColumn("values", F.transform("values", lambda x: 2 * x))}
+
+
+def _bucket(k: int) -> protocol.Bucket:
+    return protocol.buckets((1, 16), (1, 16), (1, 4, 8), (4, 8, 16), 8)[k]
+
+
+@query("rr_gaps")
+def rr_gaps(spark, d):
+    """Real against real in tail quantiles."""
+    got = protocol.rr_gaps(_bucket(0), embedding_corpus(spark, d), 100, 20, np.random.default_rng(42))
+    return spark.createDataFrame([(i, float(g)) for i, g in enumerate(got)], "resample long, gap double")
+
+
+@query("sr_gaps")
+def sr_gaps(spark, d):
+    """Real against real turned round in time, in leverage."""
+    real = embedding_corpus(spark, d)
+    got = protocol.sr_gaps(_bucket(2), real, _generators(real)["turned"], 100, 20, np.random.default_rng(42))
+    return spark.createDataFrame([(i, float(g)) for i, g in enumerate(got)], "resample long, gap double")
+
+
 def _scores(spark, d):
-    """The benchmark on embeddings: two generators, one of them the real paths turned round in time."""
+    """The benchmark on embeddings, with the published numbers of paths, resamples and bootstraps."""
     real = embedding_corpus(spark, d)
-    turned = real.withColumn("values", F.reverse("values"))
-    doubled = real.withColumn("values", F.transform("values", lambda x: 2 * x))
-    which = protocol.buckets((1, 16), (1, 16), (1, 4, 8), (4, 8, 16), 8)
-    return protocol.run_benchmark(real, {"turned": turned, "doubled": doubled}, which, n=60, resamples=12, bootstrap=200)
+    return protocol.run_benchmark(real, _generators(real), [_bucket(k) for k in range(6)])
 
 
 @query("paired_scores")
@@ -447,3 +565,12 @@ def paired_scores(spark, d):
 @query("composite_rank")
 def composite_rank(spark, d):
     return protocol.composite(_scores(spark, d))
+
+
+@query("composite_of_scores", """with scores as (select 'g' || (vec_id % 4) as generator, label as bucket, avg(greatest(cast(embedding[1] as double), 0)) as sim from embeddings group by 1, 2),
+held as (select generator, sim, greatest(sim, 1e-6) as h from scores), per as (select generator, exp(avg(ln(h))) as geometric, avg(h) as arithmetic, avg(sim) as composite from held group by generator)
+select generator, round(geometric, 6) as geometric, round(arithmetic, 6) as arithmetic, round(composite, 6) as composite, row_number() over (order by composite desc, generator) as place from per""")
+def composite_of_scores(spark, d):
+    """Composites and ranks of a table of scores: four generators, a bucket per label."""
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("g"), (F.col("vec_id") % 4).cast("string")).alias("generator"), F.col("label").alias("bucket"), F.greatest(F.col("embedding")[0].cast("double"), F.lit(0.0)).alias("x"))
+    return protocol.composite(e.groupBy("generator", "bucket").agg(F.avg("x").alias("sim"))).withColumns(r6("geometric", "arithmetic", "composite"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,28 @@ def output_dir(default: str = "output") -> str:
     return os.environ.get(OUTPUT, default).rstrip("/")
 
 
+def real_corpus(out: str | None = None) -> str:
+    return f"{out or output_dir()}/eval"
+
+
+def labels(out: str | None = None) -> str:
+    """Ticker and regime of each path of the real corpus, as regenerated."""
+    return f"{out or output_dir()}/eval_labels"
+
+
+def manifest(out: str | None = None) -> str:
+    return f"{out or output_dir()}/manifest.json"
+
+
+def generator_corpora(names: list[str], out: str | None = None) -> dict[str, str]:
+    return {n: f"{out or output_dir()}/{n}" for n in names}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,25 +48,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_bar_csvs(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("download_log.csv",)) -> DataFrame:
     """ticker (a file's stem), ts, close from a folder of minute CSVs; columns are found by name, others ignored.
 
-    Files without a timestamp column give no rows; one that has no close is an error when read. Names that look
-    like nulls stay names.
+    Each file's header is its own. The headers are read in one pass, a row per different one; files are then read in one scan for each
+    of those, whatever their number. Files without a timestamp column give no rows, with a warning; one that has no close is an error. Names
+    that look like nulls stay names.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).option("ignoreMissingFiles", True)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-    out = None
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in files.toLocalIterator():  # headers differ from file to file; the listing is small
-        if row.path.rsplit("/", 1)[-1] in skip:
-            continue
-        head = spark.read.option("header", True).csv(row.path).columns
-        groups.setdefault(tuple(head), []).append(row.path)
-    for head, paths in sorted(groups.items()):
+    name = F.col("_metadata.file_name")
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).filter(~name.isin(*skip))
+    first = lines.filter(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    heads = first.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(F.min("file").alias("example")).collect()  # a row per layout
+    out, layouts = None, {}
+    for row in heads:
+        layouts.setdefault(tuple(c.strip().strip('"') for c in row["head"].lstrip("\ufeff").split(",")), []).append(row)
+    for head, rows in sorted(layouts.items()):
         if "timestamp" not in head:
+            warnings.warn(f"no timestamp column in files like {rows[0].example}: left out", stacklevel=2)
             continue
         if "close" not in head:
-            raise KeyError(f"no close column in {paths[:3]}")
-        ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-        part = raw.csv(paths).select(F.url_decode(F.regexp_replace(ticker, r"\+", "%2B")).alias("ticker"), F.to_timestamp("timestamp").alias("ts"), F.expr("try_cast(close as double)").alias("close"))
+            raise KeyError(f"no close column in files like {rows[0].example}")
+        kind = ", ".join(f"c{i} string" for i in range(len(head)))
+        mine = lines.select(F.col("_metadata.file_path").alias("file"), name.alias("name"), "value")
+        ours = [r["head"] for r in rows]
+        if len(layouts) > 1:  # a line is looked into only once its file's header is known
+            of_file = first.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+            mine = mine.join(of_file, "file").withColumn("value", F.when(F.col("head").isin(*ours), F.col("value")))
+        mine = mine.filter(~F.col("value").isin(*ours) & (F.trim("value") != ""))
+        c = F.from_csv("value", kind)
+        part = mine.select(F.regexp_extract("name", r"^(.*)\.csv$", 1).alias("name"), c.alias("c"))
+        at = lambda x, head=head: F.col(f"c.c{head.index(x)}")
+        part = part.select(F.url_decode(F.regexp_replace("name", r"\+", "%2B")).alias("ticker"), F.to_timestamp(at("timestamp")).alias("ts"), at("close").try_cast("double").alias("close"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "ticker string, ts timestamp, close double")
 
@@ -52,6 +84,12 @@ def read_wide_parquet(spark: SparkSession, path: str, ticker: str = "tr_ric") ->
     return spark.read.parquet(path).select(F.col(ticker).alias("ticker"), F.col("timestamp").cast("timestamp").alias("ts"), F.col("close").cast("double").alias("close"))
 
 
+def first_seen(spark: SparkSession, path: str, ticker: str = "tr_ric") -> DataFrame:
+    """(ticker, place): where each ticker first stands in the Parquet files, as file and row number; sorts as the rows stand."""
+    rows = spark.read.parquet(path).select(F.col(ticker).alias("ticker"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
+    return rows.groupBy("ticker").agg(F.min("place").alias("place"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Path form, values in double precision."""
     raw = spark.read.parquet(path)
@@ -59,18 +97,23 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_npy_corpus(spark: SparkSession, path: str, tickers: str | None = None, regimes: str | None = None) -> DataFrame:
-    """Path form from .npy arrays (N, T) or (N, T, 1), and label arrays of the same length."""
+    """Path form from .npy arrays (N, T) or (N, T, 1), and label arrays of the same length; arrays go to Spark as Arrow, not as Python values."""
     import numpy as np
+    import pyarrow as pa
 
-    x = np.load(path)
+    x = np.load(path, mmap_mode="r")
     if x.ndim == 3 and x.shape[2] == 1:
         x = x[:, :, 0]
     if x.ndim != 2:
         raise ValueError(f"{path}: (N, T) or (N, T, 1) wanted, got {x.shape}")
-    labels = [np.load(p) if p else [None] * len(x) for p in (tickers, regimes)]
-    if any(len(v) != len(x) for v in labels):
+    n, t = x.shape
+    name, regime = (np.load(p) if p else None for p in (tickers, regimes))
+    if any(v is not None and len(v) != n for v in (name, regime)):
         raise ValueError("labels and paths differ in number")
-    rows = [(i, None if t is None else str(t), None if g is None else int(g), [float(v) for v in p]) for i, (p, t, g) in enumerate(zip(x, *labels, strict=True))]
+    values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * t), pa.array(np.asarray(x, np.float64).ravel()))
+    label = pa.nulls(n, pa.string()) if name is None else pa.array([str(v) for v in name.tolist()], pa.string())
+    group = pa.nulls(n, pa.int8()) if regime is None else pa.array(regime.astype(np.int8))
+    rows = pa.table([pa.array(np.arange(n)), label, group, values], ["path_id", "ticker", "regime", "values"])
     return spark.createDataFrame(rows, CORPUS)
 
 
@@ -83,8 +126,7 @@ def read_curve(spark: SparkSession, path: str, day: int = 390) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     """The manifest, or None if there is none at ``path``."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return None
     return spark.read.schema(MANIFEST).json(path, multiLine=True).first().asDict()
 

@@ -214,6 +214,42 @@ def test_benchmark_agrees_with_numpy(spark):
         assert (got.sim, got.ci_lo, got.ci_hi) == pytest.approx(want, abs=1e-8), bucket.name
 
 
+def test_gaps_of_resamples(spark):
+    real, syn = paths(1), paths(2, 25)
+    for bucket in protocol.buckets((1, 10), (1, 10), (1, 5, 7), (5, 20), 20)[:3]:
+        rng = np.random.default_rng(5)
+        want = []
+        for _ in range(4):
+            both = rng.choice(N, size=30, replace=False)
+            want.append(bucket.compute_gap(real[both[:15]], real[both[15:]]))
+        assert protocol.rr_gaps(bucket, frame(spark, real), 15, 4, np.random.default_rng(5)) == pytest.approx(want, abs=1e-9)
+        for n in (15, 25):
+            rng, want = np.random.default_rng(6), []
+            for _ in range(4):
+                a = rng.choice(N, size=n, replace=False)
+                want.append(bucket.compute_gap(real[a], syn[rng.choice(25, size=n, replace=25 <= n)]))
+            assert protocol.sr_gaps(bucket, frame(spark, real), frame(spark, syn), n, 4, np.random.default_rng(6)) == pytest.approx(want, abs=1e-9)
+        rr, sr = protocol.rr_sr_gaps_paired(bucket, frame(spark, real), frame(spark, syn), 15, 4, np.random.default_rng(7))
+        rng = np.random.default_rng(7)
+        both = rng.choice(N, size=30, replace=False)
+        s = rng.choice(25, size=15, replace=False)
+        assert (rr[0], sr[0]) == pytest.approx((bucket.compute_gap(real[both[:15]], real[both[15:]]), bucket.compute_gap(real[both[:15]], syn[s])), abs=1e-9)
+
+
+def test_unpaired_interval_resamples_each_arm():
+    r = np.random.default_rng(1)
+    rr, sr = r.random(30), 1 + r.random(30)
+    rng, boot = np.random.default_rng(8), []
+    for _ in range(40):
+        a = rr[rng.integers(0, 30, 30)].mean()
+        b = sr[rng.integers(0, 30, 30)].mean()
+        boot.append(a / (a + b))
+    want = (rr.mean() / (rr.mean() + sr.mean()), *np.percentile(boot, [2.5, 97.5]))
+    assert protocol.similarity_with_ci_unpaired(rr, sr, 40, np.random.default_rng(8)) == pytest.approx(want)
+    wide, close = (protocol.similarity_with_ci(rr, 2 * rr, 500, np.random.default_rng(9), paired=p) for p in (False, True))
+    assert wide[2] - wide[1] > close[2] - close[1]
+
+
 def test_scores_and_ranks(spark):
     assert protocol.similarity(np.array([1.0]), np.array([3.0])) == 0.25
     assert protocol.similarity(np.array([np.nan]), np.array([1.0])) == 0.0 == protocol.similarity(np.zeros(2), np.zeros(2))

@@ -192,3 +192,42 @@ def test_output_folder_setting(monkeypatch):
     assert tables.output_dir() == "/x/y"
     monkeypatch.delenv(tables.OUTPUT)
     assert tables.output_dir() == "output" and os.environ.get(tables.OUTPUT) is None
+
+
+def test_synthetic_paths_stand_as_their_tickers_first_do(spark, tmp_path):
+    import pandas as pd
+
+    out, day = f"file://{tmp_path}/out", dt.datetime(2020, 1, 2, 14, 30)
+    r = np.random.default_rng(6)
+    rows, prices = [], {}
+    for t in ("zz", "mm", "aa", "kk"):  # not sorted
+        for m in range(60):
+            prices[t] = prices.get(t, 100.0) * np.exp(0.01 * r.normal())
+            rows.append((t, day + dt.timedelta(minutes=m), prices[t]))
+    pd.DataFrame(rows, columns=["tr_ric", "timestamp", "close"]).to_parquet(tmp_path / "made.parquet", coerce_timestamps="us")
+    spark.range(390).select(F.col("id").cast("int").alias("tau"), F.lit(1.0).alias("s")).write.parquet(f"{out}/curve")
+    sinks.write_manifest(spark, f"{out}/manifest.json", 20, 0.0, 0.01, n=5)
+    got = {x.path_id: (x.ticker, x["values"]) for x in build.transform_synthetic(spark, str(tmp_path / "made.parquet"), out, "made", 20).collect()}
+    order_ = [t for t in ("zz", "mm", "aa", "kk") for _ in range(2)]  # 59 returns, two windows each
+    drawn = np.random.default_rng(42).choice(8, size=5, replace=False)
+    assert [got[i][0] for i in range(5)] == [order_[p] for p in drawn]
+
+
+def test_folders_of_the_output(monkeypatch):
+    monkeypatch.setenv(tables.OUTPUT, "/data/x/")
+    assert (tables.real_corpus(), tables.labels(), tables.manifest()) == ("/data/x/eval", "/data/x/eval_labels", "/data/x/manifest.json")
+    assert tables.generator_corpora(["a", "b"], "/o") == {"a": "/o/a", "b": "/o/b"}
+
+
+def test_bar_files_have_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "A B.csv").write_text("timestamp,close\n2020-01-02 14:30:00+00:00,1.5\n2020-01-02 14:31:00+00:00,\n")
+    (tmp_path / "NA.csv").write_text("close,other,timestamp\n2.5,x,2020-01-02T14:30:00Z\n\n3.5,\"a,b\",2020-01-02T14:31:00Z\n")
+    (tmp_path / "nan.csv").write_text("open,close\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "download_log.csv").write_text("timestamp,what\nx,y\n")
+    with pytest.warns(UserWarning, match="nan.csv"):
+        got = tables.read_bar_csvs(spark, str(tmp_path)).collect()
+    assert sorted((r.ticker, r.ts.minute, r.close) for r in got if r.close is not None) == [("A B", 30, 1.5), ("NA", 30, 2.5), ("NA", 31, 3.5)] and len(got) == 4
+    (tmp_path / "bad.csv").write_text("timestamp,open\n2020-01-02T14:30:00Z,1\n")
+    with pytest.raises(KeyError, match="bad.csv"):
+        tables.read_bar_csvs(spark, str(tmp_path))
