@@ -18,8 +18,10 @@ FRONTIER = 1 << 16
 #: Tries of a similarity join: each fingerprint of 64 bits is the key of two, its halves exchanged. A pair is a candidate if in any trie
 #: its keys differ in at most ERRORS of the leading PREFIX bits and TOTAL of all, and its check fingerprints in at most CHECK bits.
 TRIES, PREFIX, ERRORS, TOTAL, CHECK = 32, 32, 2, 14, 20
-#: Tries that are joined alone first, one a turn, each giving stars in place of pairs.
+#: Tries that are joined alone first, one a turn, each giving stars: what hangs together is held against its node with the most partners.
 STARS = 2
+#: Members of a component, and documents near it, that one task compares; more are cut into blocks, of which each pair is a task's.
+FAMILY = 256
 #: Copies up to which their ids and text hashes (16 bytes) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
 #: A place is a turn and a root: the turn in the bits above these.
@@ -421,9 +423,11 @@ def _trie_keys(prints: np.ndarray, tries, blocks):
 
 
 def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
-    """(a, b) of ``nodes`` (key, prints, label) with different labels that any of ``tries`` brings together.
+    """What any of ``tries`` brings together of ``nodes`` (key, prints, label, size of the label) with different labels.
 
-    All such pairs; or, with ``stars``, of what hangs together in a root, one node of each label with the first.
+    With ``stars`` (a, b), pairs of nodes: of what hangs together in a root, the node with the most partners, of the label with the
+    most nodes, and the like node of each other label. Else (home, id): each node near a larger component (of two of one
+    size, that with the larger label), once, however many of its members are near: pairs are never written out.
     """
     blocks, tries = _blocks(PREFIX, ERRORS), list(tries)
 
@@ -441,40 +445,51 @@ def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                prints, key, label = prints_of(part), part.column("key"), part.column("label")
+                prints, kept = prints_of(part), [part.column(c) for c in ("key", "label", "size")]
                 check = pa.array(np.ascontiguousarray(prints[:, -1]))
                 for _, k, place in _trie_keys(prints, tries, blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k.view(np.int64)), check, key, label], ["place", "key", "check", "id", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k.view(np.int64)), check, *kept], ["place", "key", "check", "id", "label", "size"])
 
     def join(batches):
         for turn, x in _segments(batches):
             width, keys, block = blocks[turn % len(blocks)][1], x["key"], _across(x)
-            check, label, names = x["check"].view(np.uint64), x["label"], x["id"]
-            trees, node = Trees(len(keys), label), _nodes(keys, width)
+            check, label, names, size = x["check"].view(np.uint64), x["label"], x["id"], x["size"]
+            trees, node, degree = Trees(len(keys), label), _nodes(keys, width), np.zeros(len(keys), np.int64)
             for pairs in traverse(keys, node, node.copy(), [(PREFIX, ERRORS), (BITS, TOTAL)], BITS - width, trees.together):
                 i, j = pairs.T
                 ok = (np.bitwise_count(check[i] ^ check[j]) <= CHECK) & (label[i] != label[j])
-                pairs = pairs[ok if block is None else ok & (block[i] != block[j])]
+                i, j = pairs[ok if block is None else ok & (block[i] != block[j])].T
                 if stars:
-                    trees.join(pairs)
-                elif len(pairs):
-                    yield _pairs(names, pairs)
-            if stars:
-                away = np.flatnonzero(label[trees.root] != label)
-                _, first = np.unique(np.stack([trees.root[away], label[away]]), axis=1, return_index=True)
-                away = away[np.sort(first)]
-                if len(away):
-                    yield _pairs(names, np.stack([away, trees.root[away]], axis=1))
+                    degree += np.bincount(np.r_[i, j], minlength=len(keys))
+                    trees.join(np.stack([i, j], axis=1))
+                elif len(i):
+                    home = (size[i] > size[j]) | ((size[i] == size[j]) & (label[i] > label[j]))
+                    near = np.unique(np.stack([np.where(home, label[i], label[j]), np.where(home, names[j], names[i])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(near[0]), pa.array(near[1])], ["a", "b"])
+            if stars and degree.any():
+                yield _pairs(names, _stars(trees.root, label, degree))
 
     nodes = nodes.filter(F.size("prints") > 0)
     if nodes.count() > ROOT_ROWS:
         counts = nodes.select("prints").mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     else:  # no root can be full
         counts = nodes.sparkSession.createDataFrame([], "place long, n long")
-    dealt = _dealt(nodes.select("key", "prints", "label").mapInArrow(lean(rows), "place long, key long, check long, id long, label long"), counts, "id")
+    dealt = _dealt(nodes.select("key", "prints", "label", "size").mapInArrow(lean(rows), "place long, key long, check long, id long, label long, size long"), counts, "id")
     return dealt.mapInArrow(lean(join), "a long, b long").distinct()
 
 
+def _stars(root: np.ndarray, label: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """Pairs (node, centre) of each tree: for each label but the centre's, its node with the most partners."""
+    on = np.flatnonzero(degree)
+    _, kind, many = np.unique(np.stack([root[on], label[on]]), axis=1, return_inverse=True, return_counts=True)
+    order = np.lexsort((on, -degree[on], kind.ravel(), -many[kind.ravel()], root[on]))
+    on, kind = on[order], kind.ravel()[order]
+    first = np.r_[True, root[on][1:] != root[on][:-1]]
+    centre = on[np.maximum.accumulate(np.where(first, np.arange(len(on)), 0))]
+    lead = np.r_[True, kind[1:] != kind[:-1]] & (label[on] != label[centre])
+    return np.stack([on[lead], centre[lead]], axis=1)
+
+
 def _pairs(names: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     a, b = names[pairs[:, 0]], names[pairs[:, 1]]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -514,32 +529,120 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "da", "db").mapInArrow(lean(run), "a long, b long")
 
 
+def _near_members(near: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, width: int) -> DataFrame:
+    """(a, b): of each (home, id) of ``near`` the member b of the component home that is most like a = id, if that is similar enough.
+
+    Sets of shingles meet by component: its members in blocks of FAMILY, and the nodes near it in blocks too, each pair of
+    blocks in a task, where every node is held against every member at once.
+    """
+    near, path = materialise(near.withColumnsRenamed({"a": "home", "b": "id"}), "near")
+    homes = near.groupBy("home").agg(F.count("*").alias("k"))
+    homes = homes.join(nodes.groupBy(F.col("label").alias("home")).agg(F.count("*").alias("m")), "home")
+    blocks = lambda c: F.ceil(F.col(c) / FAMILY).cast("long")
+    homes, sized = materialise(homes.select("home", blocks("k").alias("kb"), blocks("m").alias("mb")), "homes")
+    own = F.pmod(F.xxhash64(F.lit(2), "id"), F.col("n"))
+    rows = near.join(homes, "home").withColumnsRenamed({"kb": "n", "mb": "other"}).withColumn("member", F.lit(False))
+    rows = rows.unionByName(nodes.select(F.col("label").alias("home"), F.col("key").alias("id")).join(homes, "home").withColumnsRenamed({"mb": "n", "kb": "other"}).withColumn("member", F.lit(True)))
+    rows = rows.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1)))
+    rows = rows.select("home", "id", "member", F.when(F.col("member"), F.col("own")).otherwise(F.col("x")).alias("i"), F.when(F.col("member"), F.col("x")).otherwise(F.col("own")).alias("j"))
+    rows, cast = materialise(rows, "cast")
+    ids = rows.select(F.col("id").alias("key")).distinct()
+    sets, kept = materialise(_sets(docs, nodes.join(ids, "key", "left_semi").select("least", "key"), width), "sets")
+
+    def run(batches):
+        for _, x in _families(batches):
+            member = x["member"]
+            values, owner, size, of = x["values"], x["owner"], x["sizes"], np.flatnonzero(member)
+            if not len(of) or member.all():
+                continue
+            mine = member[owner]
+            pool, who = values[mine], owner[mine]
+            order = np.argsort(pool, kind="stable")
+            pool, who = pool[order], who[order]
+            start = np.r_[0, np.cumsum(size)]
+            a, b = [], []
+            for k in np.flatnonzero(~member):
+                v = values[start[k] : start[k + 1]]
+                lo, hi = np.searchsorted(pool, v), np.searchsorted(pool, v, side="right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+                shared = np.bincount(who[at], minlength=len(member))[of]
+                alike = 100 * shared - least * (size[k] + size[of] - shared)
+                best = int(np.argmax(alike))
+                if alike[best] >= 0:
+                    a.append(int(x["id"][k]))
+                    b.append(int(x["id"][of[best]]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    small_batches(docs.sparkSession, 2 * FAMILY)
+    dealt = rows.join(sets.withColumnRenamed("key", "id"), "id").select("home", "i", "j", "id", "member", "data").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    found, _ = materialise(dealt.mapInArrow(lean(run), "a long, b long"), "similar")
+    small_batches(docs.sparkSession)
+    delete(docs.sparkSession, path, sized, cast, kept)
+    return found
+
+
+def _families(batches):
+    """Rows of one (home, i, j) after the other: id, member, and all sets one after the other, with their sizes and whose each value is."""
+
+    def done(at, parts):
+        x = {c: np.concatenate([p[c] for p in parts]) for c in ("id", "member", "sizes")}
+        values = np.frombuffer(b"".join([d for p in parts for d in p["data"]]), np.uint64)
+        return at, x | {"values": values, "owner": np.repeat(np.arange(len(x["id"])), x["sizes"])}
+
+    at, held = None, []
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("home", "i", "j")], axis=1)
+        if not len(key):
+            continue
+        cut = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
+        ids, member, data = batch.column("id").to_numpy(), batch.column("member").to_numpy(zero_copy_only=False), batch.column("data").to_pylist()
+        size = np.array([len(d) // 8 for d in data], np.int64)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if at != (here := tuple(key[lo].tolist())):
+                if held:
+                    yield done(at, held)
+                at, held = here, []
+            held.append({"id": ids[lo:hi], "member": member[lo:hi], "sizes": size[lo:hi], "data": data[lo:hi]})
+    if held:
+        yield done(at, held)
+
+
 def drop_similar(docs: DataFrame, least: int = 80, width: int = 5) -> DataFrame:
     """One document of each component stays, as in ``drop_near_copies``; links are Jaccard similarities of at least ``least`` hundredths.
 
     Similarities are those of the sets of lower-cased shingles of ``width`` words and are verified exactly. Candidates come from the
     trie self-join of TRIES independent fingerprints of the sets: at a similarity of exactly 0.8 a bit differs with a
     chance of 0.15, and a pair is no candidate with one of about 0.02; the README has measured figures. Texts of one
-    set are one node. STARS tries are joined first, in which what hangs together is tried against one node; what is linked then
-    is not compared again, and all candidates that are still in different components are. Texts without words are one set. An
-    empty table gives no rows.
+    set are one node. STARS tries are joined first, in which what hangs together is held against one node. Then all tries are, and every
+    node that is near a component it is not in is held against all of that component's members. Texts without words are one
+    set. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     marked, _ = materialise(_with_prints(_marked(docs), width), "prints")
     who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")).alias("least")
     nodes, _ = materialise(marked.groupBy("key").agg(who, F.first("prints").alias("prints")), "nodes")
-    labelled, tried, edges, comp = nodes.withColumn("label", F.col("key")), None, None, None
+    labelled, edges = nodes.withColumns({"label": F.col("key"), "size": F.lit(1).cast("long")}), None
     for turn in range(STARS + 1):
-        small_batches(docs.sparkSession, 20_000)  # numbers only
-        pairs = _candidates(labelled, [turn] if turn < STARS else range(TRIES), turn < STARS)
-        pairs, _ = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-        small_batches(docs.sparkSession)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        sets, path = materialise(_sets(docs, nodes.join(ends, "key", "left_semi").select("least", "key"), width), "sets")
-        found, _ = materialise(_alike(pairs, sets, least), "alike")
-        delete(docs.sparkSession, path)
-        tried, edges = (tried.unionByName(pairs), edges.unionByName(found)) if tried else (pairs, found)
+        small_batches(spark, 20_000)  # numbers only
+        found = _candidates(labelled, [turn] if turn < STARS else range(TRIES), turn < STARS)
+        found, path = materialise(found, "candidates")
+        small_batches(spark)
+        if turn < STARS:
+            ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+            sets, kept = materialise(_sets(docs, nodes.join(ends, "key", "left_semi").select("least", "key"), width), "sets")
+            links, _ = materialise(_alike(found, sets, least), "alike")
+            delete(spark, kept)
+        else:
+            links = _near_members(found, labelled, docs, least, width)
+        delete(spark, path)
+        edges = edges.unionByName(links) if edges else links
         comp = components(edges)
-        labelled = nodes.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
+        if turn < STARS:
+            sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+            comp = comp.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("label"), "size")
+            labelled, _ = materialise(nodes.join(comp, "key", "left").select("key", "least", "prints", F.coalesce("label", "key").alias("label"), F.coalesce("size", F.lit(1).cast("long")).alias("size")), "labelled")
     return _keep_least(docs, marked.select("doc_id", "__tid", "key"), comp)
 
 
