@@ -463,14 +463,14 @@ grid as (
 xi as (select s.side, s.regime, s.n, case when s.n >= 50 then g.xi end as xi from sums s left join g3 g on g.side = s.side and g.regime = s.regime)"""
 
 
-@query("b6_gpd_xi", f"{_XI} select side, cast(regime as bigint) as regime, n, round(xi, 5) as xi from xi")
+@query("b6_gpd_xi", f"{_XI} select side, cast(regime as bigint) as regime, n, round(xi, 4) as xi from xi")
 def b6_gpd_xi(spark, d):
-    return gaps.tail_indices(_exceedances(spark, d)).select("side", F.col("regime").cast("long").alias("regime"), "n", F.round("xi", 5).alias("xi"))
+    return gaps.tail_indices(_exceedances(spark, d)).select("side", F.col("regime").cast("long").alias("regime"), "n", F.round("xi", 4).alias("xi"))
 
 
-@query("b6_gap", f"{_XI} select round(avg(abs(a.xi - b.xi)), 5) as gap from xi a join xi b on a.regime = b.regime and a.side = 'a' and b.side = 'b' where a.xi is not null and b.xi is not null")
+@query("b6_gap", f"{_XI} select round(avg(abs(a.xi - b.xi)), 4) as gap from xi a join xi b on a.regime = b.regime and a.side = 'a' and b.side = 'b' where a.xi is not null and b.xi is not null")
 def b6_gap(spark, d):
-    return gaps.b6_gap(sides(supplier_corpus(spark, d)), lookback=LOOKBACK).select(F.round("gap", 5).alias("gap"))
+    return gaps.b6_gap(sides(supplier_corpus(spark, d)), lookback=LOOKBACK).select(F.round("gap", 4).alias("gap"))
 
 
 # samplers and protocol: NumPy's generator decides, so tests hold them against NumPy
