@@ -106,12 +106,16 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFr
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def settled(spark: SparkSession, make, name: str) -> DataFrame:
-    """What ``make()`` gives, written to the shared folder; the folders that were made on the way go."""
+def settle(spark: SparkSession, make, name: str) -> tuple[DataFrame, str]:
+    """What ``make()`` gives, written to the shared folder, and where; the folders that were made on the way go."""
     before = set(_MADE)
     out, path = materialise(make(), name)
     delete(spark, *[p for p in _MADE if p not in before and p != path])
-    return out
+    return out, path
+
+
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    return settle(spark, make, name)[0]
 
 
 def reclaim(spark: SparkSession) -> None:
