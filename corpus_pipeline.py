@@ -19,31 +19,43 @@ def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive rules keep, as they are."""
+    """Documents that the adaptive rules keep, as they are.
+
+    Null and empty texts go, as they have no words; null languages and sources are groups of their own; other columns may have any name.
+    """
     common.small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-copies, as it is."""
+    """The document with the smallest doc_id of each group of near-copies, as it is.
+
+    A null doc_id comes last, rows are told apart by doc_id and text, and texts without words are one group.
+    """
     common.small_batches(spark)
     return simhash.drop_similar(docs, ALIKE, SHINGLE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that a smaller doc_id has too are cut; a text of which nothing is left goes."""
+    """Passages of 50 bytes or more that a smaller doc_id has too are cut; a text of which nothing is left goes.
+
+    Cuts keep whole characters; null texts stay, and a null doc_id counts as larger than all others.
+    """
     common.small_batches(spark)
     return _counted(suffixes.cut_repeats(docs), docs).filter("text is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by the sources' target weights."""
+    """Documents as often as the mix takes them, by the sources' target weights.
+
+    Null sources are one source, the last; a text without words counts for nothing and goes.
+    """
     common.small_batches(spark)
     return _counted(mixing.mix(docs), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its sampled pieces; their decoding is checked row by row."""
+    """Every row with its sampled pieces; their decoding is checked row by row. Null and empty texts have none."""
     common.small_batches(spark, 300)  # whole rows travel here, so fewer at once
     return pieces.encode(docs).select(*docs.columns, "n_pieces", "pieces", "lossless")
 
@@ -65,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     used: list[str] = []
     for name, stage in STAGES:
-        docs, path = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = common.settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
         common.delete(spark, *used)
         used = [path]
     return docs
