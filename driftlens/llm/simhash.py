@@ -19,9 +19,11 @@ FRONTIER = 1 << 16
 #: its keys differ in at most ERRORS of the leading PREFIX bits and TOTAL of all, and its check fingerprints in at most CHECK bits.
 TRIES, PREFIX, ERRORS, TOTAL, CHECK = 32, 32, 2, 14, 20
 #: Tries that are joined alone first, one a turn, each giving stars: what hangs together is held against its node with the most partners.
-STARS = 2
+STARS = 4
 #: Members of a component, and documents near it, that one task compares; more are cut into blocks, of which each pair is a task's.
 FAMILY = 256
+#: Nodes near components that a task holds before it sends them, 16 bytes each.
+HELD = 1_000_000
 #: Copies up to which their ids and text hashes (16 bytes) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
 #: A place is a turn and a root: the turn in the bits above these.
@@ -451,6 +453,12 @@ def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k.view(np.int64)), check, *kept], ["place", "key", "check", "id", "label", "size"])
 
     def join(batches):
+        held, size_held = [], 0  # what this task has found; each goes out once, unless HELD is passed
+
+        def sent():
+            near = np.unique(np.concatenate(held, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(near[0]), pa.array(near[1])], ["a", "b"])
+
         for turn, x in _segments(batches):
             width, keys, block = blocks[turn % len(blocks)][1], x["key"], _across(x)
             check, label, names, size = x["check"].view(np.uint64), x["label"], x["id"], x["size"]
@@ -465,9 +473,15 @@ def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
                 elif len(i):
                     home = (size[i] > size[j]) | ((size[i] == size[j]) & (label[i] > label[j]))
                     near = np.unique(np.stack([np.where(home, label[i], label[j]), np.where(home, names[j], names[i])]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(near[0]), pa.array(near[1])], ["a", "b"])
+                    held.append(near)
+                    size_held += near.shape[1]
+                    if size_held > HELD:
+                        yield sent()
+                        held, size_held = [], 0
             if stars and degree.any():
                 yield _pairs(names, _stars(trees.root, label, degree))
+        if held:
+            yield sent()
 
     nodes = nodes.filter(F.size("prints") > 0)
     if nodes.count() > ROOT_ROWS:

@@ -41,7 +41,7 @@ def test_run_repeats(spark):
 def test_near_copies_are_those_of_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(simhash, "ROOT_ROWS", rows)
     monkeypatch.setattr(simhash, "FAMILY", 256 if rows > 20 else 2)
-    monkeypatch.setattr(simhash, "STARS", 2 if rows > 20 else 1)
+    monkeypatch.setattr(simhash, "STARS", 4 if rows > 20 else 1)
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 2_000_000 if rows > 20 else -1)
     r = random.Random(6)
     docs, i = corpus(), 1000
