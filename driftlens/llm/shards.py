@@ -1,8 +1,10 @@
 """Sharding by size-tiered compaction (native: DataFrame reads and writes; the driver moves only small metadata).
 
 A store is a folder of immutable runs and a series of manifests. Arrivals become small runs at once; runs of similar
-size merge into one run of target-sized files; every change is a new manifest version, put in place by a rename that
-fails if the version exists, so writers that race start again from the newer one and readers never see half a change.
+size merge into one run of target-sized files; every change is a new manifest version, put in place as a whole by a step
+that fails if the version exists, so writers that race start again from the newer one and readers never see half a change.
+That step is a rename where the file system itself refuses to replace (HDFS); on local files, where Hadoop looks first and
+renames then, and moves the checksum later, it is a hard link.
 A merge deletes nothing: every version stays readable until ``vacuum`` retires it.
 """
 
@@ -73,17 +75,23 @@ class ShardStore:
         out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
         out.close()
         final = jvm.org.apache.hadoop.fs.Path(self._at(new["version"]))
-        option = jvm.org.apache.hadoop.fs.Options.Rename
-        how = self.spark.sparkContext._gateway.new_array(option, 1)
-        how[0] = option.NONE  # an existing version is never replaced
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        place = fs.resolvePath(draft)  # below mount tables
         try:
-            context.rename(draft, final, how)
+            if place.toUri().getScheme() == "file":
+                names = [jvm.java.io.File(p).toPath() for p in (f"{place.getParent().toUri().getPath()}/{final.getName()}", place.toUri().getPath())]
+                jvm.java.nio.file.Files.createLink(*names)
+            else:
+                option = jvm.org.apache.hadoop.fs.Options.Rename
+                how = self.spark.sparkContext._gateway.new_array(option, 1)
+                how[0] = option.NONE  # an existing version is never replaced
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(draft, final, how)
         except Exception as e:
-            fs.delete(draft, False)
             if fs.exists(final):
                 raise Conflict(f"version {new['version']} exists") from e
             raise
+        finally:
+            fs.delete(draft, False)
         return new
 
     def _retried(self, change) -> dict:

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import threading
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -314,6 +316,28 @@ def test_a_version_is_committed_once(spark):
     assert store.manifest()["version"] == base["version"] + 1 and store.read().count() == 3
 
 
+def test_writers_at_once_commit_each_version_once(spark, monkeypatch):
+    store = shards.ShardStore(spark, common.new_path(spark, "store"))
+    base, ready = store.commit(store.manifest(), [], "{}"), threading.Barrier(6)
+    at = store._at
+
+    def commit(i):
+        try:
+            return [store.commit(base, [{"path": f"runs/{i}"}])]
+        except shards.Conflict:
+            return []
+
+    with ThreadPoolExecutor(6) as pool:
+        for _ in range(60):
+            with monkeypatch.context() as m:
+                m.setattr(store, "_at", lambda version: (ready.wait(), at(version))[1])  # drafts are written, now all want the version
+                won = [x for own in pool.map(commit, range(6)) for x in own]
+            base = store.manifest()
+            assert won == [base]
+    fs, where = common.file_system(spark, f"{store.root}/manifests")
+    assert len(fs.listStatus(where)) == len(store.versions()) == 61  # no draft is left
+
+
 def test_empty_store_reads_empty(spark):
     store = shards.ShardStore(spark, common.new_path(spark, "store"))
     store.append(spark.range(0))
