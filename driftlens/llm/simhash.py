@@ -22,8 +22,10 @@ TRIES, PREFIX, ERRORS, TOTAL, CHECK = 32, 32, 2, 14, 20
 STARS = 4
 #: Members of a component, and documents near it, that one task compares; more are cut into blocks, of which each pair is a task's.
 FAMILY = 256
-#: Nodes near components that a task holds before it sends them, 16 bytes each.
+#: Nodes near components that a task holds before it sends them, 32 bytes each.
 HELD = 1_000_000
+#: Nodes near components that a task may tell of any family, however small; see ``_candidates``.
+TOLD = 16
 #: Copies up to which their ids and text hashes (16 bytes) are broadcast to the documents; beyond, the anti-join sorts and merges.
 BROADCAST_ROWS = 2_000_000
 #: A place is a turn and a root: the turn in the bits above these.
@@ -428,10 +430,14 @@ def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
     """What any of ``tries`` brings together of ``nodes`` (key, prints, label, size of the label) with different labels.
 
     With ``stars`` (a, b), pairs of nodes: of what hangs together in a root, the node with the most partners, of the label with the
-    most nodes, and the like node of each other label. Else (home, id): each node near a larger component (of two of one
-    size, that with the larger label), once, however many of its members are near: pairs are never written out.
+    most nodes, and the like node of each other label. Else (a, b, family): each node b near a larger component a (of two of one
+    size, that with the larger label), once, however many of its members are near, and the family of both or null: pairs are never
+    written out. ``nodes`` have family and many then, a larger component that holds their label's, and its nodes. Where a task finds so
+    much inside a family that holding all its nodes against each other takes no more rows, it tells (family, family, family) in its place.
     """
     blocks, tries = _blocks(PREFIX, ERRORS), list(tries)
+    more = ["label", "size"] if stars else ["label", "size", "family", "many"]
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def prints_of(batch):
         n = batch.num_rows
@@ -447,49 +453,73 @@ def _candidates(nodes: DataFrame, tries, stars: bool) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                prints, kept = prints_of(part), [part.column(c) for c in ("key", "label", "size")]
+                prints, kept = prints_of(part), [part.column(c) for c in ("key", *more)]
                 check = pa.array(np.ascontiguousarray(prints[:, -1]))
                 for _, k, place in _trie_keys(prints, tries, blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k.view(np.int64)), check, *kept], ["place", "key", "check", "id", "label", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k.view(np.int64)), check, *kept], ["place", "key", "check", "id", *more])
 
-    def join(batches):
-        held, size_held = [], 0  # what this task has found; each goes out once, unless HELD is passed
+    def sifted(held, dense):
+        """What a task has found, each once, without the families that are or become dense by it."""
+        near = np.unique(np.concatenate(held, axis=1), axis=1)
+        _, kind, told = np.unique(near[2], return_inverse=True, return_counts=True)
+        full = (near[3] > 0) & (told[kind] > np.maximum(TOLD, near[3] * -(-near[3] // FAMILY) // tasks))
+        new = np.unique(near[2][full])
+        dense = np.union1d(dense, new)
+        return near[:, (near[3] == 0) | ~np.isin(near[2], dense)], dense, new
 
-        def sent():
-            near = np.unique(np.concatenate(held, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(near[0]), pa.array(near[1])], ["a", "b"])
+    def sent(near):
+        return pa.RecordBatch.from_arrays([pa.array(near[0]), pa.array(near[1]), pa.array(near[2], mask=near[3] == 0)], ["a", "b", "family"])
 
+    def join(batches):
+        held, size_held, limit, dense = [], 0, FRONTIER, np.zeros(0, np.int64)  # what this task has found; each goes out once, unless HELD is passed
         for turn, x in _segments(batches):
             width, keys, block = blocks[turn % len(blocks)][1], x["key"], _across(x)
             check, label, names, size = x["check"].view(np.uint64), x["label"], x["id"], x["size"]
-            trees, node, degree = Trees(len(keys), label), _nodes(keys, width), np.zeros(len(keys), np.int64)
+            hang = label
+            if not stars:  # dense families need nothing more: their nodes count as together
+                family, many = x["family"], x["many"]
+                hang = np.where(np.isin(family, dense), family, label)
+            trees, node, degree = Trees(len(keys), hang), _nodes(keys, width), np.zeros(len(keys), np.int64)
             for pairs in traverse(keys, node, node.copy(), [(PREFIX, ERRORS), (BITS, TOTAL)], BITS - width, trees.together):
                 i, j = pairs.T
-                ok = (np.bitwise_count(check[i] ^ check[j]) <= CHECK) & (label[i] != label[j])
+                ok = (np.bitwise_count(check[i] ^ check[j]) <= CHECK) & (hang[i] != hang[j])
                 i, j = pairs[ok if block is None else ok & (block[i] != block[j])].T
                 if stars:
                     degree += np.bincount(np.r_[i, j], minlength=len(keys))
                     trees.join(np.stack([i, j], axis=1))
                 elif len(i):
-                    home = (size[i] > size[j]) | ((size[i] == size[j]) & (label[i] > label[j]))
-                    near = np.unique(np.stack([np.where(home, label[i], label[j]), np.where(home, names[j], names[i])]), axis=1)
-                    held.append(near)
-                    size_held += near.shape[1]
-                    if size_held > HELD:
-                        yield sent()
-                        held, size_held = [], 0
+                    home, one = (size[i] > size[j]) | ((size[i] == size[j]) & (label[i] > label[j])), family[i] == family[j]
+                    near = np.stack([np.where(home, label[i], label[j]), np.where(home, names[j], names[i]), np.where(one, family[i], 0), np.where(one, many[i], 0)])
+                    held.append(np.unique(near, axis=1))
+                    size_held += held[-1].shape[1]
+                    if size_held > limit:
+                        near, dense, new = sifted(held, dense)
+                        if len(new):
+                            on = np.flatnonzero(np.isin(family, new))
+                            hang = hang.copy()
+                            hang[on] = family[on]
+                            _, first, of = np.unique(family[on], return_index=True, return_inverse=True)
+                            trees.join(np.stack([on, on[first[of]]], axis=1))
+                        held, size_held = [near], near.shape[1]
+                        if size_held > HELD:
+                            yield sent(near)
+                            held, size_held = [], 0
+                        limit = 2 * size_held + FRONTIER
             if stars and degree.any():
                 yield _pairs(names, _stars(trees.root, label, degree))
         if held:
-            yield sent()
+            near, dense, _ = sifted(held, dense)
+            yield sent(near)
+        if len(dense):
+            yield sent(np.stack([dense, dense, dense, np.ones_like(dense)]))
 
     nodes = nodes.filter(F.size("prints") > 0)
     if nodes.count() > ROOT_ROWS:
         counts = nodes.select("prints").mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     else:  # no root can be full
         counts = nodes.sparkSession.createDataFrame([], "place long, n long")
-    dealt = _dealt(nodes.select("key", "prints", "label", "size").mapInArrow(lean(rows), "place long, key long, check long, id long, label long, size long"), counts, "id")
-    return dealt.mapInArrow(lean(join), "a long, b long").distinct()
+    dealt = _dealt(nodes.select("key", "prints", *more).mapInArrow(lean(rows), "place long, key long, check long, id long" + "".join(f", {c} long" for c in more)), counts, "id")
+    return dealt.mapInArrow(lean(join), "a long, b long" if stars else "a long, b long, family long").distinct()
 
 
 def _stars(root: np.ndarray, label: np.ndarray, degree: np.ndarray) -> np.ndarray:
@@ -565,23 +595,13 @@ def _near_members(near: DataFrame, nodes: DataFrame, docs: DataFrame, least: int
 
     def run(batches):
         for _, x in _families(batches):
-            member = x["member"]
-            values, owner, size, of = x["values"], x["owner"], x["sizes"], np.flatnonzero(member)
+            member, size = x["member"], x["sizes"]
+            of = np.flatnonzero(member)
             if not len(of) or member.all():
                 continue
-            mine = member[owner]
-            pool, who = values[mine], owner[mine]
-            order = np.argsort(pool, kind="stable")
-            pool, who = pool[order], who[order]
-            start = np.r_[0, np.cumsum(size)]
             a, b = [], []
-            for k in np.flatnonzero(~member):
-                v = values[start[k] : start[k + 1]]
-                lo, hi = np.searchsorted(pool, v), np.searchsorted(pool, v, side="right")
-                n = hi - lo
-                at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
-                shared = np.bincount(who[at], minlength=len(member))[of]
-                alike = 100 * shared - least * (size[k] + size[of] - shared)
+            for k, shared in _shared(x, np.flatnonzero(~member), member):
+                alike = 100 * shared[of] - least * (size[k] + size[of] - shared[of])
                 best = int(np.argmax(alike))
                 if alike[best] >= 0:
                     a.append(int(x["id"][k]))
@@ -597,6 +617,53 @@ def _near_members(near: DataFrame, nodes: DataFrame, docs: DataFrame, least: int
     return found
 
 
+def _within(families: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, width: int) -> DataFrame:
+    """(a, b): labels of components of one of ``families`` (family) that have similar members; a forest of them for every pair of blocks.
+
+    All nodes of a family are held against each other: they fall into blocks of FAMILY, and each pair of blocks is a task's.
+    """
+    families = F.broadcast(families) if families.count() <= BROADCAST_ROWS else families
+    rows = nodes.join(families, "family").withColumn("n", F.ceil(F.col("many") / FAMILY).cast("long")).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "key"), F.col("n")))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.select(F.col("family").alias("home"), "key", F.col("label").alias("id"), (F.col("own") <= F.col("x")).alias("member"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    rows, cast = materialise(rows, "cast")
+    sets, kept = materialise(_sets(docs, nodes.join(rows.select("key").distinct(), "key", "left_semi").select("least", "key"), width), "sets")
+
+    def run(batches):
+        for (_, i, j), x in _families(batches):
+            names, at = np.unique(x["id"], return_inverse=True)
+            if len(names) == 1:
+                continue
+            trees, member, size = Trees(len(names)), x["member"], x["sizes"]
+            for k, shared in _shared(x, np.arange(len(size)) if i == j else np.flatnonzero(~member), member):
+                on = at[member & (100 * shared >= least * (size[k] + size - shared))]
+                trees.join(np.stack([on, np.full(len(on), at[k])], axis=1))
+            if len(tree := trees.edges()):
+                yield _pairs(names, tree)
+
+    small_batches(docs.sparkSession, 2 * FAMILY)
+    dealt = rows.join(sets, "key").select("home", "i", "j", "id", "member", "data").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    found, _ = materialise(dealt.mapInArrow(lean(run), "a long, b long"), "similar")
+    small_batches(docs.sparkSession)
+    delete(docs.sparkSession, cast, kept)
+    return found
+
+
+def _shared(x: dict, ask: np.ndarray, among: np.ndarray):
+    """Yields each of ``ask`` and how many values its set shares with each set; zero for those that aren't ``among``."""
+    mine = among[x["owner"]]
+    pool, who = x["values"][mine], x["owner"][mine]
+    order = np.argsort(pool, kind="stable")
+    pool, who = pool[order], who[order]
+    start = np.r_[0, np.cumsum(x["sizes"])]
+    for k in ask:
+        v = x["values"][start[k] : start[k + 1]]
+        lo, hi = np.searchsorted(pool, v), np.searchsorted(pool, v, side="right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+        yield k, np.bincount(who[at], minlength=len(among))
+
+
 def _families(batches):
     """Rows of one (home, i, j) after the other: id, member, and all sets one after the other, with their sizes and whose each value is."""
 
@@ -629,15 +696,24 @@ def drop_similar(docs: DataFrame, least: int = 80, width: int = 5) -> DataFrame:
     Similarities are those of the sets of lower-cased shingles of ``width`` words and are verified exactly. Candidates come from the
     trie self-join of TRIES independent fingerprints of the sets: at a similarity of exactly 0.8 a bit differs with a
     chance of 0.15, and a pair is no candidate with one of about 0.02; the README has measured figures. Texts of one
-    set are one node. STARS tries are joined first, in which what hangs together is held against one node. Then all tries are, and every
-    node that is near a component it is not in is held against all of that component's members. Texts without words are one
-    set. An empty table gives no rows.
+    set are one node. STARS tries are joined first, in which what hangs together is held against one node; what hung together in any of
+    them is a family. Then all tries are, and every node that is near a component it is not in is held against all of that component's
+    members; in a family with very many such nodes, all are held against each other. Texts without words are one set. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     marked, _ = materialise(_with_prints(_marked(docs), width), "prints")
     who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")).alias("least")
     nodes, _ = materialise(marked.groupBy("key").agg(who, F.first("prints").alias("prints")), "nodes")
-    labelled, edges = nodes.withColumns({"label": F.col("key"), "size": F.lit(1).cast("long")}), None
+    one = F.lit(1).cast("long")
+    labelled, edges, met = nodes.withColumns({"label": F.col("key"), "size": one}), None, None
+
+    def grouped(rows: DataFrame, of: DataFrame, name: str, size: str) -> DataFrame:
+        """``rows`` with the component of each key and its nodes."""
+        sizes = of.groupBy("component").agg(F.count("*").alias(size))
+        of = of.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias(name), size)
+        return rows.join(of, "key", "left").withColumns({name: F.coalesce(name, "key"), size: F.coalesce(F.col(size), one)})
+
     for turn in range(STARS + 1):
         small_batches(spark, 20_000)  # numbers only
         found = _candidates(labelled, [turn] if turn < STARS else range(TRIES), turn < STARS)
@@ -648,15 +724,21 @@ def drop_similar(docs: DataFrame, least: int = 80, width: int = 5) -> DataFrame:
             sets, kept = materialise(_sets(docs, nodes.join(ends, "key", "left_semi").select("least", "key"), width), "sets")
             links, _ = materialise(_alike(found, sets, least), "alike")
             delete(spark, kept)
+            met = met.unionByName(found) if met else found
         else:
-            links = _near_members(found, labelled, docs, least, width)
-        delete(spark, path)
+            dense = found.filter("a = b").select("family")
+            near = found.filter("a <> b").join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, "family", "left_anti")
+            links = _near_members(near.select("a", "b"), labelled, docs, least, width)
+            if not dense.isEmpty():
+                links = links.unionByName(_within(dense, labelled, docs, least, width))
+            delete(spark, path)
         edges = edges.unionByName(links) if edges else links
         comp = components(edges)
         if turn < STARS:
-            sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-            comp = comp.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("label"), "size")
-            labelled, _ = materialise(nodes.join(comp, "key", "left").select("key", "least", "prints", F.coalesce("label", "key").alias("label"), F.coalesce("size", F.lit(1).cast("long")).alias("size")), "labelled")
+            labelled = grouped(nodes, comp, "label", "size")
+            if turn == STARS - 1:
+                labelled = grouped(labelled, components(met), "family", "many")
+            labelled, _ = materialise(labelled, "labelled")
     return _keep_least(docs, marked.select("doc_id", "__tid", "key"), comp)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from driftlens.llm import common, pieces, quality, simhash
 
@@ -76,6 +77,38 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, rows):
         assert sum(got[x] for x in set(rows)) == 1 and any(got[x] and x[0] == (min(ids) if ids else None) for x in rows)
 
 
+@pytest.mark.parametrize("frontier", [1 << 16, 200])
+def test_a_family_below_the_threshold_is_told_in_few_rows(spark, monkeypatch, frontier):
+    """Texts of one base, most of them a little less than 0.8 alike: nearly all pairs are candidates."""
+    monkeypatch.setattr(simhash, "FAMILY", 64)
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    told, kept = [], simhash.materialise
+
+    def counted(df, name, *more):
+        out = kept(df, name, *more)
+        if name == "candidates":
+            told.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    r = random.Random(5)
+    base, docs = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(150), 1 + i % 5):
+            words[at] = f"v{r.randrange(10**6)}"
+        docs.append((i, " ".join(words), "en", "s1", 1, 1, "k", 1, "q"))
+    for i in range(40):  # and some that differ from all
+        docs.append((1000 + i, " ".join(f"u{r.randrange(10**6)}" for _ in range(100)), "en", "s1", 1, 1, "k", 1, "q"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (d[1].split() for d in docs)]
+    trees = simhash.Trees(len(docs))
+    alike = [(i, j) for i, x in enumerate(sets) for j in range(i) if 5 * len(x & sets[j]) >= 4 * len(x | sets[j])]
+    trees.join(np.array(alike))
+    got = sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, SCHEMA), "").collect())
+    assert got == sorted({docs[i][0] for i in trees.root.tolist()}) and 150 < len(got) < 330
+    assert len(told) == simhash.STARS + 1 and told[-1] < 300 * 5 + 10
+
+
 def metrics(text):
     n, chars, symbols, dups, repeats = quality_of(text)
     lines = sum(1 for x in (text or "").split("\n") if WORD.search(x))
