@@ -31,7 +31,7 @@ SEED = 16
 LEFT = (WIDTH - SEED) // 2
 RIGHT = WIDTH - SEED - LEFT + 1
 #: Text that one map task aggregates before it sends, and that is hashed at once; text sorted at once.
-CHUNK, PIECE, SORTED = 16 << 20, 256 << 10, 1 << 20
+CHUNK, PIECE, SORTED = 16 << 20, 256 << 10, 256 << 10
 #: Size up to which a table is broadcast to texts, in bytes as packed; beyond, texts are shuffled to it.
 BROADCAST = 48 << 20
 #: Text for which there is a bucket, and a task that sorts it, at least.
@@ -301,17 +301,22 @@ def _send_contexts(buckets: int):
     """A chunk's distinct contexts, an entry each: 48 bits and the document that has it, or that several have."""
 
     def flush(entries, rids):
-        rid, e = np.concatenate(rids), np.sort(np.concatenate(entries))
+        rid, e = np.concatenate(rids), np.concatenate(entries)
+        entries.clear()
+        e.sort()
         if not len(e):
             return
         e = e[np.r_[True, e[1:] != e[:-1]]]
         h, doc = e & ~U(0xFFFF), (e & U(0xFFFF)).astype(np.int64)
         new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         many = np.diff(np.r_[new, len(h)])
-        several = np.repeat(many, many) > 1
-        # documents that share within the chunk know it at once
-        yield from _answers(rid[doc[several]], h[several], buckets)
+        several = np.repeat(many > 1, many)
         entry = h[new] | np.where(many > 1, 0xFFFF, doc[new]).astype(np.uint64)
+        known, shared = rid[doc[several]], h[several]
+        del e, h, doc, several, new, many
+        # documents that share within the chunk know it at once
+        yield from _answers(known, shared, buckets)
+        del known, shared
         cut = np.searchsorted(entry, np.array([b * (1 << 64) // buckets for b in range(buckets)], np.uint64))
         rows, size = [], 0
         for b, part in enumerate(np.split(entry, cut[1:])):
